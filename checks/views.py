@@ -49,7 +49,7 @@ RESULTS = _shared(
 GENERATION_METRICS_SQL = """
     SELECT CASE run_id % 5 WHEN 0 THEN 'Random Search' WHEN 1 THEN 'Grid Search' WHEN 2 THEN 'Bayesian (Optuna TPE)'
                 WHEN 3 THEN 'Differential Evolution' ELSE 'Simulated Annealing' END AS run_name,
-           42 + CAST(floor(run_id / 5) AS BIGINT) % 3 AS seed,
+           42 + CAST(floor(run_id / 5) AS BIGINT) AS seed,
            run_id,
            generation_id AS generation,
            max(validation_accuracy) AS best_fitness,
