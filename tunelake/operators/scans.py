@@ -132,11 +132,13 @@ def as_of(
     payload: Sequence[str],
     block: Callable[[Column], Column],
     tie: str | None = None,
+    strict: bool = False,
 ) -> DataFrame:
     """Give each point the payload of the last series row at or before it on ``axis``.
 
     Both sides are merged on the axis and scanned once; no pairs are formed. ``tie`` orders
-    series rows that share an axis value. Points without an earlier row get nulls.
+    series rows that share an axis value. Points without an earlier row get nulls. With
+    ``strict`` only series rows before the point count.
     """
     keys = list(keys)
     order_tie = F.col(tie) if tie else F.lit(0).cast("long")
@@ -152,7 +154,7 @@ def as_of(
     right = points.select(
         *keys,
         F.col(axis).cast(series.schema[axis].dataType).alias(axis),
-        F.lit(1).alias("_side"),
+        F.lit(-1 if strict else 1).alias("_side"),
         F.lit(0).cast("long").alias("_tie"),
         empty.alias("_payload"),
         *[c for c in points.columns if c not in (*keys, axis)],
@@ -164,7 +166,7 @@ def as_of(
         block(F.col(axis)),
         {"_seen": latest(F.col("_payload"))},
     )
-    return merged.filter("_side = 1").select(
+    return merged.filter("_side <> 0").select(
         *points.columns, *[F.col(f"_seen.{c}").alias(c) for c in payload]
     )
 
