@@ -208,6 +208,22 @@ POPULATION_SQL = """
 """
 
 
+def _genes(source) -> DataFrame:
+    return _population(source).selectExpr(
+        "run_id",
+        "generation",
+        "ordinal",
+        "stack(3, 'x', x, CAST(NULL AS STRING), 'y', CAST(y AS DOUBLE), NULL, 'z', NULL, z) AS (name, num, cat)",
+    )
+
+
+GENES_SQL = """
+    SELECT run_id, generation, ordinal, 'x' AS name, x AS num, NULL::VARCHAR AS cat FROM population_view
+    UNION ALL SELECT run_id, generation, ordinal, 'y', CAST(y AS DOUBLE), NULL FROM population_view
+    UNION ALL SELECT run_id, generation, ordinal, 'z', NULL, z FROM population_view
+"""
+
+
 def _ledger(source) -> DataFrame:
     kinds = {"view": "submit", "click": "claim", "purchase": "commit", "error": "fail"}
     command = F.lit("cancel")
@@ -247,5 +263,6 @@ VIEWS: dict[str, View] = {
     "plans_view": PLANS,
     "worker_events_view": View(WORKER_EVENTS_SQL, _worker_events),
     "population_view": View(POPULATION_SQL, _population),
+    "genes_view": View(GENES_SQL, _genes, ("population_view",)),
     "ledger_view": View(LEDGER_SQL, _ledger),
 }

@@ -206,9 +206,10 @@ def _as_history(results: DataFrame) -> DataFrame:
         "run_id",
         F.col("ordinal").alias("generation"),
         F.col("validation_accuracy").alias("best_fitness"),
+        F.col("validation_accuracy").alias("avg_fitness"),
         "status",
     )
-    return best_so_far(steps)
+    return best_so_far(steps).withColumn("best_fitness", F.col("best_so_far"))
 
 
 def random_search(runs: DataFrame, space: Space, seed: int, budget: int, scorer, data: DataFrame | None = None) -> DataFrame:
@@ -345,7 +346,7 @@ def benchmark_matrix(
     merged = None
     for key, history in parts.items():
         part = history.filter(F.col("generation") < budget).select(
-            F.lit(STRATEGIES[key]).alias("run_name"), F.col("run_id").alias("seed"), "generation", "best_fitness", "best_so_far"
+            F.lit(STRATEGIES[key]).alias("run_name"), F.col("run_id").alias("seed"), "generation", "avg_fitness", "best_so_far"
         )
         merged = part if merged is None else merged.unionByName(part)
     return merged
