@@ -1,4 +1,4 @@
 """Imports every family so that its queries are registered."""
 
-from checks import runs, search, telemetry  # noqa: F401
+from checks import ledger, runs, search, telemetry  # noqa: F401
 from checks.base import CHECKS  # noqa: F401
