@@ -27,6 +27,7 @@ from tunelake.operators.space import (
     genome_keys,
     random_genes,
 )
+from tunelake.session import cut_lineage
 
 POPULATION = ["run_id", "generation"]
 GENE = [*CANDIDATE, "name"]
@@ -387,35 +388,38 @@ def dedupe_genomes(
     Clashes that lost all attempts are mutated; a mutation that clashes as well is undone.
     """
     retries = config.dedupe_retries if rounds is None else rounds
-    used = genome_keys(genes)
-    clash = _clashes(used).select(*CANDIDATE)
-    tries = clash.join(constraint_map(constraints), "run_id", "left")
+    used = cut_lineage(genome_keys(genes).select(*CANDIDATE, "genome_key"))
+    clash = cut_lineage(_clashes(used).select(*CANDIDATE))
+    if clash.isEmpty():
+        return genes.select(*GENE, "num", "cat")
     replacements = None
     if retries > 0:
-        tries = tries.withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(retries - 1))))
+        turns = F.explode(F.sequence(F.lit(0), F.lit(retries - 1)))
+        tries = clash.join(constraint_map(constraints), "run_id", "left").withColumn("attempt", turns)
         drawn = random_genes(tries, space, config.seed, "dedupe", config.categorical_bias, ("attempt",))
         # Fixed genes such as the data set are part of the genome's identity.
         fixed = genes.filter(~F.col("name").isin(space.names())).join(clash, CANDIDATE, "left_semi")
-        spread = fixed.withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(retries - 1))))
-        whole = drawn.unionByName(spread.select(*CANDIDATE, "attempt", "name", "num", "cat"))
+        spread = fixed.withColumn("attempt", turns).select(*CANDIDATE, "attempt", "name", "num", "cat")
+        whole = cut_lineage(drawn.unionByName(spread))
         keys = genome_keys(whole, [*CANDIDATE, "attempt"])
-        free = keys.join(used.select(*POPULATION, "genome_key").distinct(), [*POPULATION, "genome_key"], "left_anti")
+        free = keys.join(used.select(*POPULATION, "genome_key"), [*POPULATION, "genome_key"], "left_anti")
         owner = free.groupBy(*POPULATION, "genome_key").agg(F.min(F.struct("ordinal", "attempt")).alias("o"))
         owned = owner.groupBy(*POPULATION, F.col("o.ordinal").alias("ordinal")).agg(F.min("o.attempt").alias("attempt"))
+        owned = cut_lineage(owned)
         replacements = whole.join(owned, [*CANDIDATE, "attempt"]).select(*GENE, "num", "cat")
         clash = clash.join(owned, CANDIDATE, "left_anti")
-    stuck = genes.join(clash, CANDIDATE, "left_semi")
-    mutated = adaptive_mutation(stuck, space, config, None, "dedupe-mutate")
-    mutated = apply_constraints(mutated, constraints, space, config.categorical_bias, config.seed)
-    taken = used.select(*POPULATION, "genome_key")
-    if replacements is not None:
-        taken = taken.unionByName(genome_keys(replacements).select(*POPULATION, "genome_key"))
-    mutated_keys = genome_keys(mutated)
-    fine = mutated_keys.join(taken.distinct(), [*POPULATION, "genome_key"], "left_anti")
-    fine = fine.groupBy(*POPULATION, "genome_key").agg(F.min("ordinal").alias("ordinal")).select(*CANDIDATE)
-    changed = mutated.join(fine, CANDIDATE, "left_semi").select(*GENE, "num", "cat")
-    if replacements is not None:
-        changed = changed.unionByName(replacements)
+    changed = replacements
+    if not clash.isEmpty():
+        stuck = genes.join(clash, CANDIDATE, "left_semi")
+        mutated = adaptive_mutation(stuck, space, config, None, "dedupe-mutate")
+        mutated = cut_lineage(apply_constraints(mutated, constraints, space, config.categorical_bias, config.seed))
+        taken = used.select(*POPULATION, "genome_key")
+        if replacements is not None:
+            taken = taken.unionByName(genome_keys(replacements).select(*POPULATION, "genome_key"))
+        fine = genome_keys(mutated).join(taken, [*POPULATION, "genome_key"], "left_anti")
+        fine = fine.groupBy(*POPULATION, "genome_key").agg(F.min("ordinal").alias("ordinal")).select(*CANDIDATE)
+        moved = mutated.join(fine, CANDIDATE, "left_semi").select(*GENE, "num", "cat")
+        changed = moved if changed is None else changed.unionByName(moved)
     kept = genes.join(changed.select(*CANDIDATE).distinct(), CANDIDATE, "left_anti").select(*GENE, "num", "cat")
     return kept.unionByName(changed)
 

@@ -295,7 +295,8 @@ def replay_ledger(
     )
     rows = log.filter(F.col("command") != "submit")
     salted, sizes = spread_hot(rows, ["job_id"], "seq", hot_rows)
-    salted = keep(salted)
+    # Shuffled once; every round joins it in place.
+    salted = keep(salted.repartition("job_id", "_salt"))
 
     created = log.filter("command = 'submit'").groupBy("job_id").agg(
         F.min(F.struct("at_us", "seq", "tenant", "payload", "ttl_us")).alias("s")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -25,24 +26,32 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSe
     )
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's ``spark.checkpoint.dir``; make a scratch folder only in local mode."""
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isDefined():
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
+_SCRATCH: dict[str, str] = {}
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """Shared folder for written steps: the cluster's ``spark.checkpoint.dir``.
+
+    Only a local session without that setting gets a folder of its own.
+    """
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if shared:
-        context.setCheckpointDir(shared)
-    elif context.master.startswith("local"):
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="tunelake-checkpoint-"))
-    else:
+        return shared
+    if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+    return _SCRATCH.setdefault("local", tempfile.mkdtemp(prefix="tunelake-steps-"))
 
 
 def cut_lineage(frame: DataFrame) -> DataFrame:
-    """Write one step's rows to the checkpoint folder so the plan does not grow with the steps."""
-    ensure_checkpoint_dir(frame.sparkSession)
-    return frame.checkpoint(eager=True)
+    """Write one step's rows to the shared folder and go on from the written table.
+
+    The plan does not grow with the steps, a lost executor costs one step at most, and the
+    written size tells the optimizer which later joins may broadcast.
+    """
+    spark = frame.sparkSession
+    path = f"{scratch_folder(spark)}/tunelake/{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)
 
 
 def keep(frame: DataFrame) -> DataFrame:
