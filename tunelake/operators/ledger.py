@@ -287,9 +287,36 @@ def replay_ledger(
     ``horizon_us`` is the last moment to which lapses are applied (default: end of the log).
     """
     policy = policy or ReplayPolicy()
-    log = _command_columns(commands, policy)
     if horizon_us is None:
-        horizon_us = log.agg(F.max("at_us")).first()[0] or 0
+        horizon_us = commands.agg(F.max("at_us")).first()[0] or 0
+    state = fold_commands(commands, policy, horizon_us, None, hot_rows)
+    return final_jobs(state), job_events(state)
+
+
+def final_jobs(state: DataFrame) -> DataFrame:
+    """One row per job without the bookkeeping of the fold."""
+    return state.drop("pos_us", "pos_seq", "_salts", "events", "past_events")
+
+
+def job_events(state: DataFrame) -> DataFrame:
+    """Lifecycle events of a fold, numbered over the whole life of each job."""
+    rows = state.select("job_id", "tenant", "past_events", F.posexplode("events").alias("_no", "e"))
+    return rows.select(
+        "job_id",
+        "tenant",
+        (F.col("past_events") + F.col("_no")).cast("long").alias("event_no"),
+        "e.kind",
+        "e.at_us",
+        "e.fence",
+        "e.state",
+    )
+
+
+def fold_commands(
+    commands: DataFrame, policy: ReplayPolicy, horizon_us: int, prior: DataFrame | None = None, hot_rows: int = 1 << 20
+) -> DataFrame:
+    """Fold commands into job states, starting from the states of an earlier fold if given."""
+    log = _command_columns(commands, policy)
     log = log.join(_renewal_ends(log), ["job_id", "seq"], "left") if "renew" in _kinds(log) else log.withColumn(
         "chain_until_us", F.lit(None).cast("long")
     )
@@ -301,8 +328,10 @@ def replay_ledger(
     created = log.filter("command = 'submit'").groupBy("job_id").agg(
         F.min(F.struct("at_us", "seq", "tenant", "payload", "ttl_us")).alias("s")
     )
+    if prior is not None:
+        created = created.join(prior.select("job_id"), "job_id", "left_anti")
     start = F.array(_event("accepted", F.col("s.at_us"), F.lit(0), "pending"))
-    state = created.join(sizes, "job_id", "left").select(
+    state = created.select(
         "job_id",
         F.col("s.tenant").alias("tenant"),
         F.col("s.payload").alias("payload"),
@@ -319,21 +348,25 @@ def replay_ledger(
         F.lit(None).cast("string").alias("error"),
         F.col("s.at_us").alias("pos_us"),
         F.col("s.seq").alias("pos_seq"),
+        F.lit(0).cast("long").alias("past_events"),
         start.alias("events"),
-        F.coalesce("_salts", F.lit(1).cast("long")).alias("_salts"),
     )
-    state = cut_lineage(state)
+    if prior is not None:
+        old = prior.withColumn("past_events", F.col("past_events") + F.size("events")).withColumn(
+            "events", F.filter("events", lambda e: F.lit(False))
+        )
+        state = state.unionByName(old.drop("_salts"))
+    state = cut_lineage(
+        state.join(sizes, "job_id", "left").withColumn("_salts", F.coalesce("_salts", F.lit(1).cast("long")))
+    )
     for _ in range(2 * policy.max_attempts + 1):
         # One row per job is written per round, so neither the plan nor its expressions nest.
         moved = cut_lineage(_round(state, salted, policy, horizon_us))
         state = moved.drop("_moved")
         if moved.filter("_moved").isEmpty():
             break
-    final = state.drop("pos_us", "pos_seq", "_salts")
-    history = final.select("job_id", "tenant", F.posexplode("events").alias("event_no", "e")).select(
-        "job_id", "tenant", F.col("event_no").cast("long").alias("event_no"), "e.kind", "e.at_us", "e.fence", "e.state"
-    )
-    return final.drop("events"), history
+    salted.unpersist()
+    return state
 
 
 def _kinds(log: DataFrame) -> set[str]:
@@ -452,6 +485,7 @@ def _round(state: DataFrame, commands: DataFrame, policy: ReplayPolicy, horizon_
         F.when(
             k.isNotNull(), F.concat("events", F.array(_event(k, moved, fence, new_state)))
         ).otherwise(F.col("events")).alias("events"),
+        "past_events",
         "_salts",
         k.isNotNull().alias("_moved"),
     )
