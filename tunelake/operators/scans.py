@@ -195,12 +195,19 @@ def order_statistics(
         .select(
             *keys,
             "_block",
+            "_rows",
             F.coalesce(
                 F.sum("_rows").over(over_blocks.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
             ).alias("_before"),
             F.sum("_rows").over(Window.partitionBy(*keys)).alias("_size"),
         )
     )
+    # Only blocks that hold a wanted position are looked into.
+    wanted = F.lit(False)
+    for position in picks.values():
+        place = position(F.col("_size"))
+        wanted = wanted | ((place > F.col("_before")) & (place <= F.col("_before") + F.col("_rows")))
+    blocks = blocks.filter(wanted).drop("_rows")
     in_block = (
         Window.partitionBy(*keys, "_block").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     )

@@ -5,12 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Number formats of the report cells are decimals after the point.
-
-
 def fixed(value: Column, digits: int) -> Column:
-    """Number with a fixed count of decimals; unknown stays ``unknown``."""
-    return F.coalesce(F.format_string(f"%.{digits}f", value.cast("double")), F.lit("unknown"))
+    """Number with a fixed count of decimals; unknown stays ``unknown``.
+
+    The stored binary number itself is rounded (ties to even), not its shortest decimal text:
+    its fraction is scaled to whole 2^-52 units and divided in exact decimals.
+    """
+    size = F.abs(value.cast("double"))
+    whole = F.floor(size)
+    units = (size - whole) * F.lit(float(2**52))
+    scaled = F.floor(units).cast("decimal(17,0)") * F.lit(10**digits).cast("decimal(8,0)")
+    unit = F.lit(2**52).cast("decimal(17,0)")
+    part = F.floor(scaled / unit).cast("long")
+    rest = scaled - part.cast("decimal(17,0)") * unit
+    half = F.lit(2**51).cast("decimal(17,0)")
+    sticky = units > F.floor(units)
+    up = (rest > half) | ((rest == half) & (sticky | (part % 2 == 1)))
+    raised = part + F.when(up, 1).otherwise(0)
+    carried = raised >= 10**digits
+    integer = (whole + F.when(carried, 1).otherwise(0)).cast("string")
+    tail = F.concat(F.lit("."), F.lpad((raised % 10**digits).cast("string"), digits, "0")) if digits else F.lit("")
+    sign = F.when(value < 0, "-").otherwise("")
+    return F.when(value.isNull(), "unknown").otherwise(F.concat(sign, integer, tail))
 
 
 def table_row(*cells: Column) -> Column:

@@ -14,18 +14,23 @@ def _stem() -> Column:
     return F.regexp_replace(F.element_at(F.split("_metadata.file_path", "/"), -1), r"\.[^.]*$", "")
 
 
-def read_run_metrics(spark: SparkSession, path: str) -> DataFrame:
-    """Generations of stored runs; a missing running best falls back to the generation's best."""
-    documents = spark.read.schema(schemas.RUN_METRICS).option("multiLine", True).json(path)
+def read_run_metrics(spark: SparkSession, path: str, one_per_file: bool = True) -> DataFrame:
+    """Generations of stored runs; a missing running best falls back to the generation's best.
+
+    Files hold one document each, or one document per line as written by
+    :func:`write_run_metrics`.
+    """
+    documents = spark.read.schema(schemas.RUN_METRICS).option("multiLine", one_per_file).json(path)
     return documents.select("run_name", _stem().alias("run_file"), F.inline("generations")).withColumn(
         "best_so_far", F.coalesce("best_so_far", "best_fitness")
     )
 
 
 def write_run_metrics(metrics: DataFrame, path: str, keys: Sequence[str] = ("run_name",)) -> None:
-    """One JSON document per run with its generations in order.
+    """One JSON document per line and run with its generations in order.
 
-    A document holds a whole run by definition, so a run must fit in a record.
+    The format puts a whole run into one document. The telemetry itself belongs in Parquet; this
+    export is for runs of report size.
     """
     fields = schemas.GENERATION.fieldNames()
     ordered = F.array_sort(F.collect_list(F.struct(*fields)))
@@ -84,7 +89,7 @@ def artifact_manifest(spark: SparkSession, path: str, pattern: str = "*", text:
     )
     content = F.col("content")
     if text:
-        content = F.encode(F.replace(F.decode(content, F.lit("UTF-8")), F.lit("\r\n"), F.lit("\n")), "UTF-8")
+        content = F.encode(F.replace(F.decode(content, "UTF-8"), F.lit("\r\n"), F.lit("\n")), "UTF-8")
     return files.select("path", "length", F.sha2(content, 256).alias("sha256"))
 
 
