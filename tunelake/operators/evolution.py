@@ -385,7 +385,7 @@ def dedupe_genomes(
 
     Every clash draws all its attempts at once. Attempts equal to a genome in use are dropped,
     equal attempts go to the earliest candidate, and each clash takes its lowest attempt left.
-    Clashes that lost all attempts are mutated; a mutation that clashes as well is undone.
+    This repeats among those left without one while genomes remain. Clashes that lost all attempts are mutated; a mutation that clashes as well is undone.
     """
     retries = config.dedupe_retries if rounds is None else rounds
     used = cut_lineage(genome_keys(genes).select(*CANDIDATE, "genome_key"))
@@ -403,9 +403,22 @@ def dedupe_genomes(
         whole = cut_lineage(drawn.unionByName(spread))
         keys = genome_keys(whole, [*CANDIDATE, "attempt"])
         free = keys.join(used.select(*POPULATION, "genome_key"), [*POPULATION, "genome_key"], "left_anti")
-        owner = free.groupBy(*POPULATION, "genome_key").agg(F.min(F.struct("ordinal", "attempt")).alias("o"))
-        owned = owner.groupBy(*POPULATION, F.col("o.ordinal").alias("ordinal")).agg(F.min("o.attempt").alias("attempt"))
-        owned = cut_lineage(owned)
+        free = cut_lineage(free.select(*CANDIDATE, "attempt", "genome_key"))
+        owned = None
+        # Whoever loses all its attempts to earlier candidates tries the genomes they left.
+        for _ in range(retries):
+            owner = free.groupBy(*POPULATION, "genome_key").agg(F.min(F.struct("ordinal", "attempt")).alias("o"))
+            picked = owner.groupBy(*POPULATION, F.col("o.ordinal").alias("ordinal")).agg(
+                F.min(F.struct("o.attempt", "genome_key")).alias("p")
+            )
+            picked = cut_lineage(picked.select(*CANDIDATE, "p.attempt", "p.genome_key"))
+            owned = picked if owned is None else owned.unionByName(picked)
+            free = free.join(picked.select(*CANDIDATE), CANDIDATE, "left_anti").join(
+                picked.select(*POPULATION, "genome_key"), [*POPULATION, "genome_key"], "left_anti"
+            )
+            if free.isEmpty():
+                break
+        owned = owned.select(*CANDIDATE, "attempt")
         replacements = whole.join(owned, [*CANDIDATE, "attempt"]).select(*GENE, "num", "cat")
         clash = clash.join(owned, CANDIDATE, "left_anti")
     changed = replacements
