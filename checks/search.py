@@ -8,6 +8,7 @@ from tunelake.operators import evolution as ev
 from tunelake.operators import space as sp
 from tunelake.operators import strategies as st
 from tunelake.plans import searches as ps
+from tunelake.session import cut_lineage
 
 SEED = 7
 SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
@@ -558,7 +559,8 @@ def _(s):
     POP,
 )
 def _(s):
-    population, genes = ps.evolve(s.view(POP).withColumn("origin", F.lit("initial")), s.view(GENES), SPACE, CONFIG)
+    first = cut_lineage(s.view(POP)).withColumn("origin", F.lit("initial"))
+    population, genes = ps.evolve(first, cut_lineage(s.view(GENES)), SPACE, CONFIG)
     keys = sp.genome_keys(genes).join(population, sp.CANDIDATE)
     inside = genes.join(sp.clip_to_domain(genes, SPACE), [*sp.CANDIDATE, "name"]).groupBy("run_id").agg(F.count(F.lit(1)).alias("inside"))
     return keys.groupBy("run_id", "generation").agg(
@@ -827,4 +829,4 @@ def _(s):
 
 @check("benchmark_matrix", "run_name:str seed:long generation:long avg_fitness:dbl best_so_far:dbl")
 def _(s):
-    return ps.benchmark_matrix(s.spark, RULE_SPACE, [42, 43, 44], 8, SCORER, s.view("eval_data_view"))
+    return ps.benchmark_matrix(s.spark, RULE_SPACE, [42, 43, 44], 5, SCORER, s.view("eval_data_view"))

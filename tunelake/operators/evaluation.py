@@ -70,9 +70,9 @@ class ThresholdScorer:
             thresholds.select("at").distinct(), below, [], "at", ["ones_below", "zeros_below"], value_block, strict=True
         )
         zero = F.lit(0).cast("long")
-        right = F.col("all_ones") - F.coalesce("ones_below", zero) + F.coalesce("zeros_below", zero)
-        # The totals are one row.
-        scored = looked.join(totals, F.lit(True)).select("at", (right / F.col("rows")).alias("score"))
+        all_ones, rows = totals.select("all_ones").scalar(), totals.select("rows").scalar()
+        right = all_ones - F.coalesce("ones_below", zero) + F.coalesce("zeros_below", zero)
+        scored = looked.select("at", (right / rows).alias("score"))
         return thresholds.join(scored, "at", "left").select(*CANDIDATE, "score")
 
 

@@ -669,5 +669,4 @@ def ledger_integrity(jobs: DataFrame, effects: DataFrame) -> DataFrame:
         F.count_if(~F.col("state").isin(STATES)).alias("unknown_states"),
         F.count_if(F.col("state").isin(TERMINAL) & F.col("finished_us").isNull()).alias("ended_without_time"),
     )
-    # Three single-row aggregates side by side.
-    return counts.join(stray, F.lit(True)).join(doubled, F.lit(True))
+    return counts.withColumn("effects_without_commit", stray.scalar()).withColumn("repeated_effects", doubled.scalar())

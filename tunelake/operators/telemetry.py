@@ -250,8 +250,7 @@ def scheduler_status(events: DataFrame, jobs: DataFrame, at_us: int) -> DataFram
     )
     waiting = (F.col("enqueued_us") <= at_us) & (F.col("dequeued_us").isNull() | (F.col("dequeued_us") > at_us))
     pending = jobs.agg(F.count_if(waiting).alias("pending_jobs"))
-    # Both sides are single-row aggregates.
-    return workers.join(pending, F.lit(True))
+    return workers.withColumn("pending_jobs", pending.scalar())
 
 
 def heartbeat_timeouts(events: DataFrame, timeout_ms: int, horizon_us: int) -> DataFrame:
