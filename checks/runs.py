@@ -287,9 +287,8 @@ SELECT run_id, count(*) AS generations_completed, sum(jobs_count) AS jobs_return
     "results_view worker_events_view",
 )
 def _(s):
-    results = s.view("results_view")
     runtime = t.runtime_summary(t.latency_samples(runtime_events(s)))
-    return r.run_summary(t.generation_kpi(results, t.modeled_wall_clock(results), runtime)).withColumnRenamed(
+    return r.run_summary(t.generation_kpi(s.view("results_view"), None, runtime)).withColumnRenamed(
         "dispatch_latency_samples", "dispatch_samples_total"
     )
 

@@ -31,8 +31,17 @@ KPI_COLUMNS = (
 
 
 def kpis(s):
-    results = s.view("results_view")
-    return t.generation_kpi(results, t.modeled_wall_clock(results))
+    return t.generation_kpi(s.view("results_view"))
+
+
+@check(
+    "modeled_wall_clock",
+    "run_id:long generation_id:int wall_clock_ms:long",
+    f"SELECT * FROM ({KPI_SQL.strip()}) AS k",
+    "results_view",
+)
+def _(s):
+    return t.modeled_wall_clock(s.view("results_view"))
 
 
 @check("generation_kpi", KPI_COLUMNS, KPI_SQL, "results_view")

@@ -40,29 +40,48 @@ def modeled_wall_clock(results: DataFrame, handover_ms: int = 10) -> DataFrame:
     )
 
 
-def generation_kpi(results: DataFrame, wall_clock: DataFrame, runtime: DataFrame | None = None) -> DataFrame:
-    """Counts, training-time percentiles, overhead and throughput of every generation."""
-    train = F.greatest(F.lit(0).cast("long"), F.col("training_time_ms"))
-    rows = results.withColumn("train_ms", train)
-    counts = rows.groupBy(*GENERATION).agg(
-        F.count(F.lit(1)).alias("jobs_count"),
-        F.count_if(F.col("status") == "COMPLETED").alias("completed"),
-        F.count_if(F.col("status") == "FAILED").alias("failed"),
-        F.count_if(F.col("status") == "TIMEOUT").alias("timed_out"),
-        F.count_distinct(F.when(F.col("worker_id") != "", F.col("worker_id"))).alias("active_workers"),
-        F.sum("train_ms").alias("train_total_ms"),
+def generation_kpi(
+    results: DataFrame, wall_clock: DataFrame | None = None, runtime: DataFrame | None = None, handover_ms: int = 10
+) -> DataFrame:
+    """Counts, training-time percentiles, overhead and throughput of every generation.
+
+    Without a recorded ``wall_clock`` it is modeled (:func:`modeled_wall_clock`) from the same
+    pass. Rows are first combined per worker, so distinct workers are a plain count.
+    """
+    rows = results.withColumn("train_ms", F.greatest(F.lit(0).cast("long"), F.col("training_time_ms")))
+    status = F.col("status")
+    per_worker = rows.groupBy(*GENERATION, "worker_id").agg(
+        F.count(F.lit(1)).alias("_jobs"),
+        F.count_if(status == "COMPLETED").alias("_completed"),
+        F.count_if(status == "FAILED").alias("_failed"),
+        F.count_if(status == "TIMEOUT").alias("_timed_out"),
+        F.sum("train_ms").alias("_train_ms"),
+        F.sum("training_time_ms").alias("_busy_ms"),
+    )
+    counts = per_worker.groupBy(*GENERATION).agg(
+        F.sum("_jobs").alias("jobs_count"),
+        F.sum("_completed").alias("completed"),
+        F.sum("_failed").alias("failed"),
+        F.sum("_timed_out").alias("timed_out"),
+        F.count_if(F.col("worker_id") != "").alias("active_workers"),
+        F.sum("_train_ms").alias("train_total_ms"),
+        (F.max("_busy_ms") + F.sum("_jobs") * handover_ms).cast("long").alias("_modeled_ms"),
     )
     shares = nearest_rank(rows, GENERATION, "train_ms", {"train_p50_ms": 0.5, "train_p90_ms": 0.9})
-    clock = wall_clock.select(*GENERATION, F.greatest(F.lit(0).cast("long"), "wall_clock_ms").alias("wall_clock_ms"))
+    joined = counts.join(shares.drop("samples"), GENERATION)
+    if wall_clock is None:
+        joined = joined.withColumn("wall_clock_ms", F.col("_modeled_ms"))
+    else:
+        joined = joined.join(wall_clock.select(*GENERATION, "wall_clock_ms"), GENERATION, "left")
+    zero = F.lit(0).cast("long")
     wall = F.col("wall_clock_ms")
     joined = (
-        counts.join(shares.drop("samples"), GENERATION)
-        .join(clock, GENERATION, "left")
-        .withColumn("wall_clock_ms", F.coalesce(wall, F.lit(0).cast("long")))
+        joined.withColumn("wall_clock_ms", F.greatest(zero, F.coalesce(wall, zero)))
         .withColumn("ideal_wall_ms", F.col("train_total_ms") / F.greatest(F.col("active_workers"), F.lit(1)))
         .withColumn("queue_overhead_ms", F.greatest(wall - F.col("ideal_wall_ms"), F.lit(0.0)))
         .withColumn("queue_overhead_pct", ratio(F.col("queue_overhead_ms"), wall))
         .withColumn("gen_jobs_per_sec", ratio(F.col("jobs_count"), wall / F.lit(1000.0)))
+        .drop("_modeled_ms")
     )
     return joined if runtime is None else joined.join(runtime, GENERATION, "left")
 
