@@ -22,6 +22,9 @@ def replay(s, rows, stream, sink, cuts):
     """Write each time slice, then run the stream over it; the checkpoint carries it on."""
     base = folder(s)
     edges = [None, *cuts, None]
+    if s.spark.sparkContext.master.startswith("local"):
+        # State partitions are fixed at the first start; a local run needs few.
+        s.spark.conf.set("spark.sql.shuffle.partitions", "8")
     for low, high in zip(edges, edges[1:]):
         part = rows
         if low is not None:

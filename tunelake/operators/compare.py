@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tunelake.functions.scalars import clamp, nearly_equal, ratio
 from tunelake.operators.runs import observed_completed, observed_throughput, total_elapsed
 from tunelake.operators.scans import number_block, order_statistics, peak, ranked, running, total
+from tunelake.session import cut_lineage
 
 # Names of the strategies as they appear in stored runs, with their keys.
 RUN_NAME_TO_KEY = {
@@ -252,7 +253,7 @@ def seed_aggregate_series(metrics: DataFrame, bins: int = 12, require_all: bool
         missing = sorted(row.key for row in missing_strategies(metrics.select("run_name").distinct()).collect())
         if missing:
             raise ValueError(f"no runs for strategies: {missing}")
-    runs = run_series(normalize_run_names(metrics).filter("key IS NOT NULL"), ["key", "seed"], bins)
+    runs = cut_lineage(run_series(normalize_run_names(metrics).filter("key IS NOT NULL"), ["key", "seed"], bins))
     per_bin = runs.select("key", F.explode("curve").alias("b")).groupBy("key", F.col("b.bin").alias("bin")).agg(
         F.avg("b.best").alias("best"), F.sum("b.runtime_s").alias("runtime_s")
     )

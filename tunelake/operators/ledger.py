@@ -27,7 +27,7 @@ from tunelake.operators.scans import (
     top_rows,
     total,
 )
-from tunelake.session import cut_lineage, keep
+from tunelake.session import cut_lineage, hold
 
 HOUR_US = 3_600_000_000
 # Payload limit in bytes, key and error lengths, and the default policy.
@@ -99,7 +99,7 @@ def admission_audit(
         activity, ["tenant"], ["at_us", "seq"], hour(F.col("at_us")), {"own_active": total(F.col("delta"), inclusive=False)}
     )
     both = running(
-        keep(own), [], ["at_us", "seq"], hour(F.col("at_us")), {"all_active": total(F.col("delta"), inclusive=False)}
+        cut_lineage(own), [], ["at_us", "seq"], hour(F.col("at_us")), {"all_active": total(F.col("delta"), inclusive=False)}
     )
     return both.filter("delta > 0").withColumn(
         "within_limits", (F.col("all_active") < max_active) & (F.col("own_active") < tenant_active)
@@ -191,7 +191,7 @@ def lease_renewals(renewals: DataFrame) -> DataFrame:
     )
     late = (F.col("at_us") >= F.coalesce("_before", "claim_until_us")) | (F.col("at_us") >= F.col("deadline_us"))
     broken = running(
-        keep(chained.withColumn("_late", late.cast("int"))), keys, order, hour(F.col("at_us")), {"_broken": peak(F.col("_late"))}
+        cut_lineage(chained.withColumn("_late", late.cast("int"))), keys, order, hour(F.col("at_us")), {"_broken": peak(F.col("_late"))}
     )
     renewed = F.col("_broken") == 0
     return broken.withColumn("renewed", renewed).withColumn("new_until_us", F.when(renewed, F.col("_until"))).drop(
@@ -266,7 +266,7 @@ def _renewal_ends(commands: DataFrame) -> DataFrame:
     linked = running(staged, keys, order, hour(F.col("at_us")), {"_before": latest(F.col("_until"), inclusive=False)})
     gap = F.when(F.col("at_us") < F.col("_before"), 0).otherwise(1)
     islands = running(
-        keep(linked.withColumn("_gap", gap)), keys, order, hour(F.col("at_us")), {"_island": total(F.col("_gap").cast("long"))}
+        cut_lineage(linked.withColumn("_gap", gap)), keys, order, hour(F.col("at_us")), {"_island": total(F.col("_gap").cast("long"))}
     )
     ends = islands.groupBy(*keys, "_island").agg(F.max(F.struct("at_us", "seq", "_until"))["_until"].alias("chain_until_us"))
     return islands.join(ends, [*keys, "_island"]).select("job_id", "seq", "chain_until_us")
@@ -323,7 +323,7 @@ def fold_commands(
     rows = log.filter(F.col("command") != "submit")
     salted, sizes = spread_hot(rows, ["job_id"], "seq", hot_rows)
     # Shuffled once; every round joins it in place.
-    salted = keep(salted.repartition("job_id", "_salt"))
+    salted = hold(salted.repartition("job_id", "_salt"))
 
     created = log.filter("command = 'submit'").groupBy("job_id").agg(
         F.min(F.struct("at_us", "seq", "tenant", "payload", "ttl_us")).alias("s")

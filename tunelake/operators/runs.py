@@ -19,7 +19,7 @@ from tunelake.operators.scans import (
     running,
     total,
 )
-from tunelake.session import keep
+from tunelake.session import cut_lineage
 
 GENERATION_BLOCK = 4096
 
@@ -81,8 +81,8 @@ def plateau_events(
     if any_new_best:
         gain = gain | (best > prior)
     fresh = prior.isNull() | gain
-    # The second scan reads the first one twice; keep it instead of computing it again.
-    marked = keep(before.withColumn("_fresh", F.when(fresh, F.col("position"))))
+    # The second scan reads the first one twice; write it instead of computing it again.
+    marked = cut_lineage(before.withColumn("_fresh", F.when(fresh, F.col("position"))))
     streak = _along(marked, {"_since": latest(F.col("_fresh"))}).withColumn(
         "_streak", F.col("position") - F.col("_since")
     )
@@ -109,7 +109,7 @@ def reheat_schedule(
     mutation_floor: float = 0.30,
 ) -> DataFrame:
     """Overrides for the evolve step after each generation: on for ``reheat_gens`` steps after a trigger."""
-    marked = keep(plateaus.withColumn("_at", F.when(F.col("triggered"), F.col("position"))))
+    marked = cut_lineage(plateaus.withColumn("_at", F.when(F.col("triggered"), F.col("position"))))
     recent = _along(marked, {"_trigger": latest(F.col("_at"))})
     active = (
         F.col("_trigger").isNotNull()
@@ -134,7 +134,7 @@ def wall_clock_guard(metrics: DataFrame, limit_ms: int) -> DataFrame:
     sums and no earlier durations are gathered.
     """
     wall = F.greatest(F.col("wall_clock_ms"), F.lit(0).cast("long"))
-    rows = keep(
+    rows = cut_lineage(
         _along(
             metrics.select("run_id", "generation", wall.alias("wall_ms")),
             {
@@ -310,6 +310,8 @@ SUMMARY_PERCENTILES = {
 
 def run_summary(kpis: DataFrame) -> DataFrame:
     """One row per run: percentiles over its generations, extremes and totals."""
+    # Small against the results it comes from, and read three times below.
+    kpis = cut_lineage(kpis)
     present = [m for m in dict.fromkeys(m for m, _ in SUMMARY_PERCENTILES.values()) if m in kpis.columns]
     pairs = ", ".join(f"'{m}', CAST({m} AS DOUBLE)" for m in present)
     long = kpis.selectExpr("run_id", f"stack({len(present)}, {pairs}) AS (metric, value)").withColumn(

@@ -54,11 +54,6 @@ def cut_lineage(frame: DataFrame) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
-def keep(frame: DataFrame) -> DataFrame:
-    """Persist a frame read several times by one plan; lost blocks are recomputed."""
+def hold(frame: DataFrame) -> DataFrame:
+    """Persist a partitioned frame that a loop joins in place; lost blocks are recomputed."""
     return frame.persist(StorageLevel.MEMORY_AND_DISK)
-
-
-def is_small(frame: DataFrame, rows: int) -> bool:
-    """True when the frame has at most ``rows`` rows; reads no more than ``rows + 1`` of them."""
-    return frame.limit(rows + 1).count() <= rows
