@@ -5,14 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tunelake.llm import language, lines, slots, tokens, warc
+from tunelake.llm import contamination, disclosure, language, lines, neighbours, simhash, slots, tokens, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.score_documents(docs, toxicity.fit_table(docs, _table(spark, sf_dir, "labels")))
+
+
 def token_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -28,6 +34,18 @@ def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, language.fit(docs))
 
 
+def benchmark_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.find(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return disclosure.report(disclosure.find(_table(spark, sf_dir, "documents")))
+
+
+def vector_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def line_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.repeats(_table(spark, sf_dir, "documents"))
 
@@ -36,12 +54,22 @@ def virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slots.sharded(_table(spark, sf_dir, "documents"))
 
 
+def simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity_scores": toxicity_scores,
     "op2_token_round_trip": token_round_trip,
     "op3_warc_archive": warc_archive,
     "op4_language_id": language_id,
+    "op5_benchmark_matches": benchmark_matches,
+    "op6_personal_data": personal_data,
+    "op7_vector_links": vector_links,
     "op8_line_repeats": line_repeats,
     "op9_virtual_slots": virtual_slots,
+    "op10_simhash_groups": simhash_groups,
 }
 
 ORACLES: dict[str, str] = {"op8_line_repeats": lines.REPEATS_SQL}

@@ -69,13 +69,12 @@ def rebalanced(slot_map: DataFrame, loads: DataFrame, shards: int = SHARDS) -> D
     held = held.withColumn("stays", (F.col("shard") < shards) & (within <= mean))
     entry = F.struct((-F.col("bytes")).alias("order"), "slot_no", "bytes", "shard", "stays", "version")
     table = held.agg(F.array_sort(F.collect_list(entry)).alias("slots"))
-    kept = [
-        F.aggregate(
-            F.filter("slots", lambda s, n=number: s["stays"] & (s["shard"] == n)), F.lit(0).cast("long"), lambda a, s: a + s["bytes"]
-        )
-        for number in range(shards)
-    ]
-    start = F.struct(F.array(*kept).alias("loads"), F.array().cast("array<struct<slot_no:int,shard:int>>").alias("picks"))
+
+    def kept_bytes(shard: int) -> Column:
+        kept = F.filter("slots", lambda s: s["stays"] & (s["shard"] == shard))
+        return F.aggregate(kept, F.lit(0).cast("long"), lambda total, s: total + s["bytes"])
+
+    start = F.struct(F.array(*[kept_bytes(shard) for shard in range(shards)]).alias("loads"), F.array().cast("array<struct<slot_no:int,shard:int>>").alias("picks"))
 
     def place(state, slot):
         target = (F.array_position(state["loads"], F.array_min(state["loads"])) - 1).cast("int")
