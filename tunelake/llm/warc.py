@@ -113,13 +113,9 @@ def write_archive(
     kind = F.when(response, F.lit("response")).otherwise(F.lit("revisit"))
     records = records.withColumn("refers_to", F.when(~response, F.col("holder_id")))
     records.select("page_id", F.col("strong"), _header(kind).alias("header")).write.parquet(f"{folder}/headers")
-    # The one holder of every digest brings the payload; equal rows of the holder are told apart by count only.
-    keys = holders.select("strong", "holder_id", "holder_tie")
-    found = rows.withColumn("tie", F.xxhash64("target")).join(
-        keys.withColumnRenamed("strong", "key"),
-        (F.col("strong") == F.col("key")) & F.col("page_id").eqNullSafe(F.col("holder_id")) & (F.col("tie") == F.col("holder_tie")),
-    )
-    found.select("strong", "payload").dropDuplicates(["strong"]).write.parquet(f"{folder}/payloads")
+    # Equal digests are equal payloads, so any record brings the one copy; tasks drop what they hold twice.
+    once = rows.select("strong", "payload").dropDuplicates(["strong"])
+    once.write.option("compression", "zstd").parquet(f"{folder}/payloads")
 
 
 def read_archive(spark: SparkSession, folder: str) -> DataFrame:
