@@ -99,14 +99,9 @@ def decoded(ids: Column, path: str) -> Column:
     return raw(ids)
 
 
-def ids_digest(ids: Column) -> Column:
+def ids_digest(ids) -> str:
     """SHA-256 of the ids as unsigned 32-bit little-endian numbers, in lowercase hex."""
-
-    @F.pandas_udf("string")
-    def digest(batch: pd.Series) -> pd.Series:
-        return pd.Series([hashlib.sha256(np.asarray(ids).astype("<u4").tobytes()).hexdigest() for ids in batch], dtype=object)
-
-    return digest(ids)
+    return hashlib.sha256(np.asarray(ids).astype("<u4").tobytes()).hexdigest()
 
 
 def encode_documents(frame: DataFrame, path: str, pattern: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -120,11 +115,30 @@ def decode_documents(tokens: DataFrame, path: str) -> DataFrame:
     return tokens.select("doc_id", "ids", decoded(F.col("ids"), path).alias("decoded"))
 
 
+def encoded_documents(frame: DataFrame, path: str, pattern: str, keep_ids: bool = True, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """``doc_id``, ``ids`` (if they are to be kept), ``n_tokens`` and both digests of every text.
+
+    Both directions run in one Python pass: each further one would start workers of its own, and ids
+    and bytes would travel between them.
+    """
+    shape = "ids array<int>, n_tokens long, ids_sha256 string, decoded_sha256 string".split(", ")[0 if keep_ids else 1 :]
+    names = [part.split()[0] for part in shape]
+
+    @F.pandas_udf(", ".join(shape))
+    def there_and_back(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for text in batch:
+                ids = encode_text(text, path, pattern)
+                raw = decode_ids(ids.tolist(), path)
+                facts = (len(ids), ids_digest(ids), hashlib.sha256(raw).hexdigest())
+                rows.append((ids.astype(np.int32), *facts) if keep_ids else facts)
+            yield pd.DataFrame(rows, columns=names)
+
+    found = there_and_back(F.col("text"))
+    return documents(frame, id_column, text_column).select("doc_id", found.alias("found")).select("doc_id", "found.*")
+
+
 def round_trip(frame: DataFrame, path: str, pattern: str) -> DataFrame:
     """One row per document: number of ids, digest of the ids and of the bytes decoded from them."""
-    return decode_documents(encode_documents(frame, path, pattern), path).select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        ids_digest(F.col("ids")).alias("ids_sha256"),
-        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
-    )
+    return encoded_documents(frame, path, pattern, keep_ids=False)
