@@ -43,7 +43,7 @@ TEXTS = [
     "+1 (377) 555-0271 +1 +49-30 123456789012345678 +33 1 23 45 67 89 x +1+1(2)34567890)",
     "4539148803436467@10.0.0.1 +4539148803436467",
     "a@b.c " * 700 + "1.1.1.1 " * 600,
-    "x" * 200_000 + "@" + "1" * 100_000,
+    "x" * 2_000 + "@" + "1" * 1_000,
     "1 " * 60_000,
     "no data here",
 ]
@@ -61,6 +61,14 @@ def test_base_spans(spark):
         assert row["spans"].split(",")[: len(base)] == (base or [""])[: len(base)]
 
 
+def test_long_runs_take_linear_time(spark):
+    # The plain patterns above would need minutes for these.
+    texts = ["x" * 200_000 + "@" + "1" * 100_000, "x" * 200_000 + "@y.z", "1." * 100_000]
+    found = {r["doc_id"]: r["spans"] for r in disclosure.report(disclosure.find(table(spark, texts))).collect()}
+    assert found[0] == "" and found[1] == "email:0:200004"
+    assert found[2].startswith("ip:0:7,ip:8:15,") and found[2].count("ip:") == 25_000
+
+
 FILL = [f"common words go here and there number {'abcdefghij'[n]}{'klmnopqrst'[m]}" for n in range(10) for m in range(10)]
 HIDDEN = [f"the {w} Zanzibarine writes to bob@corp.org {w} often" for w in ("quick", "slow", "calm", "there")]
 
@@ -90,7 +98,8 @@ def test_sanitised_texts(spark):
     out = {r["doc_id"]: r["text"] for r in clean.collect()}
     assert len(out) == len(texts)
     assert all(out[n] == texts[n] for n in range(len(FILL))) and out[len(texts) - 3] is None and out[len(texts) - 2] == ""
-    assert out[len(texts) - 1] == "call [PHONE] or [EMAIL], [CARD].0.0.1" or "[EMAIL]" in out[len(texts) - 1]
+    # The card number is part of an address that starts with it: one span, named after the kind that comes first.
+    assert out[len(texts) - 1] == "call [PHONE] or [EMAIL], [EMAIL]"
     for n in range(len(FILL), len(FILL) + 4):
         assert "bob" not in out[n] and "Zanzibarine" not in out[n] and "[EMAIL]" in out[n]
     assert not any(any(spans.values()) for spans in (brute(t) for t in out.values()))

@@ -149,14 +149,18 @@ def _found(rows: DataFrame) -> DataFrame:
 
 def _neighbours(found: DataFrame) -> DataFrame:
     """One row per term beside an entity: document, entity, term, place, and the hash of the neighbourhood."""
-    each = found.filter(F.size("around") > 0).select("doc_id", "mark", "spans", F.explode("around").alias("e"))
-    each = each.select("doc_id", "mark", "spans", "e.entity", "e.low", "e.around", "e.to_end")
+    each = found.filter(F.size("around") > 0).select("doc_id", "mark", F.explode("around").alias("e"))
+    each = each.select("doc_id", "mark", "e.entity", "e.low", "e.around", "e.to_end")
+    # Of the kinds only addresses hold letters; they are looked up in the neighbourhood itself.
+    each = each.withColumn("addresses", places(F.col("around"), PATTERNS["email"]))
     terms = each.select("*", F.explode(places(F.col("around"), _TERM)).alias("t"))
-    start, end = F.col("low") + F.col("t.start"), F.col("low") + F.col("t.end")
-    # Words that the edge of the neighbourhood may cut, and parts of what the patterns found, are no terms.
-    whole = ((F.col("t.start") > 0) | (F.col("low") == 0)) & ((F.col("t.end") < F.length("around")) | F.col("to_end"))
-    apart = ~F.exists("spans", lambda s: (s["start"] < end) & (start < s["end"]))
+    # What no white space parts from a cut edge may belong to something longer.
+    whole = ((F.col("low") == 0) | F.substring(F.col("around"), F.lit(1), F.col("t.start")).rlike(r"\s")) & (
+        F.col("to_end") | F.substring(F.col("around"), F.col("t.end") + 1, F.length("around")).rlike(r"\s")
+    )
+    apart = ~F.exists("addresses", lambda s: (s["start"] < F.col("t.end")) & (F.col("t.start") < s["end"]))
     kept = terms.filter(whole & apart)
+    start, end = F.col("low") + F.col("t.start"), F.col("low") + F.col("t.end")
     return cut_lineage(kept.select("doc_id", "mark", "entity", F.lower("t.value").alias("term"), start.alias("start"), end.alias("end"), F.xxhash64("around").alias("place")))
 
 
