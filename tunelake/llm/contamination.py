@@ -183,34 +183,40 @@ def find(frame: DataFrame, items: DataFrame, share: float = ERROR_SHARE, id_colu
     rows = documents(frame, id_column, text_column)
     found = None
     for block in item_blocks(items, block_chars=block_chars):
-
-        def search(batches: Iterator[pd.DataFrame], block=block) -> Iterator[pd.DataFrame]:
-            known = Items(block, share)
-            for batch in batches:
-                out = []
-                for doc_id, text in zip(batch["doc_id"], batch["text"]):
-                    for number, (distance, end) in known.matches(text).items():
-                        allowed = len(known.cuts[number]) - 2
-                        for item_id in known.ids[number]:
-                            out.append((None if pd.isna(doc_id) else int(doc_id), item_id, distance, allowed, end))
-                table = pd.DataFrame(out, columns=["doc_id", "item_id", "distance", "budget", "match_end"])
-                yield table.astype({"doc_id": "Int64", "item_id": "Int64", "distance": "int32", "budget": "int32", "match_end": "int64"})
-
-        part = rows.mapInPandas(search, shape)
+        part = rows.mapInPandas(_searcher(block, share), shape)
         found = part if found is None else found.unionByName(part)
     return found
 
 
+def _searcher(block: list[tuple[int, str]], share: float):
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = Items(block, share)
+        for batch in batches:
+            out = []
+            for doc_id, text in zip(batch["doc_id"], batch["text"]):
+                for number, (distance, end) in known.matches(text).items():
+                    allowed = len(known.cuts[number]) - 2
+                    for item_id in known.ids[number]:
+                        out.append((None if pd.isna(doc_id) else int(doc_id), item_id, distance, allowed, end))
+            table = pd.DataFrame(out, columns=["doc_id", "item_id", "distance", "budget", "match_end"])
+            yield table.astype({"doc_id": "Int64", "item_id": "Int64", "distance": "int32", "budget": "int32", "match_end": "int64"})
+
+    return search
+
+
 def contaminated(text: Column, items: DataFrame, share: float = ERROR_SHARE, block_chars: int = BLOCK_CHARS) -> Column:
     """True for a text that holds any item."""
     answer = F.lit(False)
     for block in item_blocks(items, block_chars=block_chars):
+        answer = answer | _holder(block, share)(text)
+    return answer
 
-        @F.pandas_udf("boolean")
-        def holds(batches: Iterator[pd.Series], block=block) -> Iterator[pd.Series]:
-            known = Items(block, share)
-            for batch in batches:
-                yield pd.Series([bool(known.matches(text)) for text in batch], dtype="boolean")
 
-        answer = answer | holds(text)
-    return answer
+def _holder(block: list[tuple[int, str]], share: float):
+    @F.pandas_udf("boolean")
+    def holds(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known = Items(block, share)
+        for batch in batches:
+            yield pd.Series([bool(known.matches(text)) for text in batch], dtype="boolean")
+
+    return holds
