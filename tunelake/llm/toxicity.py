@@ -140,7 +140,11 @@ def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 40) -> dict
 
 
 def linear_classifier(rows: list[np.ndarray], size: int, target: np.ndarray, rounds: int = 300, decay: float = 2e-3) -> tuple[np.ndarray, float]:
-    """Logistic regression on soft labels: full gradients with a step per weight (Adam)."""
+    """Logistic regression on soft labels: full gradients with a step per weight (Adam).
+
+    Features were chosen as signs of toxicity, so no weight goes below zero: a word beginning that one
+    language uses innocently must not speak for its texts.
+    """
     lengths = np.array([len(row) for row in rows])
     flat = np.concatenate(rows) if len(rows) else np.zeros(0, dtype=np.int64)
     owner = np.repeat(np.arange(len(rows)), lengths)
@@ -153,7 +157,7 @@ def linear_classifier(rows: list[np.ndarray], size: int, target: np.ndarray, rou
         first, second = 0.9 * first + 0.1 * grad, 0.99 * second + 0.01 * grad**2
         first_b, second_b = 0.9 * first_b + 0.1 * error.sum(), 0.99 * second_b + 0.01 * error.sum() ** 2
         scale_1, scale_2 = 1 - 0.9**step, 1 - 0.99**step
-        weights -= 0.05 * (first / scale_1) / (np.sqrt(second / scale_2) + 1e-8)
+        weights = np.maximum(0.0, weights - 0.05 * (first / scale_1) / (np.sqrt(second / scale_2) + 1e-8))
         bias -= 0.05 * (first_b / scale_1) / (np.sqrt(second_b / scale_2) + 1e-8)
     return weights, float(bias)
 
@@ -217,7 +221,7 @@ def fit(texts: list[str], labels: list[float]) -> Model:
     word_sets = [words for _, words in looked]
     curated = [f"list:{n}" for n in LEXICONS] + [f"pattern:{n}" for n in PATTERNS]
     # The statistic a chance feature can reach grows with the number of features looked at.
-    least = 14.0 if len(texts) < 1000 else 25.0
+    least = 14.0 if len(texts) < 1000 else 20.0 if len(texts) < 4000 else 25.0
     found = mined(word_sets, marks, least, MINED_VOTERS)
     names = {name: n for n, name in enumerate(curated + found)}
     votes = np.zeros((len(texts), len(names)))
