@@ -44,7 +44,7 @@ SELECT seq, CASE WHEN seq % 11 = 0 THEN 'invalid_request_key' WHEN seq % 7 = 0 T
 )
 def _(s):
     seq = F.col("seq")
-    big = F.concat(F.lit('{"k": "'), F.repeat(F.lit("é"), 20000), F.lit('"}'))
+    big = F.concat(F.lit('{"k": "'), F.repeat(F.lit("é"), 8000), F.lit('"}'))
     rows = s.view(LV).filter("command = 'submit'").select(
         "seq",
         F.when(seq % 11 == 0, F.repeat(F.lit("k"), 257)).otherwise(F.col("request_key")).alias("request_key"),
@@ -224,13 +224,16 @@ def _(s):
 
 
 COMMITS_SQL = f"""{LOG_SQL},
-     ls AS (SELECT job_id, at_us, seq, by_worker AS lease_worker, at_us + {LEASE} AS lease_until_us, at_us + {DAY} + seq % 5 * {DAY} AS deadline_us,
+     no AS (SELECT job_id, min((at_us, seq)) AS cancelled FROM lg WHERE command = 'cancel' GROUP BY job_id),
+     ls AS (SELECT job_id, at_us, seq, tenant AS lease_tenant, by_worker AS lease_worker, at_us + {LEASE} AS lease_until_us, at_us + {DAY} + seq % 5 * {DAY} AS deadline_us,
                    row_number() OVER (PARTITION BY job_id ORDER BY at_us, seq) AS fence FROM lg WHERE command = 'claim'),
-     cl AS (SELECT c.job_id, c.at_us, c.seq, c.by_worker AS worker, c.payload_text AS result, l.fence, l.lease_worker, l.lease_until_us, l.deadline_us
-              FROM lg c ASOF LEFT JOIN ls l ON l.job_id = c.job_id AND c.at_us >= l.at_us WHERE c.command = 'commit'),
-     cv AS (SELECT *, coalesce(worker = lease_worker AND at_us < lease_until_us AND at_us < deadline_us, false) AS valid FROM cl),
-     cw AS (SELECT job_id, min_by(seq, (at_us, seq)) AS ws, min((at_us, seq)) AS wp, min_by(fence, (at_us, seq)) AS wf, min_by(worker, (at_us, seq)) AS ww, min_by(result, (at_us, seq)) AS wr FROM cv WHERE valid GROUP BY job_id),
-     co AS (SELECT cv.*, CASE WHEN seq = ws THEN 'committed' WHEN ws IS NOT NULL AND (at_us, seq) > wp AND fence = wf AND worker = ww AND result = wr THEN 'duplicate' ELSE 'stale' END AS outcome
+     cl AS (SELECT c.job_id, c.at_us, c.seq, c.by_worker AS worker, c.payload_text AS result, l.fence AS lease_fence,
+                   CASE WHEN c.seq % 7 = 0 THEN 'intruder' ELSE c.tenant END AS tenant, l.fence - CASE WHEN c.seq % 5 = 0 THEN 1 ELSE 0 END AS fence,
+                   no.cancelled IS NOT NULL AND no.cancelled < (c.at_us, c.seq) AS gone, l.lease_tenant, l.lease_worker, l.lease_until_us, l.deadline_us
+              FROM lg c ASOF LEFT JOIN ls l ON l.job_id = c.job_id AND c.at_us >= l.at_us LEFT JOIN no ON no.job_id = c.job_id WHERE c.command = 'commit'),
+     cv AS (SELECT *, coalesce(tenant = lease_tenant AND fence = lease_fence AND NOT gone AND worker = lease_worker AND at_us < lease_until_us AND at_us < deadline_us, false) AS valid FROM cl),
+     cw AS (SELECT job_id, min_by(seq, (at_us, seq)) AS ws, min((at_us, seq)) AS wp, min_by(fence, (at_us, seq)) AS wf, min_by(worker, (at_us, seq)) AS ww, min_by(tenant, (at_us, seq)) AS wt, min_by(result, (at_us, seq)) AS wr FROM cv WHERE valid GROUP BY job_id),
+     co AS (SELECT cv.*, CASE WHEN seq = ws THEN 'committed' WHEN ws IS NOT NULL AND (at_us, seq) > wp AND fence = wf AND tenant = wt AND worker = ww AND result = wr THEN 'duplicate' ELSE 'stale' END AS outcome
               FROM cv LEFT JOIN cw USING (job_id))"""
 
 
@@ -240,16 +243,22 @@ def commits(s):
     from tunelake.operators.scans import running, total
 
     claims = running(
-        rows.filter("command = 'claim'").withColumn("lease_worker", worker), ["job_id"], ["at_us", "seq"], g.hour(F.col("at_us")),
+        rows.filter("command = 'claim'").withColumn("worker", worker), ["job_id"], ["at_us", "seq"], g.hour(F.col("at_us")),
         {"fence": total(F.lit(1).cast("long"))},
     ).select(
-        "job_id", "at_us", "seq", "fence", "lease_worker", (F.col("at_us") + LEASE).alias("lease_until_us"),
+        "job_id", "at_us", "seq", "tenant", "fence", "worker", (F.col("at_us") + LEASE).alias("lease_until_us"),
         (F.col("at_us") + DAY + F.col("seq") % 5 * DAY).alias("deadline_us"),
     )
-    done = rows.filter("command = 'commit'").select(
-        "job_id", "at_us", "seq", worker.alias("worker"), F.col("payload_text").alias("result"), F.col("payload_text").alias("effect")
+    seq = F.col("seq")
+    ends = rows.filter("command = 'cancel'").groupBy("job_id").agg(F.min(F.struct("at_us", "seq")).alias("cancelled"))
+    done = rows.filter("command = 'commit'").join(ends, "job_id", "left")
+    gone = F.coalesce(F.col("cancelled") < F.struct("at_us", "seq"), F.lit(False))
+    done = done.select(
+        "job_id", "at_us", "seq", F.when(seq % 7 == 0, "intruder").otherwise(F.col("tenant")).alias("tenant"), worker.alias("worker"),
+        F.col("payload_text").alias("result"), F.col("payload_text").alias("effect"), F.when(gone, "cancelled").otherwise("leased").alias("state"),
     )
-    return g.attach_lease(done, claims)
+    # Every fifth commit still holds the fence of the lease before.
+    return g.attach_lease(done, claims).withColumn("fence", F.col("lease_fence") - (seq % 5 == 0).cast("int"))
 
 
 @check("classify_commits", "job_id:str seq:long fence:long outcome:str", f"WITH {COMMITS_SQL}\nSELECT * FROM co", LV)
@@ -306,11 +315,12 @@ def _(s):
     f"""WITH {REPLAY_SQL},
      cn AS (SELECT lg.job_id, lg.seq, lg.at_us, r.state, r.cancel_seq, fs.pos FROM lg LEFT JOIN fs ON fs.job_id = lg.job_id LEFT JOIN cm ON cm.job_id = lg.job_id AND cm.seq = lg.seq
               LEFT JOIN st_rec r ON r.job_id = cm.job_id AND r.n = cm.n WHERE lg.command = 'cancel')
-SELECT job_id, seq, CASE WHEN pos IS NULL OR (at_us, seq) < pos THEN 'unknown_job' WHEN cancel_seq = seq THEN 'cancelled' ELSE 'already_ended' END AS outcome FROM cn""",
+SELECT job_id, seq, CASE WHEN seq % 3 = 0 OR pos IS NULL OR (at_us, seq) < pos THEN 'unknown_job' WHEN cancel_seq = seq THEN 'cancelled' ELSE 'already_ended' END AS outcome FROM cn""",
     LV,
 )
 def _(s):
-    cancels = log(s).filter("command = 'cancel'").select("job_id", "seq", "at_us")
+    tenant = F.when(F.col("seq") % 3 == 0, "intruder").otherwise(F.col("tenant"))
+    cancels = log(s).filter("command = 'cancel'").select("job_id", tenant.alias("tenant"), "seq", "at_us")
     return g.cancellations(cancels, replay(s)[1])
 
 

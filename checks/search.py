@@ -56,8 +56,8 @@ def normal_sql(a: str, b: str) -> str:
     "validate_space",
     "name:str problem:str",
     """
-SELECT p_name AS name, CASE WHEN p_size % 3 < 2 AND (p_size % 4 = 0 OR p_size % 5 = 0) THEN 'continuous/discrete params need low and high'
-       WHEN p_size % 3 = 2 AND p_size % 7 = 0 THEN 'categorical params need choices' END AS problem
+SELECT p_name AS name, CASE WHEN p_size % 3 < 2 AND (p_size % 4 = 0 OR p_size % 5 = 0) THEN 'a numeric parameter lacks a bound'
+       WHEN p_size % 3 = 2 AND p_size % 7 = 0 THEN 'a categorical parameter lacks choices' END AS problem
   FROM part WHERE (p_size % 3 < 2 AND (p_size % 4 = 0 OR p_size % 5 = 0)) OR (p_size % 3 = 2 AND p_size % 7 = 0)
 """,
 )
@@ -486,12 +486,12 @@ def _(s):
     return ev.apply_constraints(s.view(GENES), limits(s), SPACE, 0.6, SEED)
 
 
-EPOCH_SPACE = sp.Space((sp.Param("epochs", sp.DISCRETE, 1.0, 30.0),))
-EPOCH_CONFIG = ev.EvolutionConfig(num_generations=10, late_epoch_bias=0.8, seed=SEED)
+TRAINING_SPACE = sp.Space((sp.Param("epochs", sp.DISCRETE, 1.0, 30.0),))
+TRAINING_CONFIG = ev.EvolutionConfig(num_generations=10, late_training_bias=0.8, seed=SEED)
 
 
 @check(
-    "late_epoch_bias",
+    "late_training_bias",
     "run_id:long generation:int ordinal:long num:dbl",
     f"""
 WITH a AS (SELECT run_id, CAST(ordinal % 10 AS INTEGER) AS generation, ordinal, CAST(y AS DOUBLE) AS num FROM population_view),
@@ -506,7 +506,7 @@ def _(s):
         "run_id", (F.col("ordinal") % 10).cast("int").alias("generation"), "ordinal", F.lit("epochs").alias("name"),
         F.col("y").cast("double").alias("num"), F.lit(None).cast("string").alias("cat"),
     )
-    return ev.late_epoch_bias(genes, EPOCH_SPACE, EPOCH_CONFIG)
+    return ev.late_training_bias(genes, TRAINING_SPACE, TRAINING_CONFIG)
 
 
 @check(
@@ -514,20 +514,22 @@ def _(s):
     GENE,
     f"""
 WITH {SPACE_SQL}, {LIMITS_SQL},
-     k AS (SELECT * FROM genes_view WHERE ordinal < 40),
-     j AS (SELECT k.run_id, k.generation, k.ordinal, k.name, k.num, k.cat, p.param_type, p.choices, coalesce(l.low, p.low) AS low, coalesce(l.high, p.high) AS high, l.preferred,
+     n AS (SELECT run_id, count(DISTINCT ordinal) AS size FROM genes_view GROUP BY run_id),
+     k AS (SELECT genes_view.*, size - least(size, CAST(round_even(size * CAST(0.15 AS DOUBLE), 0) AS BIGINT)) AS first FROM genes_view JOIN n USING (run_id)),
+     j AS (SELECT k.run_id, k.generation, k.ordinal, k.first, k.name, k.num, k.cat, p.param_type, p.choices, coalesce(l.low, p.low) AS low, coalesce(l.high, p.high) AS high, l.preferred,
                   {u(SEED, 'immigrant', 'k.run_id', 'k.generation', 'k.ordinal', 'k.name')} AS u,
                   {u(SEED, 'immigrant-gate', 'k.run_id', 'k.generation', 'k.ordinal', 'k.name')} AS g
              FROM k JOIN space p ON p.name = k.name LEFT JOIN lim l ON l.run_id = k.run_id AND l.name = k.name)
-SELECT run_id, generation, ordinal, name, CASE WHEN ordinal < 34 THEN num WHEN param_type = 'continuous' THEN low + u * (high - low)
+SELECT run_id, generation, ordinal, name, CASE WHEN ordinal < first THEN num WHEN param_type = 'continuous' THEN low + u * (high - low)
             WHEN param_type = 'discrete' THEN low + floor(u * (high - low + 1)) END AS num,
-       CASE WHEN ordinal < 34 THEN cat WHEN param_type = 'categorical' THEN CASE WHEN preferred IS NOT NULL AND g < 0.6 THEN {pick('u', 'preferred')} ELSE {pick('u', 'choices')} END END AS cat FROM j
+       CASE WHEN ordinal < first THEN cat WHEN param_type = 'categorical' THEN CASE WHEN preferred IS NOT NULL AND g < 0.6 THEN {pick('u', 'preferred')} ELSE {pick('u', 'choices')} END END AS cat FROM j
 """,
     f"{POP} {GENES}",
 )
 def _(s):
-    offspring = s.view(GENES).filter("ordinal < 40")
-    return ev.inject_immigrants(offspring, 40, 0.15, SPACE, limits(s), CONFIG)
+    genes = s.view(GENES)
+    sizes = genes.groupBy("run_id").agg(F.count_distinct("ordinal").alias("size"))
+    return ev.inject_immigrants(genes.join(sizes, "run_id"), F.col("size"), 0.15, SPACE, limits(s), CONFIG)
 
 
 @check(

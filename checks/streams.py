@@ -22,9 +22,20 @@ def replay(s, rows, stream, sink, cuts):
     """Write each time slice, then run the stream over it; the checkpoint carries it on."""
     base = folder(s)
     edges = [None, *cuts, None]
-    if s.spark.sparkContext.master.startswith("local"):
-        # State partitions are fixed at the first start; a local run needs few.
-        s.spark.conf.set("spark.sql.shuffle.partitions", "8")
+    # State partitions are fixed at the first start; these views need few. The session gets its values back.
+    wanted = {"spark.sql.shuffle.partitions": "8", "spark.sql.streaming.stateStore.providerClass": st.ROCKSDB}
+    before = {key: s.spark.conf.get(key) for key in wanted}
+    for key, value in wanted.items():
+        s.spark.conf.set(key, value)
+    try:
+        _run_slices(rows, stream, sink, edges, base)
+    finally:
+        for key, value in before.items():
+            s.spark.conf.set(key, value)
+    return base
+
+
+def _run_slices(rows, stream, sink, edges, base):
     for low, high in zip(edges, edges[1:]):
         part = rows
         if low is not None:
@@ -35,7 +46,6 @@ def replay(s, rows, stream, sink, cuts):
             "timestampFormat", st.MICROSECONDS
         ).json(f"{base}/in")
         sink(stream(f"{base}/in"), base).awaitTermination()
-    return base
 
 
 def to_parquet(frame, base):

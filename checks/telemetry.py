@@ -143,6 +143,7 @@ def _(s):
 
 
 RESOLVE_ORDER = ["received_at", "generation_id", "training_time_ms", "worker_id", "status", "validation_accuracy", "training_loss"]
+JOBS_SQL = "SELECT run_id, job_id, min(generation_id) AS generation_id FROM results_view GROUP BY run_id, job_id"
 RESOLVE_SQL = """
     SELECT *, row_number() OVER w AS rn, count(*) OVER (PARTITION BY run_id, job_id) AS deliveries FROM results_view
     WINDOW w AS (PARTITION BY run_id, job_id ORDER BY received_at, generation_id, training_time_ms, worker_id, status,
@@ -155,19 +156,20 @@ RESOLVE_SQL = """
     "run_id:long job_id:str generation_id:int worker_id:str validation_accuracy:dbl training_loss:dbl "
     "training_time_ms:long status:str error_message:str ignored_deliveries:long",
     f"""
-WITH f AS ({RESOLVE_SQL})
-SELECT run_id, job_id, generation_id, CASE WHEN status = 'COMPLETED' THEN worker_id ELSE '' END AS worker_id,
+WITH f AS ({RESOLVE_SQL}), jb AS (SELECT * FROM ({JOBS_SQL}) AS q WHERE generation_id % 5 <> 0)
+SELECT f.run_id, f.job_id, jb.generation_id, CASE WHEN status = 'COMPLETED' THEN worker_id ELSE '' END AS worker_id,
        CASE WHEN status = 'COMPLETED' THEN validation_accuracy ELSE 0 END AS validation_accuracy,
        CASE WHEN status = 'COMPLETED' THEN training_loss ELSE 0 END AS training_loss,
        CASE WHEN status = 'COMPLETED' THEN training_time_ms ELSE 0 END AS training_time_ms,
        CASE WHEN status = 'COMPLETED' THEN status ELSE 'FAILED' END AS status,
-       CASE WHEN status <> 'COMPLETED' THEN lower(status) END AS error_message, deliveries - 1 AS ignored_deliveries
-  FROM f WHERE rn = 1
+       CASE WHEN status <> 'COMPLETED' THEN concat('lost by ', worker_id) END AS error_message, deliveries - 1 AS ignored_deliveries
+  FROM f JOIN jb ON jb.run_id = f.run_id AND jb.job_id = f.job_id WHERE rn = 1
 """,
     "results_view",
 )
 def _(s):
-    return t.resolve_jobs(s.view("results_view"), RESOLVE_ORDER)
+    delivered = s.view("results_view").withColumn("error_message", F.concat(F.lit("lost by "), "worker_id"))
+    return t.resolve_jobs(delivered, RESOLVE_ORDER, job_table(s).filter("generation_id % 5 <> 0"))
 
 
 @check(
@@ -189,7 +191,6 @@ def job_table(s):
     return s.view("results_view").groupBy("run_id", "job_id").agg(F.min("generation_id").alias("generation_id"))
 
 
-JOBS_SQL = "SELECT run_id, job_id, min(generation_id) AS generation_id FROM results_view GROUP BY run_id, job_id"
 HALF_SQL = "SELECT DISTINCT run_id, job_id FROM results_view WHERE received_at < DATE '2001-06-01' AND training_time_ms % 50 <> 0"
 
 

@@ -174,7 +174,7 @@ def _worker_events(source) -> DataFrame:
 
 
 WORKER_EVENTS_SQL = """
-    SELECT event_id AS event_seq, epoch_us(ts) AS at_us, user_id,
+    SELECT event_id AS event_seq, date_diff('microsecond', TIMESTAMP '1970-01-01', ts) AS at_us, user_id,
            concat('w', user_id) AS worker_id,
            CASE event_type WHEN 'view' THEN 'heartbeat' WHEN 'click' THEN 'dispatch' WHEN 'purchase' THEN 'completed'
                 WHEN 'error' THEN 'failed' ELSE 'registration' END AS event,
@@ -241,7 +241,7 @@ def _ledger(source) -> DataFrame:
 
 
 LEDGER_SQL = """
-    SELECT event_id AS seq, epoch_us(ts) AS at_us,
+    SELECT event_id AS seq, date_diff('microsecond', TIMESTAMP '1970-01-01', ts) AS at_us,
            concat('t', user_id % 5) AS tenant,
            CASE event_type WHEN 'view' THEN 'submit' WHEN 'click' THEN 'claim' WHEN 'purchase' THEN 'commit'
                 WHEN 'error' THEN 'fail' ELSE 'cancel' END AS command,

@@ -149,12 +149,15 @@ def test_tool_plans(spark):
         (5, [("add", float("inf"), 1.0, None)], []),
         (6, [], []),
         (7, [("lookup", None, None, "lease"), ("multiply", 2.0, 4.0, None)], ["temporary ownership", "8.0"]),
+        (8, [("add", 1.0, 2.0, None)], ["3"]),
+        (9, [("add", 1.0, 2.0, None)], ["3", "4"]),
     ]
     plans = spark.createDataFrame(rows, f"plan_id int, calls array<{call}>, expected array<string>")
     got = {r.plan_id: (r.error, r.task_correct) for r in ledger.evaluate_tool_plans(plans).collect()}
     assert got == {
         1: (None, True), 2: (None, False), 3: ("unknown_tool", None), 4: ("invalid_lookup_key", None),
         5: ("invalid_operand", None), 6: ("invalid_plan", None), 7: (None, True),
+        8: (None, True), 9: (None, False),
     }
 
 
@@ -182,3 +185,62 @@ def test_ledger_ids_and_payloads(spark):
 
     assert row.i == hashlib.sha256(json.dumps(["t", 'k"1'], separators=(",", ":")).encode()).hexdigest()
     assert row.p == '{"a":[1,2],"b":1}'
+
+
+def test_canonical_text_is_ascii_and_keeps_number_kinds(spark):
+    import hashlib
+    import json
+
+    texts = ['{"b": "é😀", "a": 1}', '{"a": 1.0}', '{"a":1}', '{"a": 1e2}', '{"a": 100.0}', '{"a": "x, 1.5, \\" 2.5"}', "[1", None]
+    frame = spark.createDataFrame([(n, t) for n, t in enumerate(texts)], "n int, payload string")
+    got = {r.n: r.p for r in frame.select("n", ledger.canonical_payload(F.col("payload")).alias("p")).collect()}
+    for n in (0, 1, 2, 3, 4, 5):
+        assert got[n] == json.dumps(json.loads(texts[n]), sort_keys=True, separators=(",", ":"))
+    assert got[6] is None and got[7] is None
+    job = spark.range(1).select(ledger.ledger_job_id(F.lit("té"), F.lit("k😀")).alias("i")).first().i
+    assert job == hashlib.sha256(json.dumps(["té", "k😀"], separators=(",", ":")).encode()).hexdigest()
+
+
+def test_payload_limit_counts_escapes(spark):
+    rows = [("k", '{"a": "' + "é" * n + '"}', 1.0) for n in (5000, 8000)]
+    frame = spark.createDataFrame(rows, "request_key string, payload string, ttl_s double")
+    assert [r.rejection for r in ledger.submission_checks(frame).collect()] == [None, "payload_limit"]
+
+
+def test_foreign_tenants_do_not_know_the_job(spark):
+    rows = [
+        dict(at_us=0, command="submit"),
+        dict(at_us=1, command="cancel", tenant="other"),
+        dict(at_us=2, command="claim", worker="x", tenant="other"),
+        dict(at_us=3, command="claim", worker="a"),
+        dict(at_us=4, command="commit", worker="a", tenant="other", result="bad"),
+        dict(at_us=5, command="commit", worker="a", result="good"),
+    ]
+    commands = log(spark, rows)
+    jobs, history = ledger.replay_ledger(commands, ledger.ReplayPolicy(ttl_us=100, lease_us=50), 10)
+    assert [(r.state, r.result, r.attempt) for r in jobs.collect()] == [("succeeded", "good", 1)]
+    found = ledger.cancellations(commands.filter("command = 'cancel'"), history).collect()
+    assert [r.outcome for r in found] == ["unknown_job"]
+
+
+def test_renewals_count_among_many_other_commands(spark):
+    rows = [dict(at_us=0, command="submit"), dict(at_us=1, command="claim", worker="a", lease_us=5)]
+    rows += [dict(at_us=2, command=f"note{n}") for n in range(80)]
+    rows += [dict(at_us=4, command="renew", worker="a", lease_us=20), dict(at_us=15, command="commit", worker="a", result="r")]
+    jobs, _ = ledger.replay_ledger(log(spark, rows), ledger.ReplayPolicy(ttl_us=100, lease_us=5), 50)
+    assert [r.state for r in jobs.collect()] == ["succeeded"]
+
+
+def test_commits_need_their_own_fence_tenant_and_a_leased_job(spark):
+    leases = spark.createDataFrame(
+        [("j", 1, 1, "t", "a", 1, 50, 99), ("j", 10, 2, "t", "a", 3, 50, 99)],
+        "job_id string, at_us long, seq long, tenant string, worker string, fence int, lease_until_us long, deadline_us long",
+    )
+    rows = [
+        ("j", 11, 3, "t", "a", 1, "leased", "r"), ("j", 12, 4, "u", "a", 3, "leased", "r"), ("j", 13, 5, "t", "a", 3, "cancelled", "r"),
+        ("j", 14, 6, "t", "a", 3, "leased", "r"), ("j", 15, 7, "t", "a", 3, "succeeded", "r"), ("j", 16, 8, "t", "a", 3, "succeeded", "s"),
+    ]
+    commits = spark.createDataFrame(rows, "job_id string, at_us long, seq long, tenant string, worker string, fence int, state string, result string")
+    attached = ledger.attach_lease(commits.withColumn("effect", F.col("result")), leases)
+    got = [r.outcome for r in ledger.classify_commits(attached).orderBy("seq").collect()]
+    assert got == ["stale", "stale", "stale", "committed", "duplicate", "stale"]

@@ -101,6 +101,20 @@ def test_dedupe_small_domain_keeps_size(spark):
     assert next(r.cat for r in got if r.ordinal == 0) == "a"
 
 
+def test_dedupe_uses_every_free_attempt(spark):
+    """Few attempts and many clones: as long as an attempt is free, nobody is left with a clash."""
+    from dataclasses import replace
+
+    tight = sp.Space((sp.Param("z", sp.DISCRETE, 0.0, 3000.0),))
+    rows_ = [(0, 0, i, "z", 5.0, None) for i in range(2000)]
+    genes = spark.createDataFrame(rows_, "run_id long, generation int, ordinal long, name string, num double, cat string")
+    config = replace(CONFIG, dedupe_retries=2)
+    got = ev.dedupe_genomes(genes, tight, ps.no_constraints(spark), config)
+    keep = {r.ordinal: r.num for r in got.collect()}
+    assert len(keep) == 2000 and keep[0] == 5.0
+    assert len(set(keep.values())) > 1200
+
+
 def test_grid_decodes_large_products(spark):
     big = sp.Space(tuple(sp.Param(f"p{i}", sp.CONTINUOUS, 0.0, 1.0) for i in range(40)))
     wide = e.wide_genomes(sp.grid_candidates(spark, big, 10, 25), big).orderBy("ordinal").collect()

@@ -59,7 +59,7 @@ class EvolutionConfig:
     quantile: float = 0.20
     min_span_ratio: float = 0.35
     categorical_bias: float = 0.60
-    late_epoch_bias: float = 0.0
+    late_training_bias: float = 0.0
     epochs: int = 10
     seed: int = 0
 
@@ -329,14 +329,14 @@ def apply_constraints(genes: DataFrame, constraints: DataFrame, space: Space, bi
     )
 
 
-def late_epoch_bias(genes: DataFrame, space: Space, config: EvolutionConfig) -> DataFrame:
+def late_training_bias(genes: DataFrame, space: Space, config: EvolutionConfig) -> DataFrame:
     """Redraw ``epochs`` upwards with a chance that grows over the generations."""
-    if config.late_epoch_bias <= 0 or "epochs" not in space.names():
+    if config.late_training_bias <= 0 or "epochs" not in space.names():
         return genes
     param = space.get("epochs")
     progress = clamp(F.col("generation") / F.lit(float(max(config.num_generations - 1, 1))), F.lit(0.0), F.lit(1.0))
     key = [F.col(c) for c in CANDIDATE]
-    chance = F.lit(min(max(config.late_epoch_bias, 0.0), 1.0)) * progress
+    chance = F.lit(min(max(config.late_training_bias, 0.0), 1.0)) * progress
     hit = (F.col("name") == "epochs") & (draws.uniform(config.seed, "epochs-gate", *key) < chance)
     draw = draws.uniform(config.seed, "epochs", *key)
     if param.param_type == CATEGORICAL:
@@ -354,12 +354,15 @@ def late_epoch_bias(genes: DataFrame, space: Space, config: EvolutionConfig) ->
 
 
 def inject_immigrants(
-    genes: DataFrame, offspring: int, rate: Column | float, space: Space, constraints: DataFrame, config: EvolutionConfig
+    genes: DataFrame, offspring: Column | int, rate: Column | float, space: Space, constraints: DataFrame, config: EvolutionConfig
 ) -> DataFrame:
-    """Replace the last share of each run's offspring by fresh (narrowed) draws."""
+    """Replace the last share of each run's offspring by fresh (narrowed) draws.
+
+    ``offspring`` is the number per run: one for all, or a column of ``genes``.
+    """
+    offspring = F.lit(offspring) if isinstance(offspring, int) else offspring
     share = clamp(F.lit(rate) if isinstance(rate, float) else rate, F.lit(0.0), F.lit(1.0))
-    count = F.least(F.lit(offspring), half_even(F.lit(offspring) * share).cast("long"))
-    limit = F.lit(offspring) - count
+    limit = offspring - F.least(offspring, half_even(offspring * share).cast("long"))
     marked = genes.withColumn("_replace", F.col("ordinal") >= limit)
     gone = marked.filter("_replace").select(*CANDIDATE).distinct().join(constraint_map(constraints), "run_id", "left")
     fresh = random_genes(gone, space, config.seed, "immigrant", config.categorical_bias)
@@ -406,21 +409,23 @@ def dedupe_genomes(
         free = cut_lineage(free.select(*CANDIDATE, "attempt", "genome_key"))
         owned = None
         # Whoever loses all its attempts to earlier candidates tries the genomes they left.
-        for _ in range(retries):
+        # Every turn settles at least the first candidate of each genome, so this ends.
+        while not free.isEmpty():
             owner = free.groupBy(*POPULATION, "genome_key").agg(F.min(F.struct("ordinal", "attempt")).alias("o"))
             picked = owner.groupBy(*POPULATION, F.col("o.ordinal").alias("ordinal")).agg(
                 F.min(F.struct("o.attempt", "genome_key")).alias("p")
             )
             picked = cut_lineage(picked.select(*CANDIDATE, "p.attempt", "p.genome_key"))
             owned = picked if owned is None else owned.unionByName(picked)
-            free = free.join(picked.select(*CANDIDATE), CANDIDATE, "left_anti").join(
-                picked.select(*POPULATION, "genome_key"), [*POPULATION, "genome_key"], "left_anti"
+            free = cut_lineage(
+                free.join(picked.select(*CANDIDATE), CANDIDATE, "left_anti").join(
+                    picked.select(*POPULATION, "genome_key"), [*POPULATION, "genome_key"], "left_anti"
+                )
             )
-            if free.isEmpty():
-                break
-        owned = owned.select(*CANDIDATE, "attempt")
-        replacements = whole.join(owned, [*CANDIDATE, "attempt"]).select(*GENE, "num", "cat")
-        clash = clash.join(owned, CANDIDATE, "left_anti")
+        if owned is not None:
+            owned = owned.select(*CANDIDATE, "attempt")
+            replacements = whole.join(owned, [*CANDIDATE, "attempt"]).select(*GENE, "num", "cat")
+            clash = clash.join(owned, CANDIDATE, "left_anti")
     changed = replacements
     if not clash.isEmpty():
         stuck = genes.join(clash, CANDIDATE, "left_semi")
@@ -433,6 +438,8 @@ def dedupe_genomes(
         fine = fine.groupBy(*POPULATION, "genome_key").agg(F.min("ordinal").alias("ordinal")).select(*CANDIDATE)
         moved = mutated.join(fine, CANDIDATE, "left_semi").select(*GENE, "num", "cat")
         changed = moved if changed is None else changed.unionByName(moved)
+    if changed is None:
+        return genes.select(*GENE, "num", "cat")
     kept = genes.join(changed.select(*CANDIDATE).distinct(), CANDIDATE, "left_anti").select(*GENE, "num", "cat")
     return kept.unionByName(changed)
 

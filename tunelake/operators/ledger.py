@@ -6,7 +6,7 @@ worker, fence, lease time, result, effect, error and retryable. Times are micros
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -42,14 +42,41 @@ def hour(at: Column) -> Column:
     return number_block(at, HOUR_US)
 
 
+def _rewritten(text: Column, pattern: str, gap: Callable[[Column], Column], hit: Callable[[Column], Column]) -> Column:
+    """The text with its matches and the gaps between them rewritten, each once."""
+    parts = F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"))
+
+    def joined(p: Column) -> Column:
+        pieces = F.transform(p["gaps"], lambda g, n: F.concat(gap(g), F.coalesce(hit(F.get(p["hits"], n)), F.lit(""))))
+        return F.array_join(pieces, "")
+
+    return F.get(F.transform(F.array(parts), joined), F.lit(0))
+
+
+def escaped(text: Column) -> Column:
+    """JSON text in ASCII: every other UTF-16 unit as a lower-case escape of four hex digits."""
+    units = lambda run: F.regexp_replace(F.lower(F.hex(F.encode(run, "UTF-16BE"))), "(.{4})", r"\\u$1")
+    return _rewritten(text, r"[^\x00-\x7f]+", lambda gap: gap, units)
+
+
+def _marked_fractions(text: Column) -> Column:
+    """Numbers with a point get an exponent, so that the parser keeps them as fractions; strings stay."""
+    strings = r'"(?:[^"\\]|\\.)*+"'
+    return _rewritten(text, strings, lambda gap: F.regexp_replace(gap, r"(-?[0-9]++\.[0-9]++)(?![0-9eE.])", "$1e0"), lambda hit: hit)
+
+
 def ledger_job_id(tenant: Column, request_key: Column) -> Column:
     """Hash id of the canonical ``[tenant, key]`` text."""
-    return F.sha2(F.to_json(F.array(tenant, request_key)), 256)
+    return F.sha2(escaped(F.to_json(F.array(tenant, request_key))), 256)
 
 
 def canonical_payload(payload: Column) -> Column:
-    """JSON text with sorted keys and no blanks; null when it is not JSON."""
-    return F.to_json(F.try_parse_json(payload))
+    """JSON text in ASCII with sorted keys and no blanks; null when it is not JSON.
+
+    Whole numbers and fractions stay apart: ``1`` and ``1.0`` are different payloads, while all
+    spellings of one fraction (``100.0``, ``1e2``) are written alike.
+    """
+    return escaped(F.to_json(F.try_parse_json(_marked_fractions(payload))))
 
 
 def submission_checks(submissions: DataFrame) -> DataFrame:
@@ -142,29 +169,49 @@ def expire_as_of(jobs: DataFrame, at_us: int, max_attempts: int = POLICY_DEFAULT
 
 
 def attach_lease(commands: DataFrame, leases: DataFrame) -> DataFrame:
-    """The newest lease of each command's job at that moment."""
-    payload = ["fence", "lease_worker", "lease_until_us", "deadline_us"]
-    return as_of(commands, leases, ["job_id"], "at_us", payload, hour, tie="seq")
+    """The newest lease of each command's job at that moment, under names of its own.
+
+    ``leases`` hold ``job_id, at_us, seq, tenant, worker, fence, lease_until_us, deadline_us``.
+    """
+    own = leases.select(
+        "job_id",
+        "at_us",
+        "seq",
+        *[F.col(c).alias(f"lease_{c}") for c in ("tenant", "worker", "fence")],
+        "lease_until_us",
+        "deadline_us",
+    )
+    payload = ["lease_tenant", "lease_worker", "lease_fence", "lease_until_us", "deadline_us"]
+    return as_of(commands, own, ["job_id"], "at_us", payload, hour, tie="seq")
 
 
 def classify_commits(commits: DataFrame) -> DataFrame:
     """Committed, duplicate or stale, for commits that carry the lease in force.
 
-    A commit is valid for its own worker before lease end and deadline. The first valid one of a
-    job wins; the same result and effect under the winner's fence and worker is a duplicate.
+    A commit is valid for the tenant, worker and fence of that lease before its end and the deadline,
+    while the job is leased (``state``, if there is such a column, is the job's state just before). The
+    first valid one of a job wins; the same result and effect under the winner's fence and worker is a
+    duplicate.
     """
     now = F.col("at_us")
     valid = (
-        (F.col("worker") == F.col("lease_worker")) & (now < F.col("lease_until_us")) & (now < F.col("deadline_us"))
-    )
+        F.col("tenant").eqNullSafe(F.col("lease_tenant"))
+        & (F.col("worker") == F.col("lease_worker"))
+        & (F.col("fence") == F.col("lease_fence"))
+        & (now < F.col("lease_until_us"))
+        & (now < F.col("deadline_us"))
+    )
+    if "state" in commits.columns:
+        valid = valid & (F.col("state") == "leased")
     won = F.when(
-        F.coalesce(valid, F.lit(False)), F.struct("at_us", "seq", "fence", "worker", "result", "effect")
+        F.coalesce(valid, F.lit(False)), F.struct("at_us", "seq", "tenant", "fence", "worker", "result", "effect")
     )
     marked = commits.withColumn("_won", won)
     first = running(marked, ["job_id"], ["at_us", "seq"], hour(now), {"_winner": lowest(F.col("_won"))})
     w = F.col("_winner")
     same = (
-        (w["fence"] == F.col("fence"))
+        w["tenant"].eqNullSafe(F.col("tenant"))
+        & (w["fence"] == F.col("fence"))
         & (w["worker"] == F.col("worker"))
         & w["result"].eqNullSafe(F.col("result"))
         & w["effect"].eqNullSafe(F.col("effect"))
@@ -210,10 +257,10 @@ def retry_outcomes(failures: DataFrame, max_attempts: int = POLICY_DEFAULTS["max
 def cancellations(cancels: DataFrame, history: DataFrame) -> DataFrame:
     """Whether each cancellation found its job pending or leased, by the history before it.
 
-    ``history`` holds ``state`` after each lifecycle event. Commands of unknown jobs are
-    reported as such.
+    ``history`` holds ``tenant`` and ``state`` after each lifecycle event. Commands of unknown jobs,
+    and of tenants that do not own the job, are reported as such.
     """
-    found = as_of(cancels, history, ["job_id"], "at_us", ["state"], hour, tie="event_no", strict=True)
+    found = as_of(cancels, history, ["tenant", "job_id"], "at_us", ["state"], hour, tie="event_no", strict=True)
     outcome = (
         F.when(F.col("state").isNull(), "unknown_job")
         .when(F.col("state").isin("pending", "leased"), "cancelled")
@@ -258,8 +305,8 @@ def _command_columns(commands: DataFrame, policy: ReplayPolicy) -> DataFrame:
 
 def _renewal_ends(commands: DataFrame) -> DataFrame:
     """Mark each renewal with the end of its unbroken chain under one worker and fence."""
-    renewals = commands.filter("command = 'renew'").select("job_id", "worker", "fence", "at_us", "seq", "lease_us")
-    keys, order = ["job_id", "worker", "_fence"], ["at_us", "seq"]
+    renewals = commands.filter("command = 'renew'").select("job_id", "tenant", "worker", "fence", "at_us", "seq", "lease_us")
+    keys, order = ["job_id", "tenant", "worker", "_fence"], ["at_us", "seq"]
     staged = renewals.withColumn("_fence", F.coalesce("fence", F.lit(-1))).withColumn(
         "_until", F.col("at_us") + F.col("lease_us")
     )
@@ -317,9 +364,10 @@ def fold_commands(
 ) -> DataFrame:
     """Fold commands into job states, starting from the states of an earlier fold if given."""
     log = _command_columns(commands, policy)
-    log = log.join(_renewal_ends(log), ["job_id", "seq"], "left") if "renew" in _kinds(log) else log.withColumn(
-        "chain_until_us", F.lit(None).cast("long")
-    )
+    if log.filter("command = 'renew'").isEmpty():
+        log = log.withColumn("chain_until_us", F.lit(None).cast("long"))
+    else:
+        log = log.join(_renewal_ends(log), ["job_id", "seq"], "left")
     rows = log.filter(F.col("command") != "submit")
     salted, sizes = spread_hot(rows, ["job_id"], "seq", hot_rows)
     # Shuffled once; every round joins it in place.
@@ -369,10 +417,6 @@ def fold_commands(
     return state
 
 
-def _kinds(log: DataFrame) -> set[str]:
-    return {row["command"] for row in log.select("command").distinct().limit(64).collect()}
-
-
 def _event(kind: str | Column, at: Column, fence: Column, state: str | Column) -> Column:
     as_column = lambda v: F.lit(v) if isinstance(v, str) else v
     return F.struct(
@@ -388,7 +432,8 @@ def _round(state: DataFrame, commands: DataFrame, policy: ReplayPolicy, horizon_
     active = F.col("state").isin("pending", "leased")
     seeking = meet_hot(
         state.filter(active).select(
-            "job_id", "state", F.col("worker").alias("own_worker"), F.col("fence").alias("own_fence"), "pos_us", "pos_seq", "_salts"
+            "job_id", "state", F.col("tenant").alias("own_tenant"), F.col("worker").alias("own_worker"),
+            F.col("fence").alias("own_fence"), "pos_us", "pos_seq", "_salts"
         )
     )
     later = (F.col("at_us") > F.col("pos_us")) | ((F.col("at_us") == F.col("pos_us")) & (F.col("seq") > F.col("pos_seq")))
@@ -400,7 +445,8 @@ def _round(state: DataFrame, commands: DataFrame, policy: ReplayPolicy, horizon_
     renewal = (F.col("state") == "leased") & (F.col("command") == "renew") & own
     found = (
         commands.join(seeking, ["job_id", "_salt"])
-        .filter(later & (pending_next | leased_next | renewal))
+        # A command of another tenant does not know the job.
+        .filter(later & F.col("tenant").eqNullSafe(F.col("own_tenant")) & (pending_next | leased_next | renewal))
         .groupBy("job_id", "_salt")
         .agg(
             F.min(
@@ -560,6 +606,14 @@ def evaluate_tool_plans(plans: DataFrame) -> DataFrame:
             .otherwise((call["a"] * call["b"]).cast("string"))
         )
 
+    def same(given: Column, wanted: Column) -> Column:
+        """Numbers agree as numbers, however they are written; other answers as text."""
+        left, right = given.try_cast("double"), wanted.try_cast("double")
+        return F.when(left.isNotNull() & right.isNotNull(), left == right).otherwise(given.eqNullSafe(wanted))
+
+    agreed = F.coalesce(
+        (F.size("answers") == F.size("expected")) & F.forall(F.zip_with("answers", "expected", same), lambda ok: ok), F.lit(False)
+    )
     calls = F.col("calls")
     size = F.coalesce(F.size(calls), F.lit(0))
     problems = F.filter(F.transform(calls, problem), lambda p: p.isNotNull())
@@ -567,7 +621,7 @@ def evaluate_tool_plans(plans: DataFrame) -> DataFrame:
     return (
         plans.withColumn("error", error)
         .withColumn("answers", F.when(F.col("error").isNull(), F.transform(calls, answer)))
-        .withColumn("task_correct", F.when(F.col("error").isNull(), F.col("answers").eqNullSafe(F.col("expected"))))
+        .withColumn("task_correct", F.when(F.col("error").isNull(), agreed))
     )
 
 

@@ -191,9 +191,8 @@ def run_stats(
     joined = kpis.join(time_stop.select("run_id", "stop_generation"), "run_id", "left").join(
         worker_stop, "run_id", "left"
     )
-    before = F.coalesce(F.col("stop_generation"), F.lit(1 << 30))
-    after = F.coalesce(F.col("stop_after_generation"), F.lit(1 << 30))
-    done = (F.col("generation_id") < before) & (F.col("generation_id") <= after)
+    before, after = F.col("stop_generation"), F.col("stop_after_generation")
+    done = (before.isNull() | (F.col("generation_id") < before)) & (after.isNull() | (F.col("generation_id") <= after))
     stats = joined.filter(done).groupBy("run_id").agg(
         F.lit(population_size * planned).cast("long").alias("jobs_planned"),
         F.sum("jobs_count").alias("jobs_submitted"),
@@ -358,13 +357,14 @@ def peak_fitness(summaries: DataFrame, metrics: DataFrame) -> DataFrame:
 
 
 def rank_runs(summaries: DataFrame, tie: str = "run_id") -> DataFrame:
-    """Rank runs by observed rate, then overhead, job time and peak; unknown rates are left out."""
+    """Rank runs by observed rate, then overhead, job time (raw if known) and peak; unknown rates are left out."""
+    job_time = [c for c in ("avg_job_ms_raw", "avg_job_ms") if c in summaries.columns]
     rate = observed_throughput(F.col("completed"), F.col("wall_clock_total_s"))
     known = summaries.withColumn("observed_jobs_per_sec", rate).filter("observed_jobs_per_sec IS NOT NULL")
     order = [
         -F.col("observed_jobs_per_sec"),
         F.coalesce("queue_overhead_p90_pct", F.lit(0.0)),
-        F.coalesce("avg_job_ms", F.lit(0.0)),
+        F.coalesce(*job_time, F.lit(0.0)),
         -F.col("peak_fitness"),
     ]
     return ranked(known, [], order, tie, "rank")

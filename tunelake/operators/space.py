@@ -21,7 +21,6 @@ CONTINUOUS, DISCRETE, CATEGORICAL = "continuous", "discrete", "categorical"
 PARAM_SCHEMA = (
     "ordinal int, name string, param_type string, low double, high double, choices array<string>, log_scale boolean"
 )
-MAX_PARAMS = 10_000
 
 
 @dataclass(frozen=True)
@@ -96,10 +95,8 @@ class Space:
 
     @staticmethod
     def from_table(table: DataFrame) -> Space:
-        """Space of a parameter table; refuses tables that are no plausible space."""
-        rows = table.orderBy("ordinal").limit(MAX_PARAMS + 1).collect()
-        if len(rows) > MAX_PARAMS:
-            raise ValueError("a search space has at most 10000 parameters")
+        """Space of a parameter table; a space is a model that the driver holds, whatever its length."""
+        rows = table.orderBy("ordinal").collect()
         return Space(
             tuple(
                 Param(r.name, r.param_type, r.low, r.high, tuple(r.choices or ()), bool(r.log_scale)) for r in rows
@@ -144,9 +141,9 @@ def validate_space(table: DataFrame) -> DataFrame:
     """Parameters that lack what their type needs."""
     numeric = F.col("param_type").isin(CONTINUOUS, DISCRETE)
     problem = (
-        F.when(numeric & (F.col("low").isNull() | F.col("high").isNull()), "continuous/discrete params need low and high")
+        F.when(numeric & (F.col("low").isNull() | F.col("high").isNull()), "a numeric parameter lacks a bound")
         .when((F.col("param_type") == CATEGORICAL) & (F.coalesce(F.size("choices"), F.lit(0)) <= 0),
-              "categorical params need choices")
+              "a categorical parameter lacks choices")
         .when(~numeric & (F.col("param_type") != CATEGORICAL), "unknown parameter type")
     )
     return table.withColumn("problem", problem).filter("problem IS NOT NULL")

@@ -139,8 +139,15 @@ def worker_idle_gap(events: DataFrame, keys: Sequence[str] = ("worker_id",)) ->
     )
 
 
-def resolve_jobs(results: DataFrame, order: Sequence[str]) -> DataFrame:
-    """First terminal delivery of each job; anything but a completion is a failure with zeros."""
+def resolve_jobs(results: DataFrame, order: Sequence[str], jobs: DataFrame | None = None) -> DataFrame:
+    """First terminal delivery of each job; anything but a completion is a failure with zeros.
+
+    With ``jobs`` (``run_id, job_id, generation_id``) deliveries of unknown jobs are left out and the
+    generation is the job's own. A failure carries the delivered ``error_message`` if there is one.
+    """
+    if jobs is not None:
+        known = jobs.select("run_id", "job_id", "generation_id")
+        results = results.drop("generation_id").join(known, ["run_id", "job_id"])
     first = results.groupBy("run_id", "job_id").agg(
         F.min(
             F.struct(
@@ -160,7 +167,7 @@ def resolve_jobs(results: DataFrame, order: Sequence[str]) -> DataFrame:
         F.when(done, F.col("first.training_loss")).otherwise(0.0).alias("training_loss"),
         F.when(done, F.col("first.training_time_ms")).otherwise(0).cast("long").alias("training_time_ms"),
         F.when(done, "COMPLETED").otherwise("FAILED").alias("status"),
-        F.when(~done, F.lower("first.status")).alias("error_message"),
+        F.when(~done, F.col("first.error_message") if "error_message" in results.columns else F.lower("first.status")).alias("error_message"),
         "ignored_deliveries",
     )
 

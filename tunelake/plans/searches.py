@@ -97,7 +97,7 @@ def evolve(
     mutated = steps.mutate(aged, space, config, floor).drop("mutation_rate_floor_override")
     rate_by_run = mutated.select(*CANDIDATE, "name", "num", "cat")
     limited = ev.apply_constraints(rate_by_run, constraints, space, config.categorical_bias, config.seed)
-    biased = ev.late_epoch_bias(limited, space, config).join(rates, "run_id", "left")
+    biased = ev.late_training_bias(limited, space, config).join(rates, "run_id", "left")
     rate = F.coalesce("immigrant_rate_override", F.lit(config.immigrant_rate))
     mixed = ev.inject_immigrants(biased, offspring_count, rate, space, constraints, config)
 

@@ -22,24 +22,26 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSe
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="tunelake-steps-"))
         .getOrCreate()
     )
 
 
-_SCRATCH: dict[str, str] = {}
-
-
 def scratch_folder(spark: SparkSession) -> str:
-    """Shared folder for written steps: the cluster's ``spark.checkpoint.dir``.
-
-    Only a local session without that setting gets a folder of its own.
-    """
+    """Shared folder for written steps: the session's ``spark.checkpoint.dir``."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if shared:
-        return shared
-    if not spark.sparkContext.master.startswith("local"):
+    if not shared:
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    return _SCRATCH.setdefault("local", tempfile.mkdtemp(prefix="tunelake-steps-"))
+    return shared
+
+
+def with_scratch_folder(spark: SparkSession) -> SparkSession:
+    """Give a session on this one machine a folder if it names none; clusters must name theirs."""
+    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tunelake-steps-"))
+    return spark
 
 
 def cut_lineage(frame: DataFrame) -> DataFrame:

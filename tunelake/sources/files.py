@@ -94,5 +94,5 @@ def artifact_manifest(spark: SparkSession, path: str, pattern: str = "*", text:
 
 
 def write_report(lines: DataFrame, path: str) -> None:
-    """Numbered report lines as one ordered text file per partition."""
-    lines.orderBy("position").select("line").write.mode("overwrite").text(path)
+    """Numbered report lines, section by section, as one ordered text file per partition."""
+    lines.orderBy(*[c for c in ("section", "position") if c in lines.columns]).select("line").write.mode("overwrite").text(path)

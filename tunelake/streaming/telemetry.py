@@ -132,8 +132,11 @@ class HeartbeatProcessor(StatefulProcessor):
 
 
 def heartbeat_timeouts(events: DataFrame, timeout_ms: int, delay: str) -> DataFrame:
-    """Workers that fell silent, from a stream of ``worker_id, at, event_seq, event, job_id``."""
-    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    """Workers that fell silent, from a stream of ``worker_id, at, event_seq, event, job_id``.
+
+    The session that starts the query must name ``ROCKSDB`` as its state store; this function does
+    not change it.
+    """
     timed = events.withWatermark("at", delay).withColumn("at_us", F.unix_micros("at"))
     return timed.groupBy("worker_id").transformWithStateInPandas(
         HeartbeatProcessor(timeout_ms),
