@@ -107,10 +107,14 @@ def evolve(
     )
     shifted = mixed.withColumn("ordinal", F.col("ordinal") + config.elite_count)
     merged = cut_lineage(elite_genes.unionByName(shifted))
-    next_genes = ev.dedupe_genomes(merged, space, constraints, config)
+    next_genes = cut_lineage(ev.dedupe_genomes(merged, space, constraints, config))
     elite_rows = kept.select(
         "run_id", (F.col("generation") + 1).alias("generation"), F.col("slot").alias("ordinal"), F.col("fitness").alias("_kept")
     )
+    # An elite whose genome de-duplication replaced is a new candidate without a score.
+    elite_keys = ev.genome_keys(merged.filter(F.col("ordinal") < config.elite_count)).select(*CANDIDATE, "genome_key")
+    same = elite_keys.join(ev.genome_keys(next_genes).select(*CANDIDATE, "genome_key"), [*CANDIDATE, "genome_key"], "left_semi")
+    elite_rows = elite_rows.join(same, CANDIDATE, "left_semi")
     next_population = (
         next_genes.filter(F.col("name") == space.params[0].name)
         .select(*CANDIDATE)
@@ -196,7 +200,7 @@ def run_search(
         )
         state = state.withColumn("remaining", F.greatest(F.col("remaining") - 1, F.lit(0)))
         next_population, next_genes = evolve(population, genes, space, config, overrides, steps)
-        population, genes = cut_lineage(next_population), cut_lineage(next_genes)
+        population, genes = cut_lineage(next_population), next_genes
     return history
 
 
