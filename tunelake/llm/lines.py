@@ -84,7 +84,7 @@ def without_repeats(frame: DataFrame, unit: str = "line", min_words: int = MIN_W
     spans = repeats(frame, unit, min_words, id_column, text_column).groupBy("doc_id").agg(
         F.collect_set(F.struct("start", "end")).alias("spans")
     )
-    spans = cut_lineage(spans.select(F.col("doc_id").alias("__id"), "spans"))
+    spans = cut_lineage(spans.select(F.col("doc_id").alias("__id"), F.col("spans").alias("__spans")))
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, removed: pd.Series) -> pd.Series:
@@ -100,7 +100,7 @@ def without_repeats(frame: DataFrame, unit: str = "line", min_words: int = MIN_W
         return pd.Series(out, dtype=object)
 
     joined = frame.join(spans, F.col(id_column).cast("long") == F.col("__id"), "left")
-    changed = joined.withColumn(text_column, F.when(F.col("spans").isNull(), F.col(text_column)).otherwise(cut(F.col(text_column), F.col("spans"))))
+    changed = joined.withColumn(text_column, F.when(F.col("__spans").isNull(), F.col(text_column)).otherwise(cut(F.col(text_column), F.col("__spans"))))
     return changed.select(*frame.columns)
 
 
