@@ -32,23 +32,31 @@ PAIRS = [(5, f"head\n{LONG}\ntail"), (2, f"{LONG.upper()}  \nshort line\nshort l
 
 
 def test_against_brute_force(spark):
-    found = lines.repeats(with_ids(spark, PAIRS)).select("doc_id", "start", "end", "kept_doc_id", "kept_start")
+    found = lines.repeats(with_ids(spark, PAIRS), "line", 5).select("doc_id", "start", "end", "kept_doc_id", "kept_start")
     assert rows_of(found) == brute(PAIRS)
 
 
 def test_texts_without_repeats(spark):
     pairs = [p for p in PAIRS if p[0] not in (3, None)]
     frame = with_ids(spark, pairs)
-    kept = lines.without_repeats(frame)
+    kept = lines.without_repeats(frame, "line", 5)
     assert kept.columns == frame.columns
     texts = {r["doc_id"]: r["text"] for r in kept.collect()}
     assert texts[5] == "head\n\ntail" and texts[7] == "\n" and texts[9] is None and texts[8] == ""
     assert texts[2] == dict(pairs)[2] and texts[11] == dict(pairs)[11]
 
 
+def test_passages_inside_lines(spark):
+    passage = "One two three four five six seven eight. Nine ten eleven twelve thirteen fourteen fifteen sixteen? Seventeen."
+    texts = [f"first words of a line {passage} and more of it", f"another line. {passage}\nrest", "all of this is new text, none of it is anywhere else. Short one."]
+    found = lines.repeats(table(spark, texts)).collect()
+    cut = {(r["doc_id"], texts[r["doc_id"]][r["start"] : r["end"]], r["kept_doc_id"]) for r in found}
+    assert cut == {(1, "Nine ten eleven twelve thirteen fourteen fifteen sixteen?", 0)}
+
+
 def test_paragraphs(spark):
     text = f"a b c d e\nf g\n\n{LONG}\n \n{LONG}"
-    found = lines.repeats(table(spark, [text]), unit="paragraph").collect()
+    found = lines.repeats(table(spark, [text]), unit="paragraph", min_words=5).collect()
     assert [(r["start"], r["kept_start"]) for r in found] == [(text.rindex("w0 "), text.index("w0 "))]
 
 

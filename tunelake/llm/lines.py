@@ -1,6 +1,7 @@
 """Substring de-duplication by hashing lines or paragraphs.
 
-A text is cut into units with their offsets in the original. Units are normalised (lower case, runs of
+A text is cut into units with their offsets in the original: paragraphs, lines, or (the default) lines that
+are cut once more after each sentence, so that a passage pasted into the middle of a line is met too. Units are normalised (lower case, runs of
 white space as one space, none at the ends), and their digests are grouped over all documents. The
 occurrence with the smallest (doc_id, start) stays; every later one is removed from its text. Removals
 are reported with offsets in the original, in code points, end exclusive.
@@ -25,8 +26,8 @@ from tunelake.llm.common import documents
 from tunelake.session import cut_lineage
 
 #: Separators of units; a paragraph ends at an empty line.
-UNITS = {"line": r"\n", "paragraph": r"\n[ \t\r]*\n"}
-MIN_WORDS = 5
+UNITS = {"sentence": r"\n|(?<=[.!?]) ", "line": r"\n", "paragraph": r"\n[ \t\r]*\n"}
+UNIT, MIN_WORDS = "sentence", 8
 _SPACE = re.compile(r"[ \t\n\x0b\f\r]+")
 
 
@@ -43,7 +44,7 @@ def text_units(text: str | None, separator: str, min_words: int) -> Iterator[tup
         start = after
 
 
-def units(frame: DataFrame, unit: str = "line", min_words: int = MIN_WORDS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def units(frame: DataFrame, unit: str = UNIT, min_words: int = MIN_WORDS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``doc_id``, ``start``, ``end``, ``digest``: one row per unit, without its text."""
     separator = UNITS[unit]
 
@@ -63,7 +64,7 @@ def units(frame: DataFrame, unit: str = "line", min_words: int = MIN_WORDS, id_c
     return documents(frame, id_column, text_column).mapInPandas(cut, "doc_id long, start long, end long, digest binary")
 
 
-def repeats(frame: DataFrame, unit: str = "line", min_words: int = MIN_WORDS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def repeats(frame: DataFrame, unit: str = UNIT, min_words: int = MIN_WORDS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per unit to remove: its place, and the place of the occurrence that stays.
 
     A unit that is everywhere costs one partial minimum per task; the join that follows has one row per
@@ -79,7 +80,7 @@ def repeats(frame: DataFrame, unit: str = "line", min_words: int = MIN_WORDS, id
     return found.join(firsts, "digest").filter(later).select("doc_id", "start", "end", F.lower(F.hex("digest")).alias("digest"), "kept_doc_id", "kept_start")
 
 
-def without_repeats(frame: DataFrame, unit: str = "line", min_words: int = MIN_WORDS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def without_repeats(frame: DataFrame, unit: str = UNIT, min_words: int = MIN_WORDS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows of ``frame`` with all repeated units cut out of their texts; nothing else changes."""
     spans = repeats(frame, unit, min_words, id_column, text_column).groupBy("doc_id").agg(
         F.collect_set(F.struct("start", "end")).alias("spans")
@@ -104,10 +105,11 @@ def without_repeats(frame: DataFrame, unit: str = "line", min_words: int = MIN_W
     return changed.select(*frame.columns)
 
 
-#: The same rows in SQL; offsets come from running lengths of lines.
+#: The same rows in SQL. A space after a sentence becomes a line end, which moves no offset; offsets come
+#: from running lengths.
 REPEATS_SQL = r"""
 WITH cut AS (
-  SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL
+  SELECT doc_id, string_split(regexp_replace(text, '([.!?]) ', '\1' || chr(10), 'g'), chr(10)) AS parts FROM documents WHERE text IS NOT NULL
 ), numbered AS (
   SELECT doc_id, unnest(parts) AS unit, generate_subscripts(parts, 1) AS n FROM cut
 ), placed AS (
@@ -120,7 +122,7 @@ WITH cut AS (
   FROM placed
 ), hashed AS (
   SELECT doc_id, start, "end", substr(sha256(body), 1, 32) AS digest
-  FROM plain WHERE body <> '' AND length(body) - length(replace(body, ' ', '')) + 1 >= 5
+  FROM plain WHERE body <> '' AND length(body) - length(replace(body, ' ', '')) + 1 >= 8
 ), ranked AS (
   SELECT *, first_value(doc_id) OVER w AS kept_doc_id, first_value(start) OVER w AS kept_start
   FROM hashed WINDOW w AS (PARTITION BY digest ORDER BY doc_id NULLS LAST, start)
