@@ -175,10 +175,10 @@ def disclosing(rows: DataFrame, found: DataFrame, near: DataFrame) -> DataFrame:
     wanted = pairs.select("term").distinct()
     words = rows.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("term")).filter(F.length("term") >= 3)
     terms = words.join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("of_term"))
-    total = found.agg(F.count("*").alias("n"))
-    scored = pairs.join(entities, "entity").join(terms, "term").crossJoin(total)
-    information = F.log(F.col("n") / F.col("of_entity"))
-    mutual = F.log(F.col("n") * F.col("both") / (F.col("of_term") * F.col("of_entity")))
+    total = F.lit(found.count())
+    scored = pairs.join(entities, "entity").join(terms, "term")
+    information = F.log(total / F.col("of_entity"))
+    mutual = F.log(total * F.col("both") / (F.col("of_term") * F.col("of_entity")))
     share = F.when(information > 0, mutual / information).otherwise(F.lit(0.0))
     return cut_lineage(scored.select("entity", "term", share.alias("share")).filter(F.col("share") >= GENERALISE))
 
