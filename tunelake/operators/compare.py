@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tunelake.functions.scalars import clamp, nearly_equal, ratio
@@ -274,6 +274,7 @@ def seed_aggregate_series(metrics: DataFrame, bins: int = 12, require_all: bool
         ratio(F.col("total_evals"), F.col("total_runtime_s")).alias("throughput_jobs_per_s"),
         _first_reach(F.col("curve"), F.col("total_runtime_s"), 0.9).alias("time_to_90_peak_s"),
         "convergence_auc",
+        # Fixed value: the source label of aggregated series.
         F.concat(F.lit("local_aggregate_"), F.col("_seeds"), F.lit("_seeds")).alias("source"),
     )
 
@@ -323,8 +324,3 @@ def radar_metrics(series: DataFrame, keys: Sequence[str] = (), axes: Sequence[tu
         .otherwise(F.when(raw > 0, F.col("_min") / raw).otherwise(0.0))
     )
     return long.join(limits, [*keys, "axis"]).withColumn("normalized", normal).drop("_max", "_min", "mode")
-
-
-def strategy_names(spark: SparkSession) -> DataFrame:
-    """The known strategy names and keys."""
-    return spark.createDataFrame(list(RUN_NAME_TO_KEY.items()), "run_name string, key string")

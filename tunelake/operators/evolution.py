@@ -35,8 +35,9 @@ GENE = [*CANDIDATE, "name"]
 
 @dataclass(frozen=True)
 class EvolutionConfig:
-    """Knobs of one evolve step; the defaults are the usual ones."""
+    """Knobs of one evolve step."""
 
+    # The defaults.
     population_size: int = 20
     num_generations: int = 10
     elite_count: int = 2

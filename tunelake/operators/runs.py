@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tunelake.functions.scalars import is_finite, ratio
+from tunelake.functions.scalars import is_finite, ratio, strict_number
 from tunelake.operators.scans import (
     as_of,
     floor_rank,
@@ -251,19 +251,15 @@ def modeled_throughput(avg_job_ms_raw: Column, workers: Column, latency_ms: floa
     }
 
 
-def _written_number(text: Column) -> Column:
-    return F.when(~F.lower(F.trim(text)).isin("true", "false"), text.try_cast("double"))
-
-
 def total_elapsed(text: Column) -> Column:
     """Positive finite clock written in a summary, else null."""
-    clock = _written_number(text)
+    clock = strict_number(text)
     return F.when(is_finite(clock) & (clock > 0), clock)
 
 
 def observed_completed(text: Column) -> Column:
     """Whole, finite, non-negative completion count written in a summary, else null."""
-    count = _written_number(text)
+    count = strict_number(text)
     return F.when(is_finite(count) & (count >= 0) & (count == F.floor(count)), count)
 
 

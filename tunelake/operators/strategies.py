@@ -241,16 +241,3 @@ def tpe_suggest(
         F.when(~is_text, clip_number(number, param)).alias("num"),
         F.when(is_text, F.get(param["choices"], F.col("bin"))).alias("cat"),
     )
-
-
-__all__ = [
-    "CATEGORICAL",
-    "DISCRETE",
-    "de_mutant",
-    "de_replace",
-    "de_trial",
-    "sa_accept",
-    "sa_neighbor",
-    "temperature",
-    "tpe_suggest",
-]

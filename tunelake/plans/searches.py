@@ -17,7 +17,6 @@ from tunelake.operators.space import (
     Space,
     grid_candidates,
     random_candidates,
-    with_defaults,
 )
 from tunelake.session import cut_lineage
 
@@ -354,18 +353,3 @@ def benchmark_matrix(
         )
         merged = part if merged is None else merged.unionByName(part)
     return merged
-
-
-__all__ = [
-    "Operators",
-    "benchmark_matrix",
-    "differential_evolution",
-    "evolve",
-    "grid_search",
-    "initialize_population",
-    "parzen_search",
-    "random_search",
-    "run_search",
-    "simulated_annealing",
-    "with_defaults",
-]
