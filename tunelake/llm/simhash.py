@@ -265,9 +265,17 @@ def hex_digits(fp: Column) -> Column:
 def one_of_each(frame: DataFrame, id_column: str = "doc_id", text_column: str = "text", limit: int = BUCKET) -> DataFrame:
     """The rows of ``frame`` that stay: of every component the document with the smallest id, one row of it.
 
-    Rows without an id stand for no component and stay.
+    Rows without an id stand for no component and stay. Texts are shuffled once, for the join with the ids
+    that stay; only rows of ids that occur more than once are compared with each other after it.
     """
-    found = near_duplicates(frame, id_column, text_column, limit)
-    keepers = cut_lineage(found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__id")).distinct())
-    kept = frame.join(keepers, F.col(id_column).cast("long") == F.col("__id"), "left_semi")
-    return kept.dropDuplicates([id_column]).unionByName(frame.filter(F.col(id_column).isNull()))
+    found = cut_lineage(near_duplicates(frame, id_column, text_column, limit).select("doc_id", "component_id"))
+    stay = found.filter(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias("__id"))
+    keepers = cut_lineage(stay.agg((F.count("*") > 1).alias("__often")))
+    named = frame.join(keepers, F.col(id_column).cast("long") == F.col("__id"))
+    once = named.filter(~F.col("__often")).select(*frame.columns)
+    kept = once.unionByName(frame.filter(F.col(id_column).isNull()))
+    often = keepers.filter("__often")
+    if often.isEmpty():
+        return kept
+    repeated = frame.join(often, F.col(id_column).cast("long") == F.col("__id"), "left_semi")
+    return kept.unionByName(repeated.dropDuplicates([id_column]))
