@@ -233,10 +233,8 @@ def sanitised(frame: DataFrame, id_column: str = "doc_id", text_column: str = "t
     spans = cut_lineage(spans.select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), "__spans"))
     text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
     same = F.col(id_column).cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__mark"))
-    # A text without an entity is never changed, which the text itself tells: it need not meet the spans.
-    holds = F.lit(False)
-    for column in base_places(text).values():
-        holds = holds | (F.size(column) > 0)
+    # A text without the signs that every entity has is never changed and need not meet the spans.
+    holds = text.rlike("|".join(f"(?:{sign})" for sign in _NEEDS.values()))
     joined = frame.filter(holds).join(spans, same, "left")
     last = lambda n: F.when(n == 0, F.lit(0)).otherwise(F.get("__spans", n - 1)["end"])
     parts = F.transform("__spans", lambda s, n: F.concat(F.substring(text, last(n) + 1, s["start"] - last(n)), s["label"]))
