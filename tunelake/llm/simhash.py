@@ -271,7 +271,8 @@ def one_of_each(frame: DataFrame, id_column: str = "doc_id", text_column: str =
     found = cut_lineage(near_duplicates(frame, id_column, text_column, limit).select("doc_id", "component_id"))
     stay = found.filter(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias("__id"))
     keepers = cut_lineage(stay.agg((F.count("*") > 1).alias("__often")))
-    named = frame.join(keepers, F.col(id_column).cast("long") == F.col("__id"))
+    # The ids that stay grow with the input: the same join at every size, never a broadcast.
+    named = frame.join(keepers.hint("merge"), F.col(id_column).cast("long") == F.col("__id"))
     once = named.filter(~F.col("__often")).select(*frame.columns)
     kept = once.unionByName(frame.filter(F.col(id_column).isNull()))
     often = keepers.filter("__often")
