@@ -54,6 +54,52 @@ def test_passages_inside_lines(spark):
     assert cut == {(1, "Nine ten eleven twelve thirteen fourteen fifteen sixteen?", 0)}
 
 
+def covered(spark, texts):
+    """Texts that stay, and the spans of every text that repeat."""
+    found = lines.repeats(table(spark, texts), "passage").collect()
+    places = {n: set() for n in range(len(texts))}
+    for row in found:
+        places[row["doc_id"]] |= set(range(row["start"], row["end"]))
+    left = {r["doc_id"]: r["text"] for r in lines.without_repeats(table(spark, texts)).collect()}
+    assert left == {n: "".join(c for at, c in enumerate(text) if at not in places[n]) for n, text in enumerate(texts)}
+    return left
+
+
+def test_passages_of_short_sentences(spark):
+    short = "We went home. It was late. Nobody spoke. The lamp was out. Rain fell all night."
+    lines_of = short.replace(". ", ".\n\n")
+    left = covered(spark, [f"alone here.\n{short}\nother end", f"new start. {short}\nnew end", f"x y.\n{lines_of}\nz"])
+    assert left[0] == f"alone here.\n{short}\nother end" and left[1] == "new start. \nnew end" and left[2] == "x y.\n\nz"
+    # A short sentence after a long one goes with it; one whose neighbours differ stays.
+    long = " ".join(f"word{n}" for n in range(9))
+    left = covered(spark, [f"{long}. And yes.", f"Before. {long}. And yes. After.", "This differs here. And yes. That differs too."])
+    assert left[1] == "Before.  After." and left[2] == "This differs here. And yes. That differs too."
+
+
+def test_passages_without_spaces(spark):
+    passage = "今日はとても良い天気です。私たちは公園へ行きました。"
+    left = covered(spark, [f"最初の文。{passage}", f"別の文書。{passage}終わり。"])
+    assert left[0].endswith(passage) and left[1] == "別の文書。終わり。"
+
+
+def test_every_repeated_run_is_covered():
+    import random
+
+    draw = random.Random(5)
+    for _ in range(300):
+        run = [" ".join(f"r{draw.randrange(10**6)}" for _ in range(draw.randint(1, 9))) + "." for _ in range(draw.randint(1, 6))]
+        if sum(len(s.split()) for s in run) < 8:
+            continue
+        alike = []
+        for mark in "ab":
+            text = f"{mark} head. " + " ".join(run) + f" {mark} tail. {mark} end of all this and more."
+            at = text.index(run[0])
+            found = list(lines.passage_units(text, lines.UNITS["passage"], 8))
+            alike.append({d: set(range(s - at, e - at)) for s, e, d in found})
+        same = set().union(*(alike[1][d] for d in alike[0].keys() & alike[1].keys()))
+        assert {n for n, c in enumerate(" ".join(run)) if c != " "} <= same
+
+
 def test_paragraphs(spark):
     text = f"a b c d e\nf g\n\n{LONG}\n \n{LONG}"
     found = lines.repeats(table(spark, [text]), unit="paragraph", min_words=5).collect()

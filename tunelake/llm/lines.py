@@ -6,8 +6,13 @@ white space as one space, none at the ends), and their digests are grouped over
 occurrence with the smallest (doc_id, start) stays; every later one is removed from its text. Removals
 are reported with offsets in the original, in code points, end exclusive.
 
+The unit ``passage`` takes runs of adjacent sentences and lines instead of single ones: from every sentence on, and
+back from every sentence, the shortest run that weighs ``min_words`` words. Whatever run of whole sentences
+occurs again and weighs that much is covered by such runs, however short its sentences are. What is removed has a copy
+at an earlier place, and the earliest copy of any text is never removed. Spans of one text may overlap.
+
 Defined cases: a null text has no units and stays null; units below ``min_words`` words (empty ones too)
-always stay; rows with one id are one document, whose equal units are ranked by start and whose fully
+always stay, as do runs between differing sentences that weigh less; rows with one id are one document, whose equal units are ranked by start and whose fully
 equal ones at one start all stay if they are the earliest; a null id ranks after all others; an empty
 table gives no rows; other columns are not read, and ``without_repeats`` keeps them.
 """
@@ -25,10 +30,13 @@ from pyspark.sql import functions as F
 from tunelake.llm.common import documents
 from tunelake.session import cut_lineage
 
-#: Separators of units; a paragraph ends at an empty line.
-UNITS = {"sentence": r"\n|(?<=[.!?]) ", "line": r"\n", "paragraph": r"\n[ \t\r]*\n"}
+#: Separators of units; a paragraph ends at an empty line. Passages are runs of what theirs cuts.
+UNITS = {"sentence": r"\n|(?<=[.!?]) ", "line": r"\n", "paragraph": r"\n[ \t\r]*\n", "passage": r"\n|(?<=[.!?])[ \t]|(?<=[。！？])"}
 UNIT, MIN_WORDS = "sentence", 8
 _SPACE = re.compile(r"[ \t\n\x0b\f\r]+")
+#: Letters of scripts that put no spaces between words: two weigh as much as a word. Elsewhere eight characters do.
+_DENSE = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+_DENSE_WORD, _LONG_WORD = 2, 8
 
 
 def text_units(text: str | None, separator: str, min_words: int) -> Iterator[tuple[int, int, bytes]]:
@@ -44,9 +52,41 @@ def text_units(text: str | None, separator: str, min_words: int) -> Iterator[tup
         start = after
 
 
+def _weight(plain: str) -> int:
+    """Words of a unit, or what its length comes to where words are not parted by spaces."""
+    dense = 0 if plain.isascii() else len(_DENSE.findall(plain))
+    return max(plain.count(" ") + 1, dense // _DENSE_WORD, len(plain) // _LONG_WORD)
+
+
+def passage_units(text: str | None, separator: str, min_words: int) -> Iterator[tuple[int, int, bytes]]:
+    """Start, end and digest of the shortest runs of ``min_words`` from every sentence on, and back from it."""
+    if not text:
+        return
+    parts, start = [], 0
+    ends = [(m.start(), m.end()) for m in re.finditer(separator, text)] + [(len(text), len(text))]
+    for end, after in ends:
+        plain = _SPACE.sub(" ", text[start:end].lower()).strip(" ")
+        if plain:
+            parts.append((start, end, plain, _weight(plain)))
+        start = after
+    runs, first, total = {}, 0, 0
+    for last, part in enumerate(parts):
+        total += part[3]
+        # All that start at ``first`` and reach the weight only here run on to ``last``; the last of them is the run back from it.
+        while total >= min_words:
+            runs[first, last] = None
+            total -= parts[first][3]
+            first += 1
+        if first and (first - 1, last) not in runs:
+            runs[first - 1, last] = None
+    for first, last in runs:
+        plain = " ".join(part[2] for part in parts[first : last + 1])
+        yield parts[first][0], parts[last][1], hashlib.sha256(plain.encode()).digest()[:16]
+
+
 def units(frame: DataFrame, unit: str = UNIT, min_words: int = MIN_WORDS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``doc_id``, ``start``, ``end``, ``digest``: one row per unit, without its text."""
-    separator = UNITS[unit]
+    separator, units_of = UNITS[unit], passage_units if unit == "passage" else text_units
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -56,7 +96,7 @@ def units(frame: DataFrame, unit: str = UNIT, min_words: int = MIN_WORDS, id_col
                 rows = [
                     (None if pd.isna(doc_id) else int(doc_id), *found)
                     for doc_id, text in zip(part["doc_id"], part["text"])
-                    for found in text_units(text, separator, min_words)
+                    for found in units_of(text, separator, min_words)
                 ]
                 out = pd.DataFrame(rows, columns=["doc_id", "start", "end", "digest"])
                 yield out.astype({"doc_id": "Int64", "start": "int64", "end": "int64"})
@@ -80,7 +120,7 @@ def repeats(frame: DataFrame, unit: str = UNIT, min_words: int = MIN_WORDS, id_c
     return found.join(firsts, "digest").filter(later).select("doc_id", "start", "end", F.lower(F.hex("digest")).alias("digest"), "kept_doc_id", "kept_start")
 
 
-def without_repeats(frame: DataFrame, unit: str = UNIT, min_words: int = MIN_WORDS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def without_repeats(frame: DataFrame, unit: str = "passage", min_words: int = MIN_WORDS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows of ``frame`` with all repeated units cut out of their texts; nothing else changes."""
     spans = repeats(frame, unit, min_words, id_column, text_column).groupBy("doc_id").agg(
         F.collect_set(F.struct("start", "end")).alias("spans")
@@ -95,7 +135,7 @@ def without_repeats(frame: DataFrame, unit: str = UNIT, min_words: int = MIN_WOR
                 kept, at = [], 0
                 for part in sorted(parts, key=lambda p: p["start"]):
                     kept.append(text[at : part["start"]])
-                    at = part["end"]
+                    at = max(at, part["end"])
                 text = "".join([*kept, text[at:]])
             out.append(text)
         return pd.Series(out, dtype=object)

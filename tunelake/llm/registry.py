@@ -50,6 +50,10 @@ def line_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.repeats(_table(spark, sf_dir, "documents"))
 
 
+def passage_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.repeats(_table(spark, sf_dir, "documents"), "passage")
+
+
 def virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slots.sharded(_table(spark, sf_dir, "documents"))
 
@@ -68,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_personal_data": personal_data,
     "op7_vector_links": vector_links,
     "op8_line_repeats": line_repeats,
+    "op8_passage_repeats": passage_repeats,
     "op9_virtual_slots": virtual_slots,
     "op10_simhash_groups": simhash_groups,
 }
