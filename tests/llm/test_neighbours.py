@@ -49,6 +49,22 @@ def test_against_brute_force(spark):
     assert all(f[1] <= e[1] for f, e in zip(found, expected))
 
 
+def test_a_dense_group_does_not_outvote_small_ones(spark, monkeypatch):
+    # One tree and no refinement miss many pairs, while nearly all links are in the dense group.
+    monkeypatch.setattr(neighbours, "TREES", 1)
+    monkeypatch.setattr(neighbours, "ROUNDS", 0)
+    draw = np.random.default_rng(11)
+    centre = draw.normal(size=24)
+    dense = centre + 0.1 * draw.normal(size=(1500, 24))
+    single = draw.normal(size=(300, 24))
+    twins = single + 0.35 * draw.normal(size=(300, 24))
+    rows = [(n, v.tolist()) for n, v in enumerate(np.concatenate([dense, single, twins]))]
+    found = {r["vec_id"]: r["n_links"] for r in neighbours.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    cosines = (single * twins).sum(axis=1) / np.linalg.norm(single, axis=1) / np.linalg.norm(twins, axis=1)
+    pairs = [n for n in range(300) if cosines[n] >= 0.9]
+    assert len(pairs) > 200 and sum(found[1500 + n] >= 1 for n in pairs) >= 0.97 * len(pairs)
+
+
 def test_repeated_and_missing_ids_and_empty_table(spark):
     frame = spark.createDataFrame([(1, [1.0, 0.0]), (1, [1.0, 0.0]), (None, [1.0, 0.01]), (4, [0.0, 1.0]), (None, None)], "vec_id long, embedding array<float>")
     found = sorted(((r["vec_id"], r["n_links"], r["component_id"]) for r in neighbours.near_duplicates(frame).collect()), key=repr)

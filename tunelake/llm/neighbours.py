@@ -5,8 +5,10 @@ and is refined: for every node the vectors in its list, and of the nodes that li
 another, and better neighbours enter their lists. Lists in which every neighbour is over the threshold are
 saturated and are enlarged. Edges over the threshold give components, and in every component all members
 are compared once more, in tiles, so that no link inside it is missed however long a list would have to
-be. An audit compares a fixed number of vectors with all others; as long as it finds links across
-components, more trees are added; a recall that stays too low is an error, never a result.
+be. An audit compares sampled vectors with all others and asks
+for how many of those that have links all of them lie inside their component: among all vectors, and again among
+those outside large components, which are sampled until enough linked ones are seen. As long as a figure is too low,
+more trees are added; a recall that stays too low is an error, never a result.
 
 Cosines are in double precision. Vectors of different lengths do not link.
 
@@ -35,8 +37,10 @@ LIST, TREES, LEAF, ROUNDS = 10, 8, 128, 2
 #: Sets of trees after which a recall that is still too low is an error.
 ATTEMPTS = 16
 TILE = 512
-#: Vectors that the audit compares with all others, and the recall of links it asks for.
+#: Vectors that the audit compares with all others, linked ones that it wants to see, and the recall it asks for.
 AUDIT, RECALL = 256, 0.99
+#: Members of a component that is not large, and bytes of the vectors that one audit compares at most.
+SMALL, AUDIT_BYTES = 64, 1 << 24
 _CODE_BITS = 48
 
 
@@ -203,28 +207,58 @@ def link_counts(base: DataFrame, placed: DataFrame) -> DataFrame:
     return dealt.mapInPandas(count, "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
 
 
-def audit(base: DataFrame, placed: DataFrame, total: int) -> tuple[int, int]:
-    """Links of sampled vectors among all vectors, and how many of them lie inside one component."""
+def _sample(rows: DataFrame, total: int, size: int) -> DataFrame:
+    """About ``size`` of ``total`` rows by a hash of their node; a larger sample holds the smaller ones."""
     span = 1 << 30
-    cut = span if total <= AUDIT else int(span * AUDIT / total)
-    chosen = base.filter(F.pmod(F.xxhash64("node", F.lit("audit")), F.lit(span)) < cut).limit(2 * AUDIT)
-    chosen = chosen.join(placed, "node").select("node", "dims", "root", "unit").toPandas()
-    if not len(chosen):
-        return 0, 0
+    cut = span if total <= size else int(span * size / total)
+    return rows.filter(F.pmod(F.xxhash64("node", F.lit("audit")), F.lit(span)) < cut).limit(2 * size)
+
+
+def _compared(base: DataFrame, placed: DataFrame, chosen: DataFrame) -> pd.DataFrame:
+    """``links`` and ``met`` of every chosen vector that has a link: rows linked to it, and those of its component."""
+    chosen = base.join(chosen, "node").select("node", "dims", "root", "unit").toPandas()
     asked = {dims: (_matrix(part["unit"]), part["node"].to_numpy(), part["root"].to_numpy()) for dims, part in chosen.groupby("dims")}
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for dims, part in batch.groupby("dims"):
-                if dims in asked:
+            for dims, whole in batch.groupby("dims"):
+                # A slice at a time: the products of a large sample with a batch are held at once.
+                for low in range(0, len(whole) if dims in asked else 0, 1024):
+                    part = whole.iloc[low : low + 1024]
                     matrix, names, roots = asked[dims]
                     near = matrix @ _matrix(part["unit"]).T >= THRESHOLD
                     near &= names[:, None] != part["node"].to_numpy()[None, :]
                     same = roots[:, None] == part["root"].to_numpy()[None, :]
-                    yield pd.DataFrame({"links": [int(near.sum())], "met": [int((near & same).sum())]})
-
-    seen = base.join(placed, "node").mapInPandas(compare, "links long, met long").agg(F.sum("links"), F.sum("met")).first()
-    return int(seen[0] or 0), int(seen[1] or 0)
+                    copies = part["copies"].to_numpy()
+                    links = near @ copies
+                    seen = links > 0
+                    yield pd.DataFrame({"node": names[seen], "links": links[seen], "met": ((near & same) @ copies)[seen]})
+
+    rows = base.join(placed.select("node", "root"), "node").select("node", "dims", "root", "unit", "copies")
+    return rows.mapInPandas(compare, "node long, links long, met long").groupBy("node").agg(F.sum("links").alias("links"), F.sum("met").alias("met")).toPandas()
+
+
+def audit(base: DataFrame, placed: DataFrame, total: int) -> dict[str, tuple[int, int]]:
+    """What sampled vectors have and what of it is met: ``links`` with their copies, ``vectors`` that have links and
+    all of them inside their component, and the same for ``small``, the vectors outside large components."""
+    sizes = cut_lineage(placed.groupBy("root").agg(F.count("*").alias("members")).filter(F.col("members") > SMALL).select("root"))
+    small = cut_lineage(placed.join(sizes, "root", "left_anti").select("node", "root"))
+    few = small.count()
+
+    def whole(found: pd.DataFrame) -> tuple[int, int]:
+        return len(found), int((found["links"] == found["met"]).sum())
+
+    found = _compared(base, placed, _sample(placed.select("node", "root"), total, AUDIT))
+    out = {"links": (int(found["links"].sum()), int(found["met"].sum())), "vectors": whole(found), "small": (0, 0)}
+    longest = base.agg(F.max("dims")).first()[0] or 1
+    most, size = max(AUDIT, AUDIT_BYTES // (8 * longest)), 4 * AUDIT
+    while few:
+        size = min(size, most)
+        out["small"] = whole(_compared(base, placed, _sample(small, few, size)))
+        if out["small"][0] >= AUDIT or size >= min(few, most):
+            break
+        size *= 4
+    return out
 
 
 def near_duplicates(frame: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
@@ -236,7 +270,7 @@ def near_duplicates(frame: DataFrame, id_column: str = "vec_id", vector_column:
     base = nodes(rows.filter(F.col("unit").isNotNull()))
     total = base.count()
     depth = max(0, min(_CODE_BITS, math.ceil(math.log2(max(1, total / LEAF)))))
-    edges, placed = None, base.select("node", F.col("node").alias("root"))
+    edges, linked, placed = None, None, base.select("node", F.col("node").alias("root"))
     for attempt in range(ATTEMPTS if total else 0):
         trees = range(attempt * TREES, (attempt + 1) * TREES)
         fresh = _leaf_edges(base, trees, depth, LIST // 2)
@@ -244,16 +278,18 @@ def near_duplicates(frame: DataFrame, id_column: str = "vec_id", vector_column:
         for _ in range(ROUNDS):
             lists = descend(base, lists)
         edges = lists.select("src", "dst", "sim")
-        linked = components(edges.filter(F.col("sim") >= THRESHOLD).select(F.col("src").alias("a"), F.col("dst").alias("b")))
+        over = edges.filter(F.col("sim") >= THRESHOLD).select(F.col("src").alias("a"), F.col("dst").alias("b"))
+        # Lists start anew with each set of trees; what was linked before stays linked.
+        linked = components(over if linked is None else over.unionByName(linked))
         placed = cut_lineage(
             base.select("node").join(linked, F.col("node") == F.col("a"), "left").select("node", F.coalesce("b", "node").alias("root"))
         )
-        links, met = audit(base, placed, total)
-        if met >= RECALL * links:
+        seen = audit(base, placed, total)
+        if all(met >= RECALL * links for links, met in seen.values()):
             break
     else:
         if total:
-            raise RuntimeError(f"after {ATTEMPTS} sets of trees only {met} of {links} audited links are found")
+            raise RuntimeError(f"after {ATTEMPTS} sets of trees the audit finds too little (there, met): {seen}")
     members = cut_lineage(base.select("node", "unit", "first", "copies").join(placed, "node"))
     roots = cut_lineage(members.groupBy("root").agg(F.min("first").alias("component_id")))
     facts = members.join(roots, "root").join(link_counts(base, placed), "node", "left")
