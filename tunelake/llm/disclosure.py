@@ -6,7 +6,8 @@ documents, pointwise mutual information log(N * n(t, e) / (n(t) * n(e))) as a sh
 log(N / n(e)) that the entity itself carries. A share of 1 means that whoever reads the term can name the
 entity. A term in the neighbourhood of an entity whose share reaches ``GENERALISE`` is generalised, from
 ``REMOVE`` on it is removed. Counts n(t) and N are over all documents; a pair counts as evidence only if it
-occurs in at least ``SUPPORT`` different neighbourhoods, so that copies of one passage prove nothing.
+occurs in at least ``SUPPORT`` different neighbourhoods, so that copies of one passage prove nothing. Terms are only
+replaced there: the same term farther from an entity, or in another document, stays.
 
 All work is done by DataFrame functions. A pattern's places come from the gaps and the matches that one
 pattern gives when it splits and when it extracts; the patterns cannot backtrack over long runs.
