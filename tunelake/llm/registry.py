@@ -7,7 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tunelake.llm import contamination, disclosure, language, lines, neighbours, phrases, simhash, slots, tokens, toxicity, warc
+from tunelake.llm import (
+    contamination,
+    disclosure,
+    filter_audit,
+    language,
+    lines,
+    neighbours,
+    phrases,
+    simhash,
+    slots,
+    tokens,
+    toxicity,
+    warc,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +76,10 @@ def simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(filter_audit.failed_sets(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")))
+
+
 def phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.mined(_table(spark, sf_dir, "documents"))
 
@@ -79,7 +96,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_passage_repeats": passage_repeats,
     "op9_virtual_slots": virtual_slots,
     "op10_simhash_groups": simhash_groups,
+    "op11_filter_interactions": filter_interactions,
     "op13_phrase_collocations": phrase_collocations,
 }
 
-ORACLES: dict[str, str] = {"op8_line_repeats": lines.REPEATS_SQL, "op13_phrase_collocations": phrases.SQL}
+ORACLES: dict[str, str] = {"op8_line_repeats": lines.REPEATS_SQL, "op11_filter_interactions": filter_audit.SQL, "op13_phrase_collocations": phrases.SQL}
