@@ -19,6 +19,7 @@ from tunelake.llm import (
     slots,
     tokens,
     toxicity,
+    vector_search,
     warc,
 )
 
@@ -80,6 +81,10 @@ def filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(filter_audit.failed_sets(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")))
 
 
+def top_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_search.search(_table(spark, sf_dir, "embeddings"))
+
+
 def phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.mined(_table(spark, sf_dir, "documents"))
 
@@ -97,7 +102,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_virtual_slots": virtual_slots,
     "op10_simhash_groups": simhash_groups,
     "op11_filter_interactions": filter_interactions,
+    "op12_top_vectors": top_vectors,
     "op13_phrase_collocations": phrase_collocations,
 }
 
-ORACLES: dict[str, str] = {"op8_line_repeats": lines.REPEATS_SQL, "op11_filter_interactions": filter_audit.SQL, "op13_phrase_collocations": phrases.SQL}
+ORACLES: dict[str, str] = {
+    "op8_line_repeats": lines.REPEATS_SQL,
+    "op11_filter_interactions": filter_audit.SQL,
+    "op12_top_vectors": vector_search.SQL,
+    "op13_phrase_collocations": phrases.SQL,
+}
