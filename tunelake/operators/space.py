@@ -282,8 +282,10 @@ def grid_size(space: Space, points: int) -> int:
     return size
 
 
-def grid_candidates(spark: SparkSession, space: Space, points: int, budget: int, run_id: int = 0) -> DataFrame:
-    """First ``budget`` points of the grid in parameter order, the last parameter running fastest.
+def grid_candidates(
+    spark: SparkSession, space: Space, points: int, budget: int, run_id: int = 0, runs: DataFrame | None = None
+) -> DataFrame:
+    """First ``budget`` points of the grid in parameter order, the last parameter running fastest, for one run or each of ``runs``.
 
     Each row number is decoded into one index per parameter, so the work follows the budget
     and not the size of the full product.
@@ -294,9 +296,8 @@ def grid_candidates(spark: SparkSession, space: Space, points: int, budget: int,
         weights.append(weight)
         weight *= len(options)
     weights.reverse()
-    rows = spark.range(min(budget, weight)).select(
-        F.lit(run_id).cast("long").alias("run_id"), F.lit(0).alias("generation"), F.col("id").alias("ordinal")
-    )
+    each = spark.range(1).select(F.lit(run_id).cast("long").alias("run_id")) if runs is None else runs.select("run_id")
+    rows = slots(each, F.lit(min(budget, weight)), "ordinal").select("run_id", F.lit(0).alias("generation"), "ordinal")
     genes = []
     for param, options, step in zip(space.params, values, weights):
         # A step beyond the 64-bit range leaves the index at its first value for any row.

@@ -8,15 +8,20 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tunelake.functions.frames import table_union
 from tunelake.operators import evolution as ev
-from tunelake.operators import strategies as st
+from tunelake.operators.compare import RUN_NAME_TO_KEY
 from tunelake.operators.evaluation import evaluate_candidates
-from tunelake.operators.runs import best_so_far
-from tunelake.operators.space import (
-    CANDIDATE,
-    Space,
-    grid_candidates,
-    random_candidates,
+from tunelake.operators.space import CANDIDATE, Space, random_candidates
+from tunelake.plans.protocol import (
+    DifferentialEvolution,
+    GridSearch,
+    ParzenSearch,
+    RandomSearch,
+    SimulatedAnnealing,
+    Strategy,
+    progress,
+    run_strategy,
 )
 from tunelake.session import cut_lineage
 
@@ -203,30 +208,17 @@ def run_search(
     return history
 
 
-def _as_history(results: DataFrame) -> DataFrame:
-    """One evaluation per step with the running best."""
-    steps = results.select(
-        "run_id",
-        F.col("ordinal").alias("generation"),
-        F.col("validation_accuracy").alias("best_fitness"),
-        F.col("validation_accuracy").alias("avg_fitness"),
-        "status",
-    )
-    return best_so_far(steps).withColumn("best_fitness", F.col("best_so_far"))
-
-
 def random_search(runs: DataFrame, space: Space, seed: int, budget: int, scorer, data: DataFrame | None = None) -> DataFrame:
-    """Independent random candidates under an evaluation budget, as one job."""
-    genes = random_candidates(runs.select("run_id", F.lit(budget).alias("n")), space, seed)
-    return _as_history(evaluate_candidates(genes, space, scorer, data))
+    """Independent random candidates under an evaluation budget, as one step."""
+    return progress(run_strategy(RandomSearch(seed, budget), runs, space, scorer, data, budget))
 
 
 def grid_search(
     spark: SparkSession, space: Space, points: int, budget: int, scorer, data: DataFrame | None = None, run_id: int = 0
 ) -> DataFrame:
-    """Grid candidates under an evaluation budget, as one job."""
-    genes = grid_candidates(spark, space, points, budget, run_id)
-    return _as_history(evaluate_candidates(genes, space, scorer, data))
+    """Grid candidates of one run under an evaluation budget, as one step."""
+    runs = spark.createDataFrame([(run_id,)], "run_id long")
+    return progress(run_strategy(GridSearch(points, budget), runs, space, scorer, data, budget))
 
 
 def differential_evolution(
@@ -241,26 +233,8 @@ def differential_evolution(
     crossover_rate: float = 0.9,
 ) -> DataFrame:
     """Differential evolution of every run; a sweep replaces all its members together."""
-    size = max(4, population_size)
-    genes = cut_lineage(random_candidates(runs.select("run_id", F.lit(size).alias("n")), space, seed))
-    first = cut_lineage(evaluate_candidates(genes, space, scorer, data))
-    population = first.select(*CANDIDATE, F.col("validation_accuracy").alias("fitness"))
-    history = first.withColumn("sweep", F.lit(0))
-    for sweep in range(1, sweeps + 1):
-        mutants = st.de_mutant(population, genes, space, weight, seed + sweep)
-        trials = cut_lineage(st.de_trial(mutants, space, crossover_rate, seed + sweep))
-        results = cut_lineage(evaluate_candidates(trials, space, scorer, data))
-        replaced = cut_lineage(st.de_replace(population, results))
-        taken = replaced.filter("replaced").select(*CANDIDATE)
-        genes = cut_lineage(
-            genes.join(taken, CANDIDATE, "left_anti")
-            .select(*CANDIDATE, "name", "num", "cat")
-            .unionByName(trials.join(taken, CANDIDATE, "left_semi").select(*CANDIDATE, "name", "num", "cat"))
-        )
-        population = replaced.drop("replaced")
-        history = history.unionByName(results.withColumn("sweep", F.lit(sweep)))
-    ordered = history.withColumn("ordinal", F.col("sweep") * size + F.col("ordinal"))
-    return _as_history(ordered)
+    strategy = DifferentialEvolution(seed, population_size, sweeps, weight, crossover_rate)
+    return progress(run_strategy(strategy, runs, space, scorer, data))
 
 
 def simulated_annealing(
@@ -276,80 +250,52 @@ def simulated_annealing(
     scale: float = 0.2,
 ) -> DataFrame:
     """One annealing chain per run, all chains advancing together."""
-    genes = cut_lineage(random_candidates(runs.select("run_id", F.lit(1).alias("n")), space, seed))
-    first = cut_lineage(evaluate_candidates(genes, space, scorer, data))
-    chains = first.select(*CANDIDATE, F.col("validation_accuracy").alias("fitness")).withColumn(
-        "best_fitness", F.col("fitness")
-    )
-    history = first.withColumn("step", F.lit(0))
-    for step in range(1, steps):
-        temp = st.temperature(F.lit(step - 1), initial, cooling, minimum)
-        neighbors = cut_lineage(st.sa_neighbor(genes, space, temp, scale, seed, F.lit(step)))
-        results = cut_lineage(evaluate_candidates(neighbors, space, scorer, data))
-        met = chains.withColumn("best_before", F.col("best_fitness")).join(
-            results.select(*CANDIDATE, F.col("validation_accuracy").alias("candidate_fitness")), CANDIDATE
-        )
-        moved = cut_lineage(st.sa_accept(met, temp, seed, F.lit(step)))
-        taken = moved.filter("accepted").select(*CANDIDATE)
-        genes = cut_lineage(
-            genes.join(taken, CANDIDATE, "left_anti")
-            .select(*CANDIDATE, "name", "num", "cat")
-            .unionByName(neighbors.join(taken, CANDIDATE, "left_semi"))
-        )
-        chains = moved.select(*CANDIDATE, "fitness", "best_fitness")
-        history = history.unionByName(results.withColumn("step", F.lit(step)))
-    return _as_history(history.withColumn("ordinal", F.col("step").cast("long")))
+    strategy = SimulatedAnnealing(seed, steps, initial, cooling, minimum, scale)
+    return progress(run_strategy(strategy, runs, space, scorer, data))
 
 
 def parzen_search(
     runs: DataFrame, space: Space, seed: int, batch: int, batches: int, scorer, data: DataFrame | None = None
 ) -> DataFrame:
     """Model-based search of every run in batches; the first batch is random."""
-    genes = cut_lineage(random_candidates(runs.select("run_id", F.lit(batch).alias("n")), space, seed))
-    results = cut_lineage(evaluate_candidates(genes, space, scorer, data))
-    for index in range(1, batches):
-        population = results.select(*CANDIDATE, F.col("validation_accuracy").alias("fitness"))
-        drawn = st.tpe_suggest(population, genes, space, batch, seed + index)
-        fresh = cut_lineage(drawn.withColumn("ordinal", F.col("ordinal") + index * batch))
-        results = results.unionByName(cut_lineage(evaluate_candidates(fresh, space, scorer, data)))
-        genes = genes.unionByName(fresh)
-    return _as_history(results)
-
-
-# Strategies of the benchmark by key.
-STRATEGIES: dict[str, str] = {
-    "random_search": "Random Search",
-    "grid_search": "Grid Search",
-    "optuna_tpe": "Bayesian (Optuna TPE)",
-    "differential_evolution": "Differential Evolution",
-    "simulated_annealing": "Simulated Annealing",
-}
+    return progress(run_strategy(ParzenSearch(seed, batch, batches), runs, space, scorer, data))
+
+
+#: Name of a strategy in stored runs by its key.
+STRATEGY_NAMES = {key: name for name, key in RUN_NAME_TO_KEY.items()}
+
+
+def default_strategies(budget: int) -> list[Strategy]:
+    """The strategies of the benchmark under an evaluation budget."""
+    size = max(4, min(20, budget // 4))
+    return [
+        RandomSearch(1, budget),
+        GridSearch(4, budget),
+        ParzenSearch(2, size, -(-budget // size)),
+        DifferentialEvolution(3, size, -(-budget // size) - 1),
+        SimulatedAnnealing(4, budget),
+    ]
 
 
 def benchmark_matrix(
-    spark: SparkSession, space: Space, seeds: list[int], budget: int, scorer, data: DataFrame | None = None
+    spark: SparkSession,
+    space: Space,
+    seeds: list[int],
+    budget: int,
+    scorer,
+    data: DataFrame | None = None,
+    strategies: list[Strategy] | None = None,
 ) -> DataFrame:
     """Every strategy with every seed under one evaluation budget; one row per evaluation.
 
-    Seeds are runs of one job; only the strategies differ in their plans.
+    Seeds are runs of one job; only the strategies differ in their plans. Any ``Strategy`` can take part.
     """
     runs = spark.createDataFrame([(s,) for s in seeds], "run_id long")
-    size = max(4, min(20, budget // 4))
-    grid = None
-    for seed in seeds:
-        part = grid_search(spark, space, 4, budget, scorer, data, seed)
-        grid = part if grid is None else grid.unionByName(part)
-    parts = {
-        "random_search": random_search(runs, space, 1, budget, scorer, data),
-        "grid_search": grid,
-        "optuna_tpe": parzen_search(runs, space, 2, size, -(-budget // size), scorer, data),
-        "differential_evolution": differential_evolution(runs, space, 3, size, -(-budget // size) - 1, scorer, data),
-        "simulated_annealing": simulated_annealing(runs, space, 4, budget, scorer, data),
-    }
-    merged = None
-    for key, history in parts.items():
-        part = history.filter(F.col("generation") < budget).select(
-            F.lit(STRATEGIES[key]).alias("run_name"), F.col("run_id").alias("seed"), "generation", "avg_fitness", "best_so_far"
+    parts = []
+    for strategy in strategies or default_strategies(budget):
+        history = progress(run_strategy(strategy, runs, space, scorer, data, budget))
+        name = STRATEGY_NAMES.get(strategy.name, strategy.name)
+        parts.append(
+            history.select(F.lit(name).alias("run_name"), F.col("run_id").alias("seed"), "generation", "avg_fitness", "best_so_far", "wall_clock_ms")
         )
-        merged = part if merged is None else merged.unionByName(part)
-    return merged
+    return table_union(parts)
