@@ -48,6 +48,20 @@ def test_close_pairs_are_all_pairs():
     assert set(zip(left.tolist(), right.tolist())) == expected and len(left) == len(expected)
 
 
+def test_close_pairs_of_several_words():
+    draw = np.random.default_rng(2)
+    base = draw.integers(0, 1 << 63, (6, 4)).astype(np.uint64)
+    values = np.repeat(base, 15, axis=0)
+    for row in values:
+        for bit in draw.integers(0, 256, draw.integers(0, 60)):
+            row[bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+    groups = np.sort(draw.integers(0, 3, len(values)))
+    left, right = simhash.close_pairs(values, groups, 50)
+    far = np.bitwise_count(values[:, None] ^ values[None]).sum(axis=2)
+    expected = {(i, j) for i in range(len(values)) for j in range(i + 1, len(values)) if groups[i] == groups[j] and far[i, j] <= 50}
+    assert set(zip(left.tolist(), right.tolist())) == expected and len(left) == len(expected) > 50
+
+
 def clusters():
     draw = random.Random(4)
     values = []
@@ -90,18 +104,13 @@ def test_documents(spark):
     assert len(found) == len(texts)
     for row in found:
         assert row["h"] == f"{values[row['doc_id']]:016x}" and row["component_id"] == expected[row["doc_id"]]
-    stay = simhash.one_of_each(table(spark, texts))
-    assert sorted(r["doc_id"] for r in stay.collect()) == sorted(set(expected)) and stay.columns == table(spark, []).columns
 
 
 def test_repeated_and_missing_ids(spark):
     pairs = [(3, "same text here now ok"), (3, "same text here now ok"), (None, "same text here now ok"), (2, "an entirely different line of words"), (None, "alone in the wide world today")]
     found = sorted(((r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(with_ids(spark, pairs)).collect()), key=repr)
     assert found == [(2, 2), (3, 3), (3, 3), (None, 3), (None, None)]
-    stay = simhash.one_of_each(with_ids(spark, pairs)).collect()
-    assert sorted((r["doc_id"] for r in stay), key=repr) == [2, 3, None, None]
 
 
 def test_empty_table(spark):
     assert simhash.near_duplicates(table(spark, [])).count() == 0
-    assert simhash.one_of_each(table(spark, [])).count() == 0

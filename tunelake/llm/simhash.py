@@ -121,19 +121,19 @@ def buckets(values: DataFrame, limit: int = BUCKET) -> DataFrame:
 def close_pairs(values: np.ndarray, groups: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
     """Positions of all pairs within the radius that share a group; ``groups`` is sorted.
 
-    Lanes of a word belong to one group. Queries are compared with every word of their group.
+    A value is a number of 64 bits, or a row of several. Lanes of a word belong to one group. Queries are compared with every word of their group.
     """
-    values = values.astype(np.uint64)
+    values = values.astype(np.uint64).reshape(len(values), -1)
     starts = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1]])
     sizes = np.diff(np.r_[starts, len(groups)])
     words = -(-sizes // 64)
     first_word = np.cumsum(words) - words
     inside = np.arange(len(values)) - np.repeat(starts, sizes)
     word, lane = np.repeat(first_word, sizes) + inside // 64, (inside % 64).astype(np.uint64)
-    planes = np.zeros((_BITS, int(words.sum())), dtype=np.uint64)
-    for bit in range(_BITS):
+    planes = np.zeros((_BITS * values.shape[1], int(words.sum())), dtype=np.uint64)
+    for bit in range(len(planes)):
         # Lanes of a word are different bits, so adding them sets them.
-        np.add.at(planes[bit], word, ((values >> np.uint64(bit)) & np.uint64(1)) << lane)
+        np.add.at(planes[bit], word, ((values[:, bit // _BITS] >> np.uint64(bit % _BITS)) & np.uint64(1)) << lane)
     lanes = np.zeros(planes.shape[1], dtype=np.uint64)
     np.add.at(lanes, word, np.uint64(1) << lane)
     base = np.repeat(starts, words) + 64 * (np.arange(len(lanes)) - np.repeat(first_word, words))
@@ -163,8 +163,8 @@ def _within(values, query, target, planes, lanes, radius):
     levels = radius.bit_length()
     counters = [np.zeros(len(query), dtype=np.uint64) for _ in range(levels)]
     over = ~lanes[target]
-    for bit in range(_BITS):
-        flip = (np.uint64(0) - ((values[query] >> np.uint64(bit)) & np.uint64(1))).astype(np.uint64)
+    for bit in range(len(planes)):
+        flip = (np.uint64(0) - ((values[query, bit // _BITS] >> np.uint64(bit % _BITS)) & np.uint64(1))).astype(np.uint64)
         carry = planes[bit][target] ^ flip
         for level in range(levels):
             counters[level], carry = counters[level] ^ carry, counters[level] & carry
@@ -260,23 +260,3 @@ def near_duplicates(frame: DataFrame, id_column: str = "doc_id", text_column: st
 
 def hex_digits(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
-
-
-def one_of_each(frame: DataFrame, id_column: str = "doc_id", text_column: str = "text", limit: int = BUCKET) -> DataFrame:
-    """The rows of ``frame`` that stay: of every component the document with the smallest id, one row of it.
-
-    Rows without an id stand for no component and stay. Texts are shuffled once, for the join with the ids
-    that stay; only rows of ids that occur more than once are compared with each other after it.
-    """
-    found = cut_lineage(near_duplicates(frame, id_column, text_column, limit).select("doc_id", "component_id"))
-    stay = found.filter(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias("__id"))
-    keepers = cut_lineage(stay.agg((F.count("*") > 1).alias("__often")))
-    # The ids that stay grow with the input: the same join at every size, never a broadcast.
-    named = frame.join(keepers.hint("merge"), F.col(id_column).cast("long") == F.col("__id"))
-    once = named.filter(~F.col("__often")).select(*frame.columns)
-    kept = once.unionByName(frame.filter(F.col(id_column).isNull()))
-    often = keepers.filter("__often")
-    if often.isEmpty():
-        return kept
-    repeated = frame.join(often, F.col(id_column).cast("long") == F.col("__id"), "left_semi")
-    return kept.unionByName(repeated.dropDuplicates([id_column]))
