@@ -1,5 +1,6 @@
 import hashlib
 import math
+import random
 import re
 
 from helpers import table, with_ids
@@ -81,8 +82,59 @@ def test_disclosing_terms(spark):
     share = math.log(docs * 4 / (5 * 4)) / math.log(docs / 4)
     for n in range(len(FILL), len(FILL) + 4):
         assert abs(terms[n]["zanzibarine"] - share) < 1e-9 and "there" not in terms[n]
-    # One neighbourhood proves nothing, and a document without an entity is left alone.
-    assert terms[docs - 2] == {} == terms[docs - 1] and all(not terms[n] for n in range(len(FILL)))
+    # One document proves nothing; a document without an entity discloses what others prove.
+    assert terms[docs - 2] == {} and set(terms[docs - 1]) == {"zanzibarine"} and all(not terms[n] for n in range(len(FILL)))
+
+
+def brute_terms(texts):
+    """Shares of all terms by counting whole documents."""
+    rows = [(text or "", [(k, (text or "")[a:b].lower(), hash((text or "")[max(0, a - 64) : b + 64])) for k, s in brute(text).items() for a, b in s]) for text in texts]
+    words = [{w.lower() for w in re.findall(r"[^\W\d_]{3,}", text)} for text, _ in rows]
+    inside = [{w.lower() for w in re.findall(r"[^\W\d_]{3,}", re.sub(PATTERNS["email"], " ", text))} for text, _ in rows]
+    counts, shares = {}, {}
+    for found in words:
+        for word in found:
+            counts[word] = counts.get(word, 0) + 1
+    entities = {}
+    for n, (_, spans) in enumerate(rows):
+        for kind, value, place in spans:
+            entities.setdefault((kind, value), {}).setdefault(n, set()).add(place)
+    for docs in entities.values():
+        for word in set().union(*(inside[n] for n in docs)):
+            both = [n for n in docs if word in inside[n]]
+            if len(both) >= 2 and len(set().union(*(docs[n] for n in both))) > 1:
+                share = math.log(len(texts) * len(both) / (counts[word] * len(docs))) / math.log(len(texts) / len(docs))
+                if share >= disclosure.GENERALISE:
+                    shares[word] = max(share, shares.get(word, 0))
+    return shares
+
+
+def test_terms_count_whole_documents(spark):
+    draw = random.Random(5)
+    words = [f"{a}{b}wort" for a in "bcdfghjk" for b in ("al", "en", "ir", "ou", "üm")]
+    texts = []
+    for n in range(300):
+        body = [draw.choice(words[: draw.choice([5, 40])]) for _ in range(draw.choice([5, 60]))]
+        if draw.random() < 0.4:
+            entity, name = draw.choice([("ann@corp.org", "annword"), ("bob@corp.org", "Bobword bobword"), ("10.1.2.3", "serverword"), ("+49 30 1234567", "x"), ("Anna.Maria@corp.org", "maria")])
+            body.insert(draw.randrange(len(body)), entity)
+            body += [name] * (draw.random() < 0.9)
+        texts.append(" ".join(body))
+    # A name near one address twice and far from it once.
+    texts += ["Farname writes to far@corp.org today", "now far@corp.org heard from Farname too", "Farname " + "filler " * 60 + "far@corp.org"]
+    expected = brute_terms(texts)
+    assert "farname" in expected and len(expected) > 1
+    found = disclosure.find(table(spark, texts)).collect()
+    for row in found:
+        text = texts[row["doc_id"]]
+        mine = {(m.start(), m.end()): expected[m.group().lower()] for m in re.finditer(r"[^\W\d_]{3,}", re.sub(PATTERNS["email"], lambda m: "@" * len(m.group()), text)) if m.group().lower() in expected}
+        assert {(t["start"], t["end"]) for t in row["terms"]} == set(mine)
+        assert all(abs(t["share"] - mine[t["start"], t["end"]]) < 1e-9 for t in row["terms"])
+
+
+def test_names_that_clash(spark):
+    frame = spark.createDataFrame([(1, "mail a@b.cd now", "x", 1, "y", 2)], "doc_id long, text string, of string, mark int, spans string, __mark int")
+    assert [tuple(r) for r in disclosure.sanitised(frame).collect()] == [(1, "mail [EMAIL] now", "x", 1, "y", 2)]
 
 
 def test_copies_prove_nothing(spark):

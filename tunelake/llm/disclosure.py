@@ -4,17 +4,20 @@ Protected entities are the e-mail addresses, network addresses, card numbers and
 patterns find. How much a term tells about an entity is estimated from co-occurrence in the corpus: with N
 documents, pointwise mutual information log(N * n(t, e) / (n(t) * n(e))) as a share of the information
 log(N / n(e)) that the entity itself carries. A share of 1 means that whoever reads the term can name the
-entity. A term in the neighbourhood of an entity whose share reaches ``GENERALISE`` is generalised, from
-``REMOVE`` on it is removed. Counts n(t) and N are over all documents; a pair counts as evidence only if it
-occurs in at least ``SUPPORT`` different neighbourhoods, so that copies of one passage prove nothing. Terms are only
-replaced there: the same term farther from an entity, or in another document, stays.
+entity. A term whose share of some entity reaches ``GENERALISE`` is generalised, from ``REMOVE`` on it is removed, wherever it stands in any
+document. All counts are over whole documents; a pair counts as evidence only if it occurs in ``SUPPORT`` documents and the
+entity has different neighbourhoods in them, so that copies of one passage prove nothing.
+
+A share of ``GENERALISE`` bounds n(t) by n(e) and N. Words above the bound of every entity of their document are left out before they meet the entities, so
+common words cost one count each. Hot entities are salted where they meet their documents. Which documents hold a disclosing term is found with
+a table of a fixed number of slots, which may let other words through; an exact join follows.
 
 All work is done by DataFrame functions. A pattern's places come from the gaps and the matches that one
 pattern gives when it splits and when it extracts; the patterns cannot backtrack over long runs.
 
 Defined cases: a null text counts as empty; rows with one id and equal texts are one document for the counts
-and get equal results; a null id is kept; texts without personal data are never changed; an empty table
-gives no rows; other columns are not read, and ``sanitised`` keeps them.
+and get equal results; a null id is kept; texts without personal data and disclosing terms are never changed; an empty table
+gives no rows; other columns are not read, and ``sanitised`` keeps them, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,12 +26,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tunelake.llm.common import bit_filter, free_names
 from tunelake.session import cut_lineage
 
 KINDS = ("email", "ip", "card", "phone")
 GENERALISE, REMOVE, SUPPORT = 0.8, 0.95, 2
 #: Characters on both sides of an entity that make its neighbourhood.
 REACH = 64
+#: Salts of an entity where it meets its documents, and slots (a power of two, a bit each) of the table of disclosing terms: 128 KB at any size.
+SALTS, SLOT_BITS = 16, 20
 # The patterns of the kinds. Possessive runs match what greedy ones do here, without going back; a match
 # starts where the last one ended or where a run begins, since starts inside a run can give nothing else.
 _LOCAL, _LABEL = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]"
@@ -39,7 +45,9 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 _NEEDS = {"email": "@", "ip": "[0-9]\\.[0-9]", "card": "[0-9]", "phone": "\\+[0-9]"}
-_TERM = r"\p{L}{3,}+"
+_LEAST_LETTERS = 3
+#: Addresses are matched before words, so that no word is found inside one; of the kinds only addresses hold letters.
+_TERM = rf"(?:{PATTERNS['email']})|\p{{L}}{{{_LEAST_LETTERS},}}+"
 _STEP = 256
 
 
@@ -55,19 +63,25 @@ def _sum(values: Column) -> Column:
 def places(text: Column, pattern: str) -> Column:
     """Array of (start, end, value) of all matches: code points, end exclusive.
 
-    Starts are running sums over gaps and matches, taken by blocks so that they stay cheap for many matches.
+    Starts are running sums over gaps and matches, taken by blocks and blocks of blocks so that they stay cheap for many matches.
     """
 
-    def place(hit: Column, n: Column, found: Column, lengths: Column, blocks: Column) -> Column:
+    def before(values: Column, block: Column, n: Column) -> Column:
+        return _sum(F.slice(values, block * _STEP + 1, n - block * _STEP))
+
+    def place(hit: Column, n: Column, found: Column, lengths: Column, blocks: Column, wide: Column) -> Column:
         block = F.floor(n / _STEP).cast("int")
-        before = _sum(F.slice(blocks, F.lit(1), block)) + _sum(F.slice(lengths, block * _STEP + 1, n - block * _STEP))
-        start = before + F.length(F.get(found["gaps"], n))
+        above = F.floor(block / _STEP).cast("int")
+        start = _sum(F.slice(wide, F.lit(1), above)) + before(blocks, above, block) + before(lengths, block, n) + F.length(F.get(found["gaps"], n))
         return _let(start, lambda at: F.struct(at.alias("start"), (at + F.length(hit)).alias("end"), hit.alias("value")))
 
+    def summed(values: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.floor(F.size(values) / _STEP).cast("int"))
+        return F.transform(numbers, lambda k: _sum(F.slice(values, k * _STEP + 1, F.lit(_STEP))))
+
     def placed(found: Column, lengths: Column) -> Column:
-        numbers = F.sequence(F.lit(0), F.floor(F.size(lengths) / _STEP).cast("int"))
-        sums = F.transform(numbers, lambda k: _sum(F.slice(lengths, k * _STEP + 1, F.lit(_STEP))))
-        return _let(sums, lambda blocks: F.transform(found["hits"], lambda hit, n: place(hit, n, found, lengths, blocks)))
+        each = lambda blocks, wide: F.transform(found["hits"], lambda hit, n: place(hit, n, found, lengths, blocks, wide))
+        return _let(summed(lengths), lambda blocks: _let(summed(blocks), lambda wide: each(blocks, wide)))
 
     def measured(found: Column) -> Column:
         lengths = F.transform(found["hits"], lambda hit, n: F.length(hit) + F.length(F.get(found["gaps"], n)))
@@ -128,8 +142,13 @@ def _rows(frame: DataFrame, id_column: str, text_column: str) -> DataFrame:
     return frame.select(F.col(id_column).cast("long").alias("doc_id"), text.alias("text"))
 
 
+def _words(text: Column) -> Column:
+    """Different terms of a text."""
+    return F.filter(F.array_distinct(F.split(F.lower(text), r"[^\p{L}]+")), lambda word: F.length(word) >= _LEAST_LETTERS)
+
+
 def _found(rows: DataFrame) -> DataFrame:
-    """Base places of every row, written once; the text stays only around what was found."""
+    """Base places of every row, written once; of a row with entities also its entities, each with a hash of its neighbourhood, and its terms."""
     spans = rows.select("doc_id", F.xxhash64("text").alias("mark"), "text", *[column.alias(kind) for kind, column in base_places(F.col("text")).items()])
     spans = spans.withColumn("spans", F.concat(*[_named(kind) for kind in KINDS]))
     low = lambda s: F.greatest(s["start"] - REACH, F.lit(0))
@@ -137,63 +156,76 @@ def _found(rows: DataFrame) -> DataFrame:
         "spans",
         lambda s: F.struct(
             F.concat(s["kind"], F.lit(":"), F.lower(s["value"])).alias("entity"),
-            low(s).alias("low"),
-            F.substring(F.col("text"), low(s) + 1, s["end"] + REACH - low(s)).alias("around"),
-            (F.length("text") <= s["end"] + REACH).alias("to_end"),
+            F.xxhash64(F.substring(F.col("text"), low(s) + 1, s["end"] + REACH - low(s))).alias("place"),
         ),
     )
-    none = F.array().cast("array<struct<entity:string,low:int,around:string,to_end:boolean>>")
-    around = F.when(F.size("spans") > 0, around).otherwise(none)
+    held = F.size("spans") > 0
+    around = F.when(held, around).otherwise(F.array().cast("array<struct<entity:string,place:bigint>>"))
+    words = F.when(held, _words(F.regexp_replace("text", PATTERNS["email"], " "))).otherwise(F.array().cast("array<string>"))
     kept = F.transform("spans", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    return cut_lineage(spans.select("doc_id", "mark", kept.alias("spans"), around.alias("around")))
-
-
-def _neighbours(found: DataFrame) -> DataFrame:
-    """One row per term beside an entity: document, entity, term, place, and the hash of the neighbourhood."""
-    each = found.filter(F.size("around") > 0).select("doc_id", "mark", F.explode("around").alias("e"))
-    each = each.select("doc_id", "mark", "e.entity", "e.low", "e.around", "e.to_end")
-    # Of the kinds only addresses hold letters; they are looked up in the neighbourhood itself.
-    each = each.withColumn("addresses", places(F.col("around"), PATTERNS["email"]))
-    terms = each.select("*", F.explode(places(F.col("around"), _TERM)).alias("t"))
-    # What no white space parts from a cut edge may belong to something longer.
-    whole = ((F.col("low") == 0) | F.substring(F.col("around"), F.lit(1), F.col("t.start")).rlike(r"\s")) & (
-        F.col("to_end") | F.substring(F.col("around"), F.col("t.end") + 1, F.length("around")).rlike(r"\s")
-    )
-    apart = ~F.exists("addresses", lambda s: (s["start"] < F.col("t.end")) & (F.col("t.start") < s["end"]))
-    kept = terms.filter(whole & apart)
-    start, end = F.col("low") + F.col("t.start"), F.col("low") + F.col("t.end")
-    return cut_lineage(kept.select("doc_id", "mark", "entity", F.lower("t.value").alias("term"), start.alias("start"), end.alias("end"), F.xxhash64("around").alias("place")))
+    return cut_lineage(spans.select("doc_id", "mark", kept.alias("spans"), around.alias("around"), words.alias("words")))
+
 
+def _most(total: Column, of_entity: Column) -> Column:
+    """No term in more documents reaches ``GENERALISE`` for an entity in so many: what the share comes to if every one of these holds the term."""
+    return of_entity * F.pow(total / of_entity, F.lit(1 - GENERALISE)) + F.lit(1e-6)
 
-def disclosing(rows: DataFrame, found: DataFrame, near: DataFrame) -> DataFrame:
+
+def disclosing(rows: DataFrame, found: DataFrame) -> DataFrame:
     """``entity``, ``term``, ``share``: pairs with enough evidence whose share reaches ``GENERALISE``."""
-    pairs = near.groupBy("entity", "term", "doc_id", "mark").agg(F.min("place").alias("low"), F.max("place").alias("high"))
-    pairs = pairs.groupBy("entity", "term").agg(F.count("*").alias("both"), F.min("low").alias("low"), F.max("high").alias("high"))
+    total = F.lit(found.count()).cast("double")
+    docs = found.filter(F.size("around") > 0).select("doc_id", "mark", "around", "words").dropDuplicates(["doc_id", "mark"])
+    docs = cut_lineage(docs.withColumn("doc", F.xxhash64("doc_id", "mark", F.lit("document"))))
+    each = docs.select("doc", F.explode("around").alias("e")).groupBy("doc", "e.entity").agg(F.min("e.place").alias("low"), F.max("e.place").alias("high"))
+    each = cut_lineage(each)
     # Two different neighbourhoods suffice, which the least and the largest hash tell.
-    pairs = cut_lineage(pairs.filter((F.col("both") >= SUPPORT) & (F.col("low") != F.col("high"))).select("entity", "term", "both"))
-    entities = found.select("doc_id", "mark", F.explode(F.array_distinct(F.transform("around", lambda e: e["entity"]))).alias("entity"))
-    entities = entities.distinct().groupBy("entity").agg(F.count("*").alias("of_entity"))
-    wanted = pairs.select("term").distinct()
-    words = rows.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("term")).filter(F.length("term") >= 3)
-    terms = words.join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("of_term"))
-    total = F.lit(found.count())
-    scored = pairs.join(entities, "entity").join(terms, "term")
+    entities = each.groupBy("entity").agg(F.count("*").alias("of_entity"), F.min("low").alias("low"), F.max("high").alias("high"))
+    entities = cut_lineage(entities.filter((F.col("of_entity") >= SUPPORT) & (F.col("low") != F.col("high"))).select("entity", "of_entity"))
+    salted = entities.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    named = each.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int")).join(salted, ["entity", "salt"])
+    most = F.max(_most(total, F.col("of_entity"))).alias("most")
+    by_doc = cut_lineage(named.groupBy("doc").agg(F.collect_list(F.struct("entity", "low", "high")).alias("entities"), most))
+    counts = rows.select(F.explode(_words(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("of_term")).filter(F.col("of_term") >= SUPPORT)
+    terms = docs.select("doc", "words").join(by_doc.select("doc", "most"), "doc").select("doc", "most", F.explode("words").alias("term"))
+    rare = terms.join(counts, "term").filter(F.col("of_term") <= F.col("most")).select("doc", "term", "of_term")
+    met = rare.join(by_doc.select("doc", "entities"), "doc").select("term", "of_term", F.explode("entities").alias("e"))
+    pairs = met.groupBy("e.entity", "term", "of_term").agg(F.count("*").alias("both"), F.min("e.low").alias("low"), F.max("e.high").alias("high"))
+    pairs = pairs.filter((F.col("both") >= SUPPORT) & (F.col("low") != F.col("high")))
     information = F.log(total / F.col("of_entity"))
     mutual = F.log(total * F.col("both") / (F.col("of_term") * F.col("of_entity")))
     share = F.when(information > 0, mutual / information).otherwise(F.lit(0.0))
-    return cut_lineage(scored.select("entity", "term", share.alias("share")).filter(F.col("share") >= GENERALISE))
+    return cut_lineage(pairs.join(entities, "entity").select("entity", "term", share.alias("share")).filter(F.col("share") >= GENERALISE))
+
+
+def _places_of(rows: DataFrame, terms: DataFrame) -> DataFrame:
+    """``doc_id``, ``mark``, ``terms``: all places of the terms in all documents, with their share."""
+    slot = F.xxhash64("term").alias("slot")
+    slots = F.lit(bit_filter(terms.select(slot), "slot", SLOT_BITS))
+
+    def known(word: Column) -> Column:
+        """Whether the slot of a word is taken."""
+
+        def taken(place: Column) -> Column:
+            byte = F.substring(slots, F.shiftright(place, 3) + 1, F.lit(1))
+            return F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), place.bitwiseAND(F.lit(7))) == 1
+
+        return _let(F.shiftrightunsigned(F.xxhash64(word), 64 - SLOT_BITS).cast("int"), taken)
+
+    some = rows.select("doc_id", F.xxhash64("text").alias("mark"), "text", F.filter(_words(F.col("text")), known).alias("some")).filter(F.size("some") > 0)
+    # An address is no word: it holds a sign that is no letter.
+    words = F.transform(places(F.col("text"), _TERM), lambda p: F.struct(F.lower(p["value"]).alias("term"), p["start"].alias("start"), p["end"].alias("end")))
+    hits = some.select("doc_id", "mark", F.explode(F.filter(words, lambda w: F.array_contains(F.col("some"), w["term"]))).alias("w"))
+    met = hits.select("doc_id", "mark", "w.*").join(terms, "term").groupBy("doc_id", "mark", "start", "end").agg(F.max("share").alias("share"))
+    return met.groupBy("doc_id", "mark").agg(F.array_sort(F.collect_list(F.struct("start", "end", "share"))).alias("terms"))
 
 
 def find(frame: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``doc_id``, ``mark`` (text hash), ``spans`` of the base kinds and ``terms`` with their share."""
     rows = _rows(frame, id_column, text_column)
     found = _found(rows)
-    near = _neighbours(found)
-    pairs = disclosing(rows, found, near)
-    hits = near.join(pairs, ["entity", "term"])
-    hits = hits.groupBy("doc_id", "mark", "start", "end").agg(F.max("share").alias("share"))
-    hits = hits.groupBy("doc_id", "mark").agg(F.array_sort(F.collect_list(F.struct("start", "end", "share"))).alias("terms"))
-    hits = cut_lineage(hits.select(F.col("doc_id").alias("id"), F.col("mark").alias("of"), "terms"))
+    terms = cut_lineage(disclosing(rows, found).groupBy("term").agg(F.max("share").alias("share")))
+    hits = _places_of(rows, terms).select(F.col("doc_id").alias("id"), F.col("mark").alias("of"), "terms")
+    hits = cut_lineage(hits)
     none = F.array().cast("array<struct<start:int,end:int,share:double>>")
     joined = found.join(hits, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("mark") == F.col("of")), "left")
     return joined.select("doc_id", "mark", "spans", F.coalesce("terms", none).alias("terms"))
@@ -230,15 +262,13 @@ def sanitised(frame: DataFrame, id_column: str = "doc_id", text_column: str = "t
     group = F.sum("fresh").over(order.rowsBetween(W.unboundedPreceding, 0))
     merged = each.withColumn("fresh", fresh).withColumn("group", group).groupBy("doc_id", "mark", "group")
     merged = merged.agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max(F.when(F.col("fresh") == 1, F.col("label"))).alias("label"))
-    spans = merged.groupBy("doc_id", "mark").agg(F.array_sort(F.collect_list(F.struct("start", "end", "label"))).alias("__spans"))
-    spans = cut_lineage(spans.select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), "__spans"))
+    of, mark, spans = free_names(frame, "of", "mark", "spans")
+    parts = merged.groupBy("doc_id", "mark").agg(F.array_sort(F.collect_list(F.struct("start", "end", "label"))).alias(spans))
+    parts = cut_lineage(parts.select(F.col("doc_id").alias(of), F.col("mark").alias(mark), spans))
     text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
-    same = F.col(id_column).cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__mark"))
-    # A text without the signs that every entity has is never changed and need not meet the spans.
-    holds = text.rlike("|".join(f"(?:{sign})" for sign in _NEEDS.values()))
-    joined = frame.filter(holds).join(spans, same, "left")
-    last = lambda n: F.when(n == 0, F.lit(0)).otherwise(F.get("__spans", n - 1)["end"])
-    parts = F.transform("__spans", lambda s, n: F.concat(F.substring(text, last(n) + 1, s["start"] - last(n)), s["label"]))
-    tail = F.substring(text, F.element_at("__spans", -1)["end"] + 1, F.length(text))
-    new = F.when(F.col("__spans").isNull(), F.col(text_column)).otherwise(F.concat(F.array_join(parts, ""), tail))
-    return frame.filter(~holds).unionByName(joined.withColumn(text_column, new).select(*frame.columns))
+    same = F.col(id_column).cast("long").eqNullSafe(F.col(of)) & (F.xxhash64(text) == F.col(mark))
+    last = lambda n: F.when(n == 0, F.lit(0)).otherwise(F.get(spans, n - 1)["end"])
+    pieces = F.transform(spans, lambda s, n: F.concat(F.substring(text, last(n) + 1, s["start"] - last(n)), s["label"]))
+    tail = F.substring(text, F.element_at(spans, -1)["end"] + 1, F.length(text))
+    new = F.when(F.col(spans).isNull(), F.col(text_column)).otherwise(F.concat(F.array_join(pieces, ""), tail))
+    return frame.join(parts.hint("merge"), same, "left").withColumn(text_column, new).select(*frame.columns)
