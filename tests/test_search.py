@@ -213,3 +213,72 @@ def test_metrics_file_falls_back_to_best(spark, tmp_path):
     (tmp_path / "r.json").write_text(json.dumps(doc, indent=2))
     got = files.read_run_metrics(spark, str(tmp_path)).collect()
     assert [(r.run_name, r.run_file, r.best_so_far) for r in got] == [("r", "r", 0.5)]
+
+
+def test_batch_scorer_blocks(spark):
+    _, genes = population(spark)
+    wide, blocks = e.candidate_blocks(e.wide_genomes(genes, SPACE), 7)
+    sizes = sorted(r["count"] for r in wide.groupBy("_block").count().collect())
+    assert blocks == 5 and sizes == [2, 7, 7, 7, 7]
+    data = spark.range(300, numPartitions=6).select((F.col("id") / 300.0).alias("x"), (F.col("id") % 2).alias("ordinal"))
+
+    # Names of data columns may be names of parameters and keys.
+    def hits(batch: pd.DataFrame, candidates: pd.DataFrame) -> pd.Series:
+        return pd.Series(((batch["x"].to_numpy()[None, :] >= candidates["x"].to_numpy()[:, None]) == (batch["ordinal"].to_numpy() == 1)).sum(axis=1))
+
+    exact = e.evaluate_candidates(genes, SPACE, e.ThresholdScorer("x", "x", "ordinal"), data)
+    assert rows(e.evaluate_candidates(genes, SPACE, e.BatchScorer(("x", "ordinal"), hits, 7), data)) == rows(exact)
+    none = e.evaluate_candidates(genes, SPACE, e.BatchScorer(("x", "ordinal"), hits, 7), data.filter("x < 0")).collect()
+    assert len(none) == 30 and {r.status for r in none} == {"FAILED"}
+
+
+def guarded(spark, walls, workers, planned, limit=0, expected=0):
+    """Outcomes for given clocks and workers per (run, generation)."""
+    table = [(run, g, walls[run][g], workers[run][g]) for run in range(len(walls)) for g in range(planned)]
+    clock = spark.createDataFrame(table, "run_id long, generation int, wall_clock_ms long, active_workers long")
+    config = ev.EvolutionConfig(population_size=4, num_generations=planned, elite_count=1, narrowing=False, seed=5)
+    rules = ps.StopRules(limit, expected, lambda results, g: clock.filter(F.col("generation") == g).drop("generation"))
+    scorer = e.ExpressionScorer(lambda: F.col("x"))
+    found = ps.guarded_search(runs(spark, len(walls)), SPACE, config, scorer, rules=rules)
+    done = {r.run_id: r.n for r in found.history.groupBy("run_id").agg(F.count("*").alias("n")).collect()}
+    outcomes = {r.run_id: r for r in found.outcomes.collect()}
+    assert {run: r.generations_completed for run, r in outcomes.items()} == done
+    assert all(r.jobs_submitted == 4 * r.generations_completed and r.jobs_planned == 4 * planned for r in outcomes.values())
+    return [(outcomes[run].generations_completed, outcomes[run].stop_reason) for run in range(len(walls))]
+
+
+def stopped(walls, workers, planned, limit, expected):
+    """The rules walked through one run."""
+    done = []
+    for g in range(planned):
+        timed = sorted(w for w in done if w > 0)
+        if g and limit and timed and sum(done) + timed[len(timed) // 2] > limit:
+            return g, "max_wall_clock_reached"
+        done.append(max(walls[g], 0))
+        if expected and workers[g] < expected:
+            return g + 1, "insufficient_workers"
+    return planned, "completed"
+
+
+def test_stop_rules(spark):
+    walls = [[100, 100, 100, 100], [100, 300, 10, 10], [0, 0, 500, 0], [400, 1, 1, 1], [-5, 250, 200, 10], [90, 110, 110, 90]]
+    workers = [[4, 4, 4, 4], [4, 4, 4, 4], [4, 4, 4, 4], [1, 4, 4, 4], [4, 4, 3, 1], [4, 4, 4, 2]]
+    for limit, expected in ((400, 0), (0, 3), (310, 4)):
+        want = [stopped(walls[run], workers[run], 4, limit, expected) for run in range(len(walls))]
+        assert guarded(spark, walls, workers, 4, limit, expected) == want
+        assert {reason for _, reason in want} > {"completed"} or limit == 310
+
+
+def test_search_ends_when_no_run_is_left(spark):
+    assert guarded(spark, [[10, 10, 10]] * 2, [[0, 9, 9]] * 2, 3, expected=1) == [(1, "insufficient_workers")] * 2
+
+
+def test_default_genes_in_every_generation(spark):
+    config = ev.EvolutionConfig(population_size=6, num_generations=3, narrowing_start=0, seed=5, dataset="digits", epochs=3)
+    pop, genes = ps.initialize_population(runs(spark, 2), SPACE, config)
+    for _ in range(2):
+        pop, genes = ps.evolve(pop.withColumn("fitness", F.col("ordinal") / 10.0), genes, SPACE, config)
+        counts = {(r["name"], r["num"], r["cat"]): r["count"] for r in genes.filter("name in ('dataset', 'epochs')").groupBy("name", "num", "cat").count().collect()}
+        assert counts == {("dataset", None, "digits"): 12, ("epochs", 3.0, None): 12}
+        assert genes.groupBy("run_id", "ordinal").count().filter("count <> 5").isEmpty()
+    assert pop.filter("origin = 'elite'").count() == 4

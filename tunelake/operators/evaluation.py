@@ -1,7 +1,7 @@
 """Scoring candidates against data, budgets, and resuming an evaluation.
 
 A scorer is a Column expression over the genome, an exact threshold rule, or a Python function
-over Arrow batches. None of them forms candidate-row pairs.
+over batches of rows and blocks of candidates. None of them forms candidate-row pairs.
 """
 
 from __future__ import annotations
@@ -10,22 +10,22 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tunelake.functions.scalars import is_finite
 from tunelake.operators.scans import as_of, number_block, running, total, value_block
 from tunelake.operators.space import CANDIDATE, Space, genome_keys
+from tunelake.session import cut_lineage
 
 CANDIDATE_BLOCK = 4096
 
 
 def wide_genomes(genes: DataFrame, space: Space) -> DataFrame:
-    """One row per candidate with a column per parameter."""
-    columns = []
-    for param in space.params:
-        source = "cat" if param.choices else "num"
-        columns.append(F.max(F.when(F.col("name") == param.name, F.col(source))).alias(param.name))
+    """One row per candidate with a column per parameter, and the data set and epochs that every genome may carry."""
+    columns = {param.name: "cat" if param.choices else "num" for param in space.params}
+    columns = {"dataset": "cat", "epochs": "num"} | columns
+    columns = [F.max(F.when(F.col("name") == name, F.col(source))).alias(name) for name, source in columns.items()]
     return genes.groupBy(*CANDIDATE).agg(*columns)
 
 
@@ -76,51 +76,80 @@ class ThresholdScorer:
         return thresholds.join(scored, "at", "left").select(*CANDIDATE, "score")
 
 
+def candidate_blocks(wide: DataFrame, size: int) -> tuple[DataFrame, int]:
+    """Candidates with their ``_block``, written once, and the number of blocks; every block but the last has exactly ``size`` candidates.
+
+    Positions come from the sizes of hash buckets, of which there are as many as blocks.
+    """
+    buckets = max(1, -(-wide.count() // size))
+    dealt = wide.withColumn("_bucket", F.pmod(F.xxhash64(*CANDIDATE), F.lit(buckets)))
+    sizes = dealt.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    starts = running(sizes, [], ["_bucket"], number_block(F.col("_bucket")), {"_start": total(F.col("_n"), inclusive=False)})
+    place = F.col("_start") + F.row_number().over(Window.partitionBy("_bucket").orderBy(*CANDIDATE)) - 1
+    placed = dealt.join(starts.select("_bucket", "_start"), "_bucket").withColumn("_block", F.floor(place / size).cast("long"))
+    return cut_lineage(placed.drop("_bucket", "_start")), buckets
+
+
 @dataclass(frozen=True)
 class BatchScorer:
     """Score by a Python function over data batches, averaged over all rows.
 
-    ``function(batch, candidates)`` returns one partial sum per candidate row. Candidates are
-    shipped in blocks of at most 4096 rows; each data batch is read once per block and only
-    partial sums leave a task.
+    ``function(batch, candidates)`` returns one partial sum per candidate row. Blocks of candidates are a written table; data rows are
+    sent to every block and met there by mates of their input partition, so a block's rows are spread over as many tasks as the
+    shuffle has to give. A task holds one block and one batch of rows, and partial sums are all that leaves it. Neither candidates nor
+    data pass through the driver, and nothing is broadcast.
     """
 
     columns: tuple[str, ...]
     function: Callable[[pd.DataFrame, pd.DataFrame], pd.Series]
+    block: int = CANDIDATE_BLOCK
 
     def scores(self, genes: DataFrame, space: Space, data: DataFrame) -> DataFrame:
         spark = genes.sparkSession
-        wide = wide_genomes(genes, space)
-        numbered = wide.withColumn("_block", F.pmod(F.xxhash64(*CANDIDATE), self._blocks(wide)))
-        blocks = [row["_block"] for row in numbered.select("_block").distinct().orderBy("_block").collect()]
-        rows = data.select(*self.columns)
-        parts = None
-        for block in blocks:
-            chosen = numbered.filter(F.col("_block") == block).drop("_block").toPandas()
-            part = self._partial(rows, spark.sparkContext.broadcast(chosen))
-            parts = part if parts is None else parts.unionByName(part)
-        return parts.groupBy(*CANDIDATE).agg((F.sum("hits") / F.sum("seen")).alias("score"))
-
-    @staticmethod
-    def _blocks(wide: DataFrame) -> int:
-        # Hash blocks vary in size, so aim at half the limit.
-        return max(1, -(-wide.count() // (CANDIDATE_BLOCK // 2)))
-
-    def _partial(self, rows: DataFrame, chosen) -> DataFrame:
-        function = self.function
-
-        def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            candidates, hits, seen = chosen.value, None, 0
-            for batch in batches:
-                part = function(batch, candidates)
-                hits = part if hits is None else hits + part
-                seen += len(batch)
-            if hits is not None:
-                yield candidates[CANDIDATE].assign(hits=hits.to_numpy(dtype="float64"), seen=seen)
-
-        return rows.mapInPandas(
-            fold, "run_id long, generation int, ordinal long, hits double, seen long"
-        )
+        wide, blocks = candidate_blocks(wide_genomes(genes, space), self.block)
+        names = [c for c in wide.columns if c != "_block"]
+        salts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // blocks)
+        # The columns of both sides go under numbers: a name may be on both.
+        held = [F.col(c).alias(f"c{n}") for n, c in enumerate(names)]
+        rows = [F.col(c).alias(f"d{n}") for n, c in enumerate(self.columns)]
+        every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))
+        candidates = wide.select(F.col("_block").alias("block"), every.alias("salt"), F.lit(0).alias("kind"), *held)
+        each = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+        salted = data.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(salts)).cast("long"))
+        points = salted.select(each.alias("block"), F.col("_salt").alias("salt"), F.lit(1).alias("kind"), *rows)
+        cells = candidates.unionByName(points, allowMissingColumns=True)
+        dealt = cells.repartition("block", "salt").sortWithinPartitions("block", "salt", "kind")
+        parts = dealt.mapInPandas(self._fold(names), "run_id long, generation int, ordinal long, hits double, seen long")
+        sums = parts.groupBy(*CANDIDATE).agg((F.sum("hits") / F.sum("seen")).alias("score"))
+        return wide.select(*CANDIDATE).join(sums, CANDIDATE, "left")
+
+    def _fold(self, names: list[str]):
+        function, columns = self.function, list(self.columns)
+
+        def fold(cells: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            place, blocks, candidates, hits, seen = None, [], None, None, 0
+
+            def sums() -> Iterator[pd.DataFrame]:
+                if hits is not None:
+                    yield candidates[CANDIDATE].assign(hits=hits, seen=seen)
+
+            for table in cells:
+                for (block, salt, kind), part in table.groupby(["block", "salt", "kind"], sort=False):
+                    if place != (block, salt):
+                        yield from sums()
+                        place, blocks, candidates, hits, seen = (block, salt), [], None, None, 0
+                    if kind == 0:
+                        blocks.append(part[[f"c{n}" for n in range(len(names))]].set_axis(names, axis=1))
+                        continue
+                    if candidates is None:
+                        candidates = pd.concat(blocks, ignore_index=True)
+                    batch = part[[f"d{n}" for n in range(len(columns))]].set_axis(columns, axis=1).reset_index(drop=True)
+                    found = function(batch, candidates).to_numpy(dtype="float64")
+                    hits = found if hits is None else hits + found
+                    seen += len(batch)
+            yield from sums()
+
+        return fold
 
 
 def evaluate_candidates(genes: DataFrame, space: Space, scorer, data: DataFrame | None = None) -> DataFrame:

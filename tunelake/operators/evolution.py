@@ -62,6 +62,8 @@ class EvolutionConfig:
     categorical_bias: float = 0.60
     late_training_bias: float = 0.0
     epochs: int = 10
+    #: Data set that every genome names, with the epochs where the space has none; None leaves both out.
+    dataset: str | None = None
     seed: int = 0
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -12,7 +13,8 @@ from tunelake.functions.frames import table_union
 from tunelake.operators import evolution as ev
 from tunelake.operators.compare import RUN_NAME_TO_KEY
 from tunelake.operators.evaluation import evaluate_candidates
-from tunelake.operators.space import CANDIDATE, Space, random_candidates
+from tunelake.operators.scans import value_block
+from tunelake.operators.space import CANDIDATE, Space, random_candidates, with_defaults
 from tunelake.plans.protocol import (
     DifferentialEvolution,
     GridSearch,
@@ -45,10 +47,15 @@ def no_constraints(spark: SparkSession) -> DataFrame:
     )
 
 
+def _completed(genes: DataFrame, space: Space, config: ev.EvolutionConfig) -> DataFrame:
+    """Genomes with the genes that do not evolve."""
+    return genes if config.dataset is None else with_defaults(genes, space, config.dataset, config.epochs)
+
+
 def initialize_population(runs: DataFrame, space: Space, config: ev.EvolutionConfig) -> tuple[DataFrame, DataFrame]:
     """Generation 0: random genomes with fitness 0 for every run."""
     sized = runs.select("run_id", F.lit(config.population_size).alias("n"))
-    genes = random_candidates(sized, space, config.seed)
+    genes = _completed(random_candidates(sized, space, config.seed), space, config)
     population = (
         genes.filter(F.col("name") == space.params[0].name)
         .select(*CANDIDATE)
@@ -73,6 +80,7 @@ def evolve(
     """
     steps = steps or Operators()
     spark = population.sparkSession
+    genes = genes.filter(F.col("name").isin(space.names()))
     offspring_count = config.population_size - config.elite_count
     if overrides is None:
         overrides = population.select("run_id").distinct().select(
@@ -111,13 +119,13 @@ def evolve(
     )
     shifted = mixed.withColumn("ordinal", F.col("ordinal") + config.elite_count)
     merged = cut_lineage(elite_genes.unionByName(shifted))
-    next_genes = cut_lineage(ev.dedupe_genomes(merged, space, constraints, config))
+    next_genes = cut_lineage(_completed(ev.dedupe_genomes(merged, space, constraints, config), space, config))
     elite_rows = kept.select(
         "run_id", (F.col("generation") + 1).alias("generation"), F.col("slot").alias("ordinal"), F.col("fitness").alias("_kept")
     )
     # An elite whose genome de-duplication replaced is a new candidate without a score.
     elite_keys = ev.genome_keys(merged.filter(F.col("ordinal") < config.elite_count)).select(*CANDIDATE, "genome_key")
-    same = elite_keys.join(ev.genome_keys(next_genes).select(*CANDIDATE, "genome_key"), [*CANDIDATE, "genome_key"], "left_semi")
+    same = elite_keys.join(ev.genome_keys(next_genes.filter(F.col("name").isin(space.names()))).select(*CANDIDATE, "genome_key"), [*CANDIDATE, "genome_key"], "left_semi")
     elite_rows = elite_rows.join(same, CANDIDATE, "left_semi")
     next_population = (
         next_genes.filter(F.col("name") == space.params[0].name)
@@ -151,36 +159,121 @@ def _reheat_state(state: DataFrame, stats: DataFrame, config: ev.EvolutionConfig
     )
 
 
-def run_search(
+@dataclass(frozen=True)
+class StopRules:
+    """When runs leave a search before their last generation; 0 switches a rule off.
+
+    ``telemetry(results, generation)`` gives ``run_id, wall_clock_ms, active_workers`` of a generation that was scored. Without it the clock is the
+    time that scoring took here, for all runs alike, and workers are unknown.
+    """
+
+    max_wall_clock_ms: int = 0
+    expected_workers: int = 0
+    telemetry: Callable[[DataFrame, int], DataFrame] | None = None
+
+
+@dataclass(frozen=True)
+class SearchResult:
+    """``history``: one row per run and generation; ``outcomes``: one row per run."""
+
+    history: DataFrame
+    outcomes: DataFrame
+
+
+class _Durations:
+    """Durations of the earlier generations of every run, counted by blocks of values.
+
+    Whether the upper median is above a bound follows from the number of durations up to it: whole blocks are counted, and only the
+    durations in the block of the bound are looked at one by one.
+    """
+
+    def __init__(self):
+        self.counts: DataFrame | None = None
+        self.rounds: list[DataFrame] = []
+
+    def add(self, walls: DataFrame) -> None:
+        """``run_id, wall_clock_ms`` of a generation; durations of 0 are not timed."""
+        timed = walls.filter("wall_clock_ms > 0").select("run_id", "wall_clock_ms", value_block(F.col("wall_clock_ms")).alias("block"))
+        timed = cut_lineage(timed)
+        self.rounds.append(timed)
+        fresh = timed.select("run_id", "block", F.lit(1).cast("long").alias("n"))
+        both = fresh if self.counts is None else self.counts.unionByName(fresh)
+        self.counts = cut_lineage(both.groupBy("run_id", "block").agg(F.sum("n").alias("n")))
+
+    def median_above(self, bounds: DataFrame) -> DataFrame:
+        """Runs of ``bounds`` (``run_id, bound``) whose upper median is above their bound."""
+        marked = bounds.withColumn("at", value_block(F.col("bound")))
+        whole = marked.join(self.counts, "run_id").groupBy("run_id").agg(
+            F.sum("n").alias("timed"), F.sum(F.when(F.col("block") < F.col("at"), F.col("n")).otherwise(0)).alias("below")
+        )
+        near = table_union(self.rounds).join(marked.withColumnRenamed("at", "block"), ["run_id", "block"])
+        near = near.filter(F.col("wall_clock_ms") <= F.col("bound")).groupBy("run_id").agg(F.count(F.lit(1)).alias("near"))
+        within = F.col("below") + F.coalesce("near", F.lit(0).cast("long"))
+        return whole.join(near, "run_id", "left").filter(within <= F.floor(F.col("timed") / 2)).select("run_id")
+
+
+def guarded_search(
     runs: DataFrame,
     space: Space,
     config: ev.EvolutionConfig,
     scorer,
     data: DataFrame | None = None,
     steps: Operators | None = None,
-) -> DataFrame:
-    """Generational search of every run; returns one metrics row per (run, generation).
+    rules: StopRules = StopRules(),
+) -> SearchResult:
+    """Generational search of every run until its last generation or a stop rule.
 
+    A run is stopped before a generation when the time it has taken and the upper median of its generations exceed the limit, and
+    after one that had too few workers. Stopped runs leave the working set: later generations are neither bred nor scored for them.
     Each generation is written to the checkpoint folder, which keeps the plan short and lets a
     lost executor recompute one generation only.
     """
     population, genes = initialize_population(runs, space, config)
     population, genes = cut_lineage(population), cut_lineage(genes)
+    zero = F.lit(0).cast("long")
     state = runs.select(
         "run_id",
         F.lit(None).cast("double").alias("peak"),
         F.lit(0).alias("stale"),
         F.lit(0).alias("remaining"),
         F.lit(0).alias("events"),
+        zero.alias("elapsed_ms"),
+        F.lit(0).alias("done"),
+        F.lit(0).alias("reheats"),
+        F.lit(None).cast("string").alias("reason"),
     )
-    history = None
+    durations, history, finished = _Durations(), [], []
     for generation in range(config.num_generations):
         last = generation == config.num_generations - 1
-        results = evaluate_candidates(genes, space, scorer, data)
+        if generation and rules.max_wall_clock_ms > 0:
+            spare = state.select("run_id", (F.lit(rules.max_wall_clock_ms) - F.col("elapsed_ms")).alias("bound"))
+            late = cut_lineage(durations.median_above(spare))
+            finished.append(state.join(late, "run_id", "left_semi").withColumn("reason", F.lit("max_wall_clock_reached")))
+            state = cut_lineage(state.join(late, "run_id", "left_anti"))
+            population, genes = population.join(late, "run_id", "left_anti"), genes.join(late, "run_id", "left_anti")
+        if generation and state.isEmpty():
+            break
+        began = time.monotonic()
+        results = cut_lineage(evaluate_candidates(genes, space, scorer, data))
+        spent = int((time.monotonic() - began) * 1000)
         population = cut_lineage(ev.assign_fitness(population, results))
         stats = ev.population_stats(population)
-        state = cut_lineage(_reheat_state(state, stats, config, last))
-        metrics = stats.join(state, "run_id").select(
+        if rules.telemetry is None:
+            clock = state.select("run_id", F.lit(spent).cast("long").alias("wall_clock_ms"), F.lit(None).cast("long").alias("active_workers"))
+        else:
+            clock = rules.telemetry(results, generation)
+        seen = clock.select("run_id", F.greatest(F.col("wall_clock_ms").cast("long"), zero).alias("wall_clock_ms"), F.col("active_workers").cast("long").alias("active_workers"))
+        advanced = _reheat_state(state, stats, config, last).join(state.select("run_id", "elapsed_ms", "done", "reheats", "reason"), "run_id")
+        short = (F.lit(rules.expected_workers) > 0) & (F.col("active_workers") < rules.expected_workers)
+        advanced = (
+            advanced.join(seen, "run_id", "left")
+            .withColumn("wall_clock_ms", F.coalesce("wall_clock_ms", zero))
+            .withColumn("elapsed_ms", F.col("elapsed_ms") + F.col("wall_clock_ms"))
+            .withColumn("done", F.col("done") + 1)
+            .withColumn("reason", F.when(short, "insufficient_workers"))
+        )
+        advanced = cut_lineage(advanced)
+        metrics = stats.join(advanced, "run_id").select(
             "run_id",
             "generation",
             "size",
@@ -190,9 +283,19 @@ def run_search(
             F.col("peak").alias("best_so_far"),
             (F.col("remaining") > 0).alias("reheated"),
             F.col("events").alias("plateau_events"),
+            "wall_clock_ms",
         )
-        metrics = cut_lineage(metrics)
-        history = metrics if history is None else history.unionByName(metrics)
+        history.append(cut_lineage(metrics))
+        if rules.max_wall_clock_ms > 0:
+            durations.add(advanced.select("run_id", "wall_clock_ms"))
+        advanced = advanced.drop("wall_clock_ms", "active_workers")
+        if rules.expected_workers > 0:
+            gone = advanced.filter(F.col("reason").isNotNull())
+            finished.append(gone)
+            advanced = advanced.filter(F.col("reason").isNull())
+            left = gone.select("run_id")
+            population, genes = population.join(left, "run_id", "left_anti"), genes.join(left, "run_id", "left_anti")
+        state = advanced
         if last:
             break
         hot = F.col("remaining") > 0
@@ -202,10 +305,35 @@ def run_search(
             F.when(hot, F.lit(config.plateau_immigrant_rate)).alias("immigrant_rate_override"),
             F.when(hot, F.lit(config.plateau_mutation_floor)).alias("mutation_rate_floor_override"),
         )
-        state = state.withColumn("remaining", F.greatest(F.col("remaining") - 1, F.lit(0)))
+        state = state.withColumn("reheats", F.col("reheats") + hot.cast("int")).withColumn("remaining", F.greatest(F.col("remaining") - 1, F.lit(0)))
         next_population, next_genes = evolve(population, genes, space, config, overrides, steps)
         population, genes = cut_lineage(next_population), next_genes
-    return history
+    ends = table_union([*finished, state.withColumn("reason", F.lit("completed"))])
+    outcomes = ends.select(
+        "run_id",
+        F.lit(config.num_generations).alias("generations_planned"),
+        F.col("done").alias("generations_completed"),
+        F.lit(config.population_size * config.num_generations).cast("long").alias("jobs_planned"),
+        (F.col("done") * F.lit(config.population_size)).cast("long").alias("jobs_submitted"),
+        F.col("reason").alias("stop_reason"),
+        (F.col("reason") != "completed").alias("stopped_early"),
+        F.col("events").alias("plateau_events"),
+        F.col("reheats").alias("reheat_generations_applied"),
+        F.col("stale").alias("stale_generations_final"),
+    )
+    return SearchResult(table_union(history), outcomes)
+
+
+def run_search(
+    runs: DataFrame,
+    space: Space,
+    config: ev.EvolutionConfig,
+    scorer,
+    data: DataFrame | None = None,
+    steps: Operators | None = None,
+) -> DataFrame:
+    """Generational search of every run to its last generation; one metrics row per (run, generation)."""
+    return guarded_search(runs, space, config, scorer, data, steps).history
 
 
 def random_search(runs: DataFrame, space: Space, seed: int, budget: int, scorer, data: DataFrame | None = None) -> DataFrame:
