@@ -99,10 +99,17 @@ def brute_terms(texts):
     for n, (_, spans) in enumerate(rows):
         for kind, value, place in spans:
             entities.setdefault((kind, value), {}).setdefault(n, set()).add(place)
-    for docs in entities.values():
-        for word in set().union(*(inside[n] for n in docs)):
-            both = [n for n in docs if word in inside[n]]
-            if len(both) >= 2 and len(set().union(*(docs[n] for n in both))) > 1:
+    entities = {e: docs for e, docs in entities.items() if len(docs) >= 2 and len(set().union(*docs.values())) > 1}
+    most = {e: len(docs) * (len(texts) / len(docs)) ** 0.2 + 1e-6 for e, docs in entities.items()}
+    bound = {n: max((most[e] for e, docs in entities.items() if n in docs), default=0) for n in range(len(texts))}
+    held = {e: {w for n in docs for w in inside[n] if 2 <= counts[w] <= bound[n]} for e, docs in entities.items()}
+    tested = sum(map(len, held.values()))
+    for e, docs in entities.items():
+        for word in held[e]:
+            both = [n for n in docs if word in inside[n] and counts[word] <= bound[n]]
+            ways = 0 if counts[word] == len(both) else math.log(counts[word] / len(both)) + 1
+            accidents = math.log(tested) + len(both) * (ways + math.log(len(docs) / len(texts)))
+            if len(both) >= 2 and len(set().union(*(docs[n] for n in both))) > 1 and accidents <= math.log(0.01):
                 share = math.log(len(texts) * len(both) / (counts[word] * len(docs))) / math.log(len(texts) / len(docs))
                 if share >= disclosure.GENERALISE:
                     shares[word] = max(share, shares.get(word, 0))

@@ -6,7 +6,8 @@ documents, pointwise mutual information log(N * n(t, e) / (n(t) * n(e))) as a sh
 log(N / n(e)) that the entity itself carries. A share of 1 means that whoever reads the term can name the
 entity. A term whose share of some entity reaches ``GENERALISE`` is generalised, from ``REMOVE`` on it is removed, wherever it stands in any
 document. All counts are over whole documents; a pair counts as evidence only if it occurs in ``SUPPORT`` documents and the
-entity has different neighbourhoods in them, so that copies of one passage prove nothing.
+entity has different neighbourhoods in them, so that copies of one passage prove nothing, and only if less than ``ACCIDENTS`` such pairs are to be
+expected among all pairs that were looked at, so that rare words do not count for meeting a common entity.
 
 A share of ``GENERALISE`` bounds n(t) by n(e) and N. Words above the bound of every entity of their document are left out before they meet the entities, so
 common words cost one count each. Hot entities are salted where they meet their documents. Which documents hold a disclosing term is found with
@@ -22,6 +23,8 @@ gives no rows; other columns are not read, and ``sanitised`` keeps them, whateve
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -30,7 +33,7 @@ from tunelake.llm.common import bit_filter, free_names
 from tunelake.session import cut_lineage
 
 KINDS = ("email", "ip", "card", "phone")
-GENERALISE, REMOVE, SUPPORT = 0.8, 0.95, 2
+GENERALISE, REMOVE, SUPPORT, ACCIDENTS = 0.8, 0.95, 2, 0.01
 #: Characters on both sides of an entity that make its neighbourhood.
 REACH = 64
 #: Salts of an entity where it meets its documents, and slots (a power of two, a bit each) of the table of disclosing terms: 128 KB at any size.
@@ -46,8 +49,6 @@ PATTERNS = {
 }
 _NEEDS = {"email": "@", "ip": "[0-9]\\.[0-9]", "card": "[0-9]", "phone": "\\+[0-9]"}
 _LEAST_LETTERS = 3
-#: Addresses are matched before words, so that no word is found inside one; of the kinds only addresses hold letters.
-_TERM = rf"(?:{PATTERNS['email']})|\p{{L}}{{{_LEAST_LETTERS},}}+"
 _STEP = 256
 
 
@@ -60,7 +61,7 @@ def _sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0), lambda total, value: total + value)
 
 
-def places(text: Column, pattern: str) -> Column:
+def places(text: Column, pattern: str | Column) -> Column:
     """Array of (start, end, value) of all matches: code points, end exclusive.
 
     Starts are running sums over gaps and matches, taken by blocks and blocks of blocks so that they stay cheap for many matches.
@@ -87,7 +88,8 @@ def places(text: Column, pattern: str) -> Column:
         lengths = F.transform(found["hits"], lambda hit, n: F.length(hit) + F.length(F.get(found["gaps"], n)))
         return _let(lengths, lambda values: placed(found, values))
 
-    parts = F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"))
+    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
+    parts = F.struct(F.split(text, pattern, F.lit(-1)).alias("gaps"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("hits"))
     return _let(parts, measured)
 
 
@@ -142,9 +144,14 @@ def _rows(frame: DataFrame, id_column: str, text_column: str) -> DataFrame:
     return frame.select(F.col(id_column).cast("long").alias("doc_id"), text.alias("text"))
 
 
+def _level(text: Column) -> Column:
+    """The text with the one letter replaced that is longer in lower case, so that places stay."""
+    return F.replace(text, F.lit("\u0130"), F.lit("I"))
+
+
 def _words(text: Column) -> Column:
     """Different terms of a text."""
-    return F.filter(F.array_distinct(F.split(F.lower(text), r"[^\p{L}]+")), lambda word: F.length(word) >= _LEAST_LETTERS)
+    return F.filter(F.array_distinct(F.split(F.lower(_level(text)), r"[^\p{L}]+")), lambda word: F.length(word) >= _LEAST_LETTERS)
 
 
 def _found(rows: DataFrame) -> DataFrame:
@@ -190,11 +197,16 @@ def disclosing(rows: DataFrame, found: DataFrame) -> DataFrame:
     rare = terms.join(counts, "term").filter(F.col("of_term") <= F.col("most")).select("doc", "term", "of_term")
     met = rare.join(by_doc.select("doc", "entities"), "doc").select("term", "of_term", F.explode("entities").alias("e"))
     pairs = met.groupBy("e.entity", "term", "of_term").agg(F.count("*").alias("both"), F.min("e.low").alias("low"), F.max("e.high").alias("high"))
+    pairs = cut_lineage(pairs.join(entities, "entity"))
+    tested = F.lit(max(1, pairs.count()))
     pairs = pairs.filter((F.col("both") >= SUPPORT) & (F.col("low") != F.col("high")))
+    # The chance that so many of a term's documents hold the entity by accident, at most: the ways to choose them times the entity's share of all documents.
+    ways = F.when(F.col("of_term") == F.col("both"), 0.0).otherwise(F.log(F.col("of_term") / F.col("both")) + 1)
+    pairs = pairs.filter(F.log(tested) + F.col("both") * (ways + F.log(F.col("of_entity") / total)) <= math.log(ACCIDENTS))
     information = F.log(total / F.col("of_entity"))
     mutual = F.log(total * F.col("both") / (F.col("of_term") * F.col("of_entity")))
     share = F.when(information > 0, mutual / information).otherwise(F.lit(0.0))
-    return cut_lineage(pairs.join(entities, "entity").select("entity", "term", share.alias("share")).filter(F.col("share") >= GENERALISE))
+    return cut_lineage(pairs.select("entity", "term", share.alias("share")).filter(F.col("share") >= GENERALISE))
 
 
 def _places_of(rows: DataFrame, terms: DataFrame) -> DataFrame:
@@ -212,9 +224,11 @@ def _places_of(rows: DataFrame, terms: DataFrame) -> DataFrame:
         return _let(F.shiftrightunsigned(F.xxhash64(word), 64 - SLOT_BITS).cast("int"), taken)
 
     some = rows.select("doc_id", F.xxhash64("text").alias("mark"), "text", F.filter(_words(F.col("text")), known).alias("some")).filter(F.size("some") > 0)
-    # An address is no word: it holds a sign that is no letter.
-    words = F.transform(places(F.col("text"), _TERM), lambda p: F.struct(F.lower(p["value"]).alias("term"), p["start"].alias("start"), p["end"].alias("end")))
-    hits = some.select("doc_id", "mark", F.explode(F.filter(words, lambda w: F.array_contains(F.col("some"), w["term"]))).alias("w"))
+    # Only the words in question are looked for; addresses come first, so that no word is found inside one.
+    words = F.concat(F.lit(r"(?<!\p{L})(?iu:"), F.array_join("some", "|"), F.lit(r")(?!\p{L})"))
+    pattern = F.when(F.contains("text", F.lit("@")), F.concat(F.lit(f"(?:{PATTERNS['email']})|"), words)).otherwise(words)
+    found = F.transform(places(_level(F.col("text")), pattern), lambda p: F.struct(F.lower(p["value"]).alias("term"), p["start"].alias("start"), p["end"].alias("end")))
+    hits = some.select("doc_id", "mark", F.explode(found).alias("w"))
     met = hits.select("doc_id", "mark", "w.*").join(terms, "term").groupBy("doc_id", "mark", "start", "end").agg(F.max("share").alias("share"))
     return met.groupBy("doc_id", "mark").agg(F.array_sort(F.collect_list(F.struct("start", "end", "share"))).alias("terms"))
 
