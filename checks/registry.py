@@ -1,4 +1,4 @@
 """Imports every family so that its queries are registered."""
 
-from checks import files, ledger, runs, search, streams, telemetry  # noqa: F401
+from checks import files, ledger, protocol, runs, search, streams, telemetry  # noqa: F401
 from checks.base import CHECKS  # noqa: F401

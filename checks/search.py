@@ -814,16 +814,6 @@ def _(s):
     return ps.run_search(search_runs(s), RULE_SPACE, config, SCORER, s.view("eval_data_view"))
 
 
-@check("differential_evolution", "run_id:long generation:long avg_fitness:dbl best_so_far:dbl")
-def _(s):
-    return ps.differential_evolution(search_runs(s), RULE_SPACE, SEED, 8, 2, SCORER, s.view("eval_data_view"))
-
-
-@check("simulated_annealing", "run_id:long generation:long avg_fitness:dbl best_so_far:dbl")
-def _(s):
-    return ps.simulated_annealing(search_runs(s), RULE_SPACE, SEED, 4, SCORER, s.view("eval_data_view"))
-
-
 @check("parzen_search", "run_id:long generation:long avg_fitness:dbl best_so_far:dbl")
 def _(s):
     return ps.parzen_search(search_runs(s), RULE_SPACE, SEED, 8, 2, SCORER, s.view("eval_data_view"))
