@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 
 from helpers import table
 from tunelake.llm import toxicity
@@ -47,7 +48,28 @@ def test_label_model_sees_dependence_and_errors():
 
 def test_copies_count_once():
     text = " ".join(f"word{n}" for n in range(50))
-    assert toxicity.first_of_copies([text, text, text + " more", "other words only here now"]) == [0, 3]
+    found = [toxicity.evidence(t) for t in (text, text, text + " more", "other words only here now")]
+    assert toxicity.first_of_copies(found) == [0, 3]
+
+
+def test_words_after_a_long_clean_start(spark):
+    draw = random.Random(6)
+    names = [f"{a}{b}{c}" for a in "bcdfgh" for b in "aeiou" for c in "klmnp"]
+    clean = [" ".join(draw.choice(names) for _ in range(20_000)) for _ in range(40)]
+    assert len(clean[0]) > 70_000
+    table_of = spark.createDataFrame([(n, text + (" zargish" if n % 2 else " fine")) for n, text in enumerate(clean)], "doc_id long, text string")
+    marks = spark.createDataFrame([(n, float(n % 2)) for n in range(40)], "doc_id long, toxic double")
+    assert any("zarg" in feature for feature in toxicity.fit_table(table_of, marks).weights)
+
+
+@pytest.mark.parametrize("texts", [120, 3000])
+def test_one_rule_at_every_size(texts):
+    draw = random.Random(texts)
+    names = [f"{a}{b}{c}" for a in "bcdfgh" for b in "aeiou" for c in "klmnp"]
+    sets = [{draw.choice(names) for _ in range(12)} | ({"zargish"} if n % 10 == 0 else set()) for n in range(texts)]
+    weights = np.array([float(n % 10 == 0) for n in range(texts)])
+    assert toxicity.mined(sets, weights, 100)[0] in ("=zargish", "^zar", "^zarg", "^zargi", "^zargis") and len(toxicity.mined(sets, weights, 100)) == 5
+    assert toxicity.mined(sets, np.array([float(n % 7 == 3) for n in range(texts)]), 100) == []
 
 
 def test_table(spark):

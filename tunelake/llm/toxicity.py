@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 import re
+import sys
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -32,12 +33,12 @@ from tunelake.llm.common import documents, held_out, thinned
 
 #: About so many labelled texts are read for fitting, whatever the input is.
 SAMPLE_TEXTS = 6000
-#: Characters of a sampled text from which voters and features are learned; scores use whole texts.
-SAMPLE_CHARS = 60_000
 FOLDS, HELD_OUT_FOLD = 4, 2
 THRESHOLD = 0.3
 #: Most voters found by labels, and most features of the classifier.
 MINED_VOTERS, FEATURES = 200, 4096
+#: Share of accidental features among those that are learned.
+FALSE_SHARE = 0.001
 _PREFIXES = (3, 4, 5, 6)
 
 # Word lists of the lexicon voters.
@@ -91,8 +92,12 @@ def _gain(hits: float, others: float, positives: float, negatives: float) -> flo
     return 2 * value
 
 
-def mined(word_sets: list[set[str]], weights: np.ndarray, least: float, most: int) -> list[str]:
-    """Features that go with weight: at least 3 toxic texts, likelihood ratio at least ``least``, the best ``most``."""
+def mined(word_sets: list[set[str]], weights: np.ndarray, most: int, false_share: float = FALSE_SHARE) -> list[str]:
+    """Features that go with weight in at least 3 toxic texts, the best ``most``.
+
+    As many are taken as keep the share of accidental ones, which the number of features looked at and the
+    likelihood ratio of the last one give: the same rule for any number of texts.
+    """
     positive = weights > 0.5
     hits: Counter[str] = Counter()
     for words, toxic in zip(word_sets, positive):
@@ -107,7 +112,10 @@ def mined(word_sets: list[set[str]], weights: np.ndarray, least: float, most: in
     if not up or not down:
         return []
     scored = [(_gain(n, others[feature], up, down), feature) for feature, n in hits.items()]
-    return [feature for gain, feature in sorted(scored, key=lambda s: (-s[0], s[1])) if gain >= least][:most]
+    ordered = sorted(scored, key=lambda s: (-s[0], s[1]))
+    chances = [0.5 * math.erfc(math.sqrt(gain / 2)) for gain, _ in ordered]
+    taken = max((n for n, chance in enumerate(chances, 1) if chance * len(ordered) <= false_share * n), default=0)
+    return [feature for _, feature in ordered[: min(taken, most)]]
 
 
 def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 40) -> dict[str, np.ndarray | float]:
@@ -162,17 +170,30 @@ def linear_classifier(rows: list[np.ndarray], size: int, target: np.ndarray, rou
     return weights, float(bias)
 
 
-def first_of_copies(texts: list[str]) -> list[int]:
+@dataclass(frozen=True)
+class Evidence:
+    """What is learned from of a whole text: its four smallest shingle hashes, the lists and patterns that fire, and its different words."""
+
+    smallest: tuple[int, ...]
+    votes: tuple[str, ...]
+    words: frozenset[str]
+
+
+def evidence(text: str | None) -> Evidence:
+    lowered, words = words_of(text)
+    parts = lowered.split()
+    shingles = {zlib.crc32(" ".join(parts[n : n + 5]).encode()) for n in range(max(1, len(parts) - 4))}
+    return Evidence(tuple(sorted(shingles)[:4]), tuple(curated_votes(lowered, words)), frozenset(words))
+
+
+def first_of_copies(found: list[Evidence]) -> list[int]:
     """Positions of texts that share less than half of their four smallest shingle hashes with an earlier one."""
     seen: set[int] = set()
     kept = []
-    for position, text in enumerate(texts):
-        words = text.lower().split()
-        shingles = {zlib.crc32(" ".join(words[n : n + 5]).encode()) for n in range(max(1, len(words) - 4))}
-        smallest = sorted(shingles)[:4]
-        if sum(value in seen for value in smallest) * 2 < len(smallest):
+    for position, one in enumerate(found):
+        if sum(value in seen for value in one.smallest) * 2 < len(one.smallest):
             kept.append(position)
-        seen.update(smallest)
+        seen.update(one.smallest)
     return kept
 
 
@@ -213,29 +234,31 @@ def default_model() -> Model:
 
 def fit(texts: list[str], labels: list[float]) -> Model:
     """Voters, label model and classifier from labelled texts."""
-    kept = first_of_copies(texts)
-    texts, marks = [texts[n] for n in kept], np.array([labels[n] for n in kept], dtype=float)
-    if not texts:
+    return fit_evidence([evidence(text) for text in texts], labels)
+
+
+def fit_evidence(looked: list[Evidence], labels: list[float]) -> Model:
+    """Voters, label model and classifier from what was found in labelled texts."""
+    kept = first_of_copies(looked)
+    looked, marks = [looked[n] for n in kept], np.array([labels[n] for n in kept], dtype=float)
+    if not looked:
         return default_model()
-    looked = [words_of(text) for text in texts]
-    word_sets = [words for _, words in looked]
+    word_sets = [one.words for one in looked]
     curated = [f"list:{n}" for n in LEXICONS] + [f"pattern:{n}" for n in PATTERNS]
-    # The statistic a chance feature can reach grows with the number of features looked at.
-    least = 14.0 if len(texts) < 1000 else 20.0 if len(texts) < 4000 else 25.0
-    found = mined(word_sets, marks, least, MINED_VOTERS)
+    found = mined(word_sets, marks, MINED_VOTERS)
     names = {name: n for n, name in enumerate(curated + found)}
-    votes = np.zeros((len(texts), len(names)))
-    for row, (lowered, words) in enumerate(looked):
-        fired = curated_votes(lowered, words) + [f for word in words for f in word_features(word)]
+    votes = np.zeros((len(looked), len(names)))
+    for row, one in enumerate(looked):
+        fired = [*one.votes, *(f for word in one.words for f in word_features(word))]
         votes[row, [names[f] for f in fired if f in names]] = 1
     model = label_model(votes, marks)
     posterior = model["posterior"]
-    features = curated + mined(word_sets, posterior, least, FEATURES)
+    features = curated + mined(word_sets, posterior, FEATURES)
     places = {feature: n for n, feature in enumerate(features)}
     rows = []
-    for lowered, words in looked:
-        present = {places[f] for word in words for f in word_features(word) if f in places}
-        present |= {places[f] for f in curated_votes(lowered, words)}
+    for one in looked:
+        present = {places[f] for word in one.words for f in word_features(word) if f in places}
+        present |= {places[f] for f in one.votes}
         rows.append(np.array(sorted(present), dtype=np.int64))
     weights, bias = linear_classifier(rows, len(features), posterior)
     known = {feature: float(weights[n]) for feature, n in places.items() if weights[n]}
@@ -254,9 +277,29 @@ def fit_table(docs: DataFrame, labels: DataFrame, sample_texts: int = SAMPLE_TEX
     rows = documents(docs, id_column, text_column).filter(F.col("text").isNotNull())
     # At most twice ``sample_texts`` ids.
     rows = rows.join(F.broadcast(chosen) if total > sample_texts else chosen, F.col("doc_id") == F.col("marked"))
-    table = rows.select("doc_id", "toxic", F.substring("text", 1, SAMPLE_CHARS).alias("text")).limit(4 * sample_texts).toPandas()
-    table = table.sort_values(["doc_id", "text"], kind="stable")
-    return fit(table["text"].tolist(), table["toxic"].tolist())
+    # Whole texts are looked at in the tasks; what is learned from leaves them.
+    table = rows.select("doc_id", "toxic", "text").mapInPandas(_looked, "doc_id long, toxic double, smallest string, votes string, words string")
+    table = table.limit(4 * sample_texts).toPandas().sort_values(["doc_id", "smallest", "words"], kind="stable")
+    looked = [
+        Evidence(tuple(map(int, smallest.split())), tuple(votes.split()), frozenset(map(sys.intern, words.split())))
+        for smallest, votes, words in zip(table["smallest"], table["votes"], table["words"])
+    ]
+    return fit_evidence(looked, table["toxic"].tolist())
+
+
+def _looked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The evidence of every text, as words in strings."""
+    for batch in batches:
+        found = [evidence(text) for text in batch["text"]]
+        yield pd.DataFrame(
+            {
+                "doc_id": batch["doc_id"],
+                "toxic": batch["toxic"],
+                "smallest": [" ".join(map(str, one.smallest)) for one in found],
+                "votes": [" ".join(one.votes) for one in found],
+                "words": [" ".join(sorted(one.words)) for one in found],
+            }
+        )
 
 
 def toxicity(model: Model, text: Column) -> Column:
