@@ -89,3 +89,11 @@ def test_no_or_one_label(spark):
     assert {(r["lang_pred"], r["score"]) for r in language.identify(docs, language.fit(docs)).collect()} == {("en", 1.0)}
     empty = table(spark, [])
     assert language.identify(empty, language.fit(empty)).count() == 0
+
+
+def test_windows_from_the_whole_text(spark):
+    long = "header " * 2_000 + "body " * 10_000
+    rows = spark.createDataFrame([(n, long) for n in range(5)] + [(9, "short"), (10, None)], "doc_id long, text string")
+    found = {r["doc_id"]: r["w"] for r in rows.select("doc_id", language.drawn_windows(rows.text, rows.doc_id).alias("w")).collect()}
+    assert found[9] == "short" and found[10] is None
+    assert all(len(found[n]) == language.SAMPLE_CHARS + 7 and "body" in found[n] for n in range(5)) and len({found[n] for n in range(5)}) == 5

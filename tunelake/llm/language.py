@@ -26,7 +26,7 @@ from tunelake.llm.common import documents, held_out, thinned
 WINDOW = 512
 #: At most about this many labelled texts are read for training, whatever the input is.
 SAMPLE_TEXTS = 4000
-#: A training text gives windows from anywhere in its first so many characters.
+#: A longer training text gives so many characters, in windows drawn from all of it.
 SAMPLE_CHARS = 4096
 UNDETERMINED = "und"
 #: The fold that is never learned from.
@@ -198,6 +198,14 @@ def predictions(network: Network, texts: list[str], batch: int = 64, tables=None
     return best, sums[np.arange(len(texts)), best] / sums.sum(axis=1)
 
 
+def drawn_windows(text: Column, key: Column) -> Column:
+    """Texts up to ``SAMPLE_CHARS`` whole, of longer ones so many characters in windows drawn from the whole text by the hash of a key."""
+    count = SAMPLE_CHARS // WINDOW
+    low = lambda n: F.pmod(F.xxhash64(key, n), F.length(text) - WINDOW).cast("int") + 1
+    parts = F.transform(F.sequence(F.lit(1), F.lit(count)), lambda n: F.substring(text, low(n), F.lit(WINDOW)))
+    return F.when(F.length(text) > SAMPLE_CHARS, F.array_join(parts, "\n")).otherwise(text)
+
+
 def fit(frame: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "lang", sample_texts: int = SAMPLE_TEXTS) -> Network | None:
     """Train on about ``sample_texts`` labelled rows outside the held-out fold."""
     rows = frame.select(
@@ -206,7 +214,7 @@ def fit(frame: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     rows = rows.filter(~held_out(F.col("doc_id"), FOLDS, HELD_OUT_FOLD))
     total = rows.count()
     sample = thinned(rows, F.col("doc_id"), total, sample_texts)
-    table = sample.select("doc_id", "label", F.substring("text", 1, SAMPLE_CHARS).alias("text")).toPandas()
+    table = sample.select("doc_id", "label", drawn_windows(F.col("text"), F.col("doc_id")).alias("text")).toPandas()
     table = table.sort_values(["doc_id", "text"], kind="stable")
     return train(table["text"].tolist(), table["label"].tolist())
 
