@@ -116,5 +116,16 @@ def test_sql_gives_the_same_rows(spark):
     path = "/root/testdata/sf0.001/documents.parquet"
     connection = duckdb.connect()
     connection.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}'")
+    for unit, text in (("sentence", lines.SENTENCES_SQL), ("passage", lines.REPEATS_SQL)):
+        theirs = sorted(connection.execute(text).fetchall(), key=repr)
+        assert rows_of(lines.repeats(spark.read.parquet(path), unit)) == theirs and theirs
+
+
+def test_passages_in_sql_and_in_spark(spark):
+    rows = [(1, "a b c. d e f! g h i? j\tk l.\tm n o.\n\np q  r. s t u. v w x"), (2, "Z. d e f! g h i? j k l. m n o. s t u. v w x"), (3, "短い文。もう一つの短い文です。次の文。"), (4, "前。短い文。もう一つの短い文です。次の文。"), (5, "averyverylongwordthatweighsalotbyitslengthaloneanditslettersgoonandonandonandon. x"), (6, "averyverylongwordthatweighsalotbyitslengthaloneanditslettersgoonandonandonandon. y"), (7, None), (8, "")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    connection = duckdb.connect()
+    documents = frame.toPandas()
+    connection.register("documents", documents)
     theirs = sorted(connection.execute(lines.REPEATS_SQL).fetchall(), key=repr)
-    assert rows_of(lines.repeats(spark.read.parquet(path))) == theirs and theirs
+    assert rows_of(lines.repeats(frame, "passage")) == theirs and {r[0] for r in theirs} == {2, 4, 6}

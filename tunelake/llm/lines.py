@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tunelake.llm.common import documents
+from tunelake.llm.common import documents, free_names
 from tunelake.session import cut_lineage
 
 #: Separators of units; a paragraph ends at an empty line. Passages are runs of what theirs cuts.
@@ -125,7 +125,8 @@ def without_repeats(frame: DataFrame, unit: str = "passage", min_words: int = MI
     spans = repeats(frame, unit, min_words, id_column, text_column).groupBy("doc_id").agg(
         F.collect_set(F.struct("start", "end")).alias("spans")
     )
-    spans = cut_lineage(spans.select(F.col("doc_id").alias("__id"), F.col("spans").alias("__spans")))
+    of, cuts = free_names(frame, "of", "cuts")
+    spans = cut_lineage(spans.select(F.col("doc_id").alias(of), F.col("spans").alias(cuts)))
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, removed: pd.Series) -> pd.Series:
@@ -140,14 +141,14 @@ def without_repeats(frame: DataFrame, unit: str = "passage", min_words: int = MI
             out.append(text)
         return pd.Series(out, dtype=object)
 
-    joined = frame.join(spans, F.col(id_column).cast("long") == F.col("__id"), "left")
-    changed = joined.withColumn(text_column, F.when(F.col("__spans").isNull(), F.col(text_column)).otherwise(cut(F.col(text_column), F.col("__spans"))))
+    joined = frame.join(spans, F.col(id_column).cast("long") == F.col(of), "left")
+    changed = joined.withColumn(text_column, F.when(F.col(cuts).isNull(), F.col(text_column)).otherwise(cut(F.col(text_column), F.col(cuts))))
     return changed.select(*frame.columns)
 
 
-#: The same rows in SQL. A space after a sentence becomes a line end, which moves no offset; offsets come
+#: The rows of single sentences in SQL. A space after a sentence becomes a line end, which moves no offset; offsets come
 #: from running lengths.
-REPEATS_SQL = r"""
+SENTENCES_SQL = r"""
 WITH cut AS (
   SELECT doc_id, string_split(regexp_replace(text, '([.!?]) ', '\1' || chr(10), 'g'), chr(10)) AS parts FROM documents WHERE text IS NOT NULL
 ), numbered AS (
@@ -170,3 +171,45 @@ WITH cut AS (
 SELECT doc_id, start, "end", digest, kept_doc_id, kept_start FROM ranked
 WHERE NOT (doc_id IS NOT DISTINCT FROM kept_doc_id AND start = kept_start)
 """
+
+
+#: The rows of passages in SQL. Blanks after sentences become line ends; a sign that ends a sentence without one gets a mark,
+#: which has no length of its own. A run has at most eight sentences, as each weighs a word at least.
+REPEATS_SQL = r"""
+WITH cut AS (
+  SELECT doc_id, string_split(regexp_replace(regexp_replace(text, '([.!?])[ \t]', '\1' || chr(10), 'g'), '([。！？])', '\1' || chr(1) || chr(10), 'g'), chr(10)) AS parts
+  FROM documents WHERE text IS NOT NULL
+), numbered AS (
+  SELECT doc_id, unnest(parts) AS raw, generate_subscripts(parts, 1) AS n FROM cut
+), measured AS (
+  SELECT doc_id, n, rtrim(raw, chr(1)) AS unit, CASE WHEN raw LIKE '%' || chr(1) THEN 0 ELSE 1 END AS gap FROM numbered
+), placed AS (
+  SELECT doc_id, unit, n,
+         CAST(coalesce(sum(length(unit) + gap) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
+  FROM measured
+), plain AS (
+  SELECT doc_id, n, start, start + length(unit) AS "end", trim(regexp_replace(lower(unit), '[ \t\n\x0b\f\r]+', ' ', 'g'), ' ') AS body FROM placed
+), weighed AS (
+  SELECT doc_id, start, "end", body, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS i,
+         greatest(length(body) - length(replace(body, ' ', '')) + 1,
+                  length(regexp_replace(body, '[^\x{0e00}-\x{0eff}\x{1000}-\x{109f}\x{1780}-\x{17ff}\x{3040}-\x{30ff}\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{f900}-\x{faff}\x{20000}-\x{2a6df}\x{2a700}-\x{3ffff}]', '', 'g')) // 2,
+                  length(body) // 8) AS weight
+  FROM plain WHERE body <> ''
+), summed AS (
+  SELECT *, sum(weight) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM weighed
+), runs AS (
+  SELECT a.doc_id, a.i AS first, b.i AS last, a.start, b."end" FROM summed a JOIN summed b ON b.doc_id = a.doc_id AND b.i BETWEEN a.i AND a.i + 7
+   WHERE b.upto - a.upto + a.weight >= 8
+), shortest AS (
+  SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY doc_id, first ORDER BY last) = 1
+  UNION SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY doc_id, last ORDER BY first DESC) = 1
+), hashed AS (
+  SELECT s.doc_id, s.start, s."end", substr(sha256(string_agg(w.body, ' ' ORDER BY w.i)), 1, 32) AS digest
+    FROM shortest s JOIN weighed w ON w.doc_id = s.doc_id AND w.i BETWEEN s.first AND s.last GROUP BY s.doc_id, s.first, s.last, s.start, s."end"
+), ranked AS (
+  SELECT *, first_value(doc_id) OVER w AS kept_doc_id, first_value(start) OVER w AS kept_start
+  FROM hashed WINDOW w AS (PARTITION BY digest ORDER BY doc_id NULLS LAST, start)
+)
+SELECT doc_id, start, "end", digest, kept_doc_id, kept_start FROM ranked
+WHERE NOT (doc_id IS NOT DISTINCT FROM kept_doc_id AND start = kept_start)
+"""

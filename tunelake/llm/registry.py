@@ -61,11 +61,13 @@ def vector_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def line_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.repeats(_table(spark, sf_dir, "documents"))
+    return lines.repeats(_table(spark, sf_dir, "documents"), "passage")
 
 
-def passage_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.repeats(_table(spark, sf_dir, "documents"), "passage")
+def without_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256")
+    return lines.without_repeats(docs).select("doc_id", F.length("text").cast("long").alias("chars_left"), digest)
 
 
 def virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,7 +100,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_personal_data": personal_data,
     "op7_vector_links": vector_links,
     "op8_line_repeats": line_repeats,
-    "op8_passage_repeats": passage_repeats,
+    "op8_passage_repeats": line_repeats,
+    "op8_texts_without_repeats": without_repeats,
     "op9_virtual_slots": virtual_slots,
     "op10_simhash_groups": simhash_groups,
     "op11_filter_interactions": filter_interactions,
@@ -108,6 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op8_line_repeats": lines.REPEATS_SQL,
+    "op8_passage_repeats": lines.REPEATS_SQL,
     "op11_filter_interactions": filter_audit.SQL,
     "op12_top_vectors": vector_search.SQL,
     "op13_phrase_collocations": phrases.SQL,
