@@ -175,7 +175,7 @@ def _(s):
     return e.evaluate_candidates(genes, PLANE_SPACE, scorer, s.table("embeddings"))
 
 
-LIMIT_MS, EXPECTED = 1_200_000, 5
+LIMIT_MS, EXPECTED = 1_500_000, 4
 
 
 @check(
