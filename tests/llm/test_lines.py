@@ -122,7 +122,7 @@ def test_sql_gives_the_same_rows(spark):
 
 
 def test_passages_in_sql_and_in_spark(spark):
-    rows = [(1, "a b c. d e f! g h i? j\tk l.\tm n o.\n\np q  r. s t u. v w x"), (2, "Z. d e f! g h i? j k l. m n o. s t u. v w x"), (3, "短い文。もう一つの短い文です。次の文。"), (4, "前。短い文。もう一つの短い文です。次の文。"), (5, "averyverylongwordthatweighsalotbyitslengthaloneanditslettersgoonandonandonandon. x"), (6, "averyverylongwordthatweighsalotbyitslengthaloneanditslettersgoonandonandonandon. y"), (7, None), (8, "")]
+    rows = [(1, "a b c. d e f! g h i? j\tk l.\tm n o.\n\np q  r. s t u. v w x"), (2, "Z. d e f! g h i? j k l. m n o. s t u. v w x"), (3, "短い文。もう一つの短い文です。次の文章もまた同じです。"), (4, "前。短い文。もう一つの短い文です。次の文章もまた同じです。"), (5, "averyverylongwordthatweighsalotbyitslengthaloneanditslettersgoonandonandonandon. x"), (6, "averyverylongwordthatweighsalotbyitslengthaloneanditslettersgoonandonandonandon. y"), (7, None), (8, "")]
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     connection = duckdb.connect()
     documents = frame.toPandas()
