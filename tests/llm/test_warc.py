@@ -33,6 +33,16 @@ def test_archive_against_brute_force(spark):
         assert rows_of(warc.archive_pages(pages(spark, ROWS), least)) == brute(ROWS, least)
 
 
+def test_header_names_inside_targets(spark, tmp_path):
+    ends = ["\x85", "\u2028", "\u2029", "\r", "\n", "\r\n", "\x0b", "\x0c", "\x1c", " "]
+    rows = [(n, f"http://a/{end}WARC-Payload-Digest: sha1:AAAA{end}WARC-Refers-To: <urn:page:77>{end}WARC-Type: revisit", f"<p>{n}</p>") for n, end in enumerate(ends)]
+    assert rows_of(warc.archive_pages(pages(spark, rows))) == brute(rows, 0)
+    warc.write_archive(pages(spark, rows), str(tmp_path / "w"), date="2020-01-02T03:04:05Z")
+    for row in warc.read_archive(spark, str(tmp_path / "w")).collect():
+        lines = bytes(row["header"]).decode().splitlines()
+        assert [line.split(":")[0] for line in lines].count("WARC-Payload-Digest") == 1 and "WARC-Date: 2020-01-02T03:04:05Z" in lines
+
+
 def test_repeated_rows_keep_their_number(spark):
     rows = [(1, "a", "same")] * 3 + [(0, "b", "same")]
     assert rows_of(warc.archive_pages(pages(spark, rows))) == brute(rows, 0)

@@ -17,6 +17,7 @@ are not read.
 from __future__ import annotations
 
 import uuid
+from datetime import UTC, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +28,8 @@ from tunelake.session import cut_lineage, scratch_folder
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _END = "\r\n"
+#: Signs that some reader takes for the end of a line.
+_LINE_ENDS = "\n\x0b\x0c\r\x1c\x1d\x1e\x85\u2028\u2029"
 
 
 def base32_sha1(payload: Column) -> Column:
@@ -51,16 +54,19 @@ def _digested(pages: DataFrame, id_column: str, target_column: str, payload_colu
     return rows.withColumn("strong", F.sha2("payload", 256))
 
 
-def _header(kind: Column) -> Column:
+def _header(kind: Column, date: str) -> Column:
     """Header block of a record, up to and with the empty line."""
     text = lambda name: F.coalesce(F.col(name).cast("string"), F.lit(""))
-    # A target cannot hold line ends; they are percent-encoded.
-    target = F.replace(F.replace(F.col("target"), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
+    # A target cannot hold what ends a line anywhere; it is percent-encoded.
+    target = F.col("target")
+    for sign in _LINE_ENDS:
+        target = F.replace(target, F.lit(sign), F.lit("".join(f"%{byte:02X}" for byte in sign.encode())))
     revisit = kind == "revisit"
     lines = [
         F.lit("WARC/1.1"),
         F.concat(F.lit("WARC-Type: "), kind),
         F.concat(F.lit("WARC-Record-ID: <urn:page:"), text("page_id"), F.lit(">")),
+        F.concat(F.lit("WARC-Date: "), F.lit(date)),
         F.concat(F.lit("WARC-Target-URI: "), target),
         F.concat(F.lit("WARC-Payload-Digest: sha1:"), F.col("weak")),
         F.when(revisit, F.concat(F.lit("WARC-Refers-To: <urn:page:"), text("refers_to"), F.lit(">"))),
@@ -80,8 +86,13 @@ def write_archive(
     id_column: str = "page_id",
     target_column: str = "url",
     payload_column: str = "html",
+    date: str | None = None,
 ) -> None:
-    """Write ``headers`` and ``payloads`` below ``folder``; no payload is moved before it is known to be new."""
+    """Write ``headers`` and ``payloads`` below ``folder``; no payload is moved before it is known to be new.
+
+    ``date`` is the time of capture of all records (W3C format, UTC); without one it is the time of writing.
+    """
+    date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     rows = _digested(pages, id_column, target_column, payload_column)
     facts = cut_lineage(
         rows.select(
@@ -112,7 +123,7 @@ def write_archive(
     response = own | (F.col("bytes") < min_bytes)
     kind = F.when(response, F.lit("response")).otherwise(F.lit("revisit"))
     records = records.withColumn("refers_to", F.when(~response, F.col("holder_id")))
-    records.select("page_id", F.col("strong"), _header(kind).alias("header")).write.parquet(f"{folder}/headers")
+    records.select("page_id", F.col("strong"), _header(kind, date).alias("header")).write.parquet(f"{folder}/headers")
     # Equal digests are equal payloads, so any record brings the one copy; tasks drop what they hold twice.
     once = rows.select("strong", "payload").dropDuplicates(["strong"])
     once.write.option("compression", "zstd").parquet(f"{folder}/payloads")
@@ -137,7 +148,8 @@ def record_bytes(archive: DataFrame) -> DataFrame:
 
 
 def _field(name: str) -> Column:
-    found = F.regexp_extract(F.decode(F.col("header"), "UTF-8"), rf"(?m)^{name}: ([^\r\n]*)", 1)
+    """A header field: a line starts after the format's own line end and nowhere else."""
+    found = F.regexp_extract(F.decode(F.col("header"), "UTF-8"), rf"\r\n{name}: ([^\r\n]*)", 1)
     return F.when(found != "", found)
 
 
