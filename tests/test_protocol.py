@@ -8,6 +8,7 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from test_search import SPACE, rows, runs
+from tunelake.operators import compare
 from tunelake.operators import evaluation as e
 from tunelake.operators import space as sp
 from tunelake.plans import protocol as pr
@@ -109,3 +110,27 @@ def test_no_runs(spark):
     none = runs(spark).filter("run_id < 0")
     assert pr.progress(pr.run_strategy(pr.SimulatedAnnealing(1, 3), none, SPACE, SCORER)).count() == 0
     assert pr.run_strategy(pr.SampledSearch(HashSampler, 2), none, SPACE, SCORER).count() == 0
+
+
+def test_stored_matrix_computes_nothing_twice(spark, tmp_path):
+    path = str(tmp_path / "matrix")
+    strategies = [pr.RandomSearch(1, 5), pr.SimulatedAnnealing(2, 4)]
+    first = rows(ps.stored_matrix(spark, path, SPACE, [1, 2], 5, SCORER, strategies=strategies))
+    broken = e.ExpressionScorer(lambda: F.raise_error(F.lit("scored again")).cast("double"))
+    assert rows(ps.stored_matrix(spark, path, SPACE, [1, 2], 5, broken, strategies=strategies)) == first
+    # A further seed and changed settings are new work; the others are not.
+    more = ps.stored_matrix(spark, path, SPACE, [1, 2, 3], 5, SCORER, strategies=strategies)
+    assert {(r.run_name, r.seed): r["count"] for r in more.groupBy("run_name", "seed").count().collect()} == {
+        (name, seed): n for name, n in (("Random Search", 5), ("Simulated Annealing", 4)) for seed in (1, 2, 3)
+    }
+    assert set(first) < set(rows(more))
+    with pytest.raises(Exception, match="scored again"):
+        ps.stored_matrix(spark, path, SPACE, [1], 5, broken, strategies=[pr.RandomSearch(9, 5)])
+    # What an interrupted call left is replaced.
+    unit = more.filter("run_name = 'Random Search'").select("unit").first().unit
+    left = more.filter(f"unit = '{unit}' and seed = 1").limit(2).withColumn("seed", F.lit(8))
+    left.write.mode("append").partitionBy("unit", "seed").parquet(f"{path}/runs")
+    again = ps.stored_matrix(spark, path, SPACE, [8], 5, SCORER, strategies=strategies[:1])
+    assert sorted(r.generation for r in again.collect()) == [0, 1, 2, 3, 4]
+    summary = compare.seed_summary(more).collect()
+    assert len(summary) == 6 and all(r.evals_completed in (4, 5) and r.wall_clock_s > 0 for r in summary)

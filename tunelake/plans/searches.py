@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -427,3 +430,67 @@ def benchmark_matrix(
             history.select(F.lit(name).alias("run_name"), F.col("run_id").alias("seed"), "generation", "avg_fitness", "best_so_far", "wall_clock_ms")
         )
     return table_union(parts)
+
+
+def _unit(strategy: Strategy, budget: int) -> str:
+    """Name of a strategy with its settings and budget: the same work has the same name."""
+    settings = sorted((k, repr(v)) for k, v in vars(strategy).items() if not k.startswith("_"))
+    text = json.dumps([type(strategy).__qualname__, settings, budget])
+    return f"{strategy.name}-{hashlib.sha256(text.encode()).hexdigest()[:12]}"
+
+
+def _committed(spark: SparkSession, path: str) -> set[tuple[str, int]]:
+    """Units whose rows are complete: one row per strategy and seed that was ever asked for."""
+    try:
+        rows = spark.read.schema("unit string, seed long, evaluations long").parquet(f"{path}/manifest")
+        return {(r["unit"], r["seed"]) for r in rows.select("unit", "seed").distinct().collect()}
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return set()
+
+
+def stored_matrix(
+    spark: SparkSession,
+    path: str,
+    space: Space,
+    seeds: list[int],
+    budget: int,
+    scorer,
+    data: DataFrame | None = None,
+    strategies: list[Strategy] | None = None,
+) -> DataFrame:
+    """The benchmark matrix, kept below ``path``: every (strategy, seed) is computed once and then read.
+
+    The missing seeds of a strategy run together. Their rows replace whatever an interrupted call left of them, and only then the
+    manifest names them, so a unit that it names is complete. Rows have what ``compare.seed_summary`` reads.
+    """
+    chosen = strategies or default_strategies(budget)
+    units = {_unit(strategy, budget): strategy for strategy in chosen}
+    known = _committed(spark, path)
+    for unit, strategy in units.items():
+        missing = [seed for seed in seeds if (unit, seed) not in known]
+        if not missing:
+            continue
+        runs = spark.createDataFrame([(seed,) for seed in missing], "run_id long")
+        history = progress(run_strategy(strategy, runs, space, scorer, data, budget))
+        name = STRATEGY_NAMES.get(strategy.name, strategy.name)
+        rows = history.select(
+            F.lit(unit).alias("unit"),
+            F.col("run_id").alias("seed"),
+            F.lit(name).alias("run_name"),
+            F.col("generation").cast("int").alias("generation"),
+            F.col("best_so_far").alias("best_fitness"),
+            "best_so_far",
+            "avg_fitness",
+            F.col("avg_fitness").alias("worst_fitness"),
+            F.ceil("wall_clock_ms").cast("long").alias("wall_clock_ms"),
+        )
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("unit", "seed").parquet(f"{path}/runs")
+        # Seeds without an evaluation are complete as well.
+        counts = runs.join(rows.groupBy("seed").agg(F.count(F.lit(1)).alias("n")), F.col("run_id") == F.col("seed"), "left")
+        manifest = counts.select(F.lit(unit).alias("unit"), F.col("run_id").alias("seed"), F.coalesce("n", F.lit(0).cast("long")).alias("evaluations"))
+        manifest.coalesce(1).write.mode("append").parquet(f"{path}/manifest")
+    shape = "run_name string, generation int, best_fitness double, best_so_far double, avg_fitness double, worst_fitness double, wall_clock_ms long, unit string, seed long"
+    stored = spark.read.schema(shape).parquet(f"{path}/runs")
+    return stored.filter(F.col("unit").isin(list(units)) & F.col("seed").isin(list(seeds)))
