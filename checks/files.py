@@ -5,7 +5,8 @@ import uuid
 from pyspark.sql import functions as F
 
 from checks.base import check
-from checks.runs import GM, OBSERVED_SQL, PEAK_SQL, RANKING, peaks, ranking, seeds
+from checks.runs import COMPARISON_SQL, GM, OBSERVED_SQL, PEAK_SQL, RANKING, aggregated, peaks, ranking, referenced, seeds
+from tunelake.operators import compare
 from tunelake.operators import runs as r
 from tunelake.plans import reports as rp
 from tunelake.session import scratch_folder
@@ -125,3 +126,22 @@ def _(s):
     return rp.report_rows(
         rp.ranked_strategy_rows(ranks), rp.seed_rows(per_seed_listing(seeds(s), ranks)), rp.ranked_run_rows(r.rank_runs(peaks(s)))
     )
+
+
+@check(
+    "comparison_report",
+    "section:int line:str",
+    f"""WITH {COMPARISON_SQL}, o AS ({OBSERVED_SQL})
+SELECT 1 AS section, concat('| ', key, ' | ', printf('%.6f', peak_fitness), ' | ', printf('%.3f', time_to_90_peak_s / 60), ' | ', printf('%.3f', total_runtime_s / 60), ' | ',
+         printf('%.0f', total_evals), ' | ', printf('%.6f', convergence_auc), ' |') AS line FROM cs
+ UNION ALL SELECT 2, concat('| run ', run_id, ' | ', printf('%.6f', coalesce(best_fitness_peak, 0)), ' | ', coalesce(printf('%.6f', nullif(TRY_CAST(wall_clock_total_s AS DOUBLE), 0)), 'unknown'), ' | ',
+         coalesce(printf('%.6f', rate), 'unknown'), ' | ', coalesce(printf('%.6f', CASE WHEN jobs_per_sec >= 0 THEN jobs_per_sec END), 'unknown'), ' |') FROM o""",
+    f"{GM} run_summary_view",
+)
+def _(s):
+    summary = s.view("run_summary_view").select(
+        "*", F.concat(F.lit("run "), "run_id").alias("name"), F.when(F.col("jobs_per_sec") >= 0, F.col("jobs_per_sec")).alias("modeled_jobs_per_sec")
+    )
+    series = compare.comparison_series(referenced(s), aggregated(s))
+    # The unranked reference runs come last.
+    return rp.report_rows(rp.radar_rows(series), rp.reference_rows(compare.reference_row(ranking(s), summary)))

@@ -502,7 +502,7 @@ STRATEGY_SQL = """
 """
 RANKED_SQL = """
     SELECT *, row_number() OVER (ORDER BY median_best_fitness_peak DESC, median_evals_completed DESC, mean_best_fitness_peak DESC,
-             ('0x' || substr(md5(run_name), 1, 13))::BIGINT) AS rank FROM strategies
+             run_name) AS rank FROM strategies
 """
 RANKING = f"WITH seeds AS ({SEED_SQL}), strategies AS ({STRATEGY_SQL}), ranking AS ({RANKED_SQL})"
 

@@ -244,3 +244,20 @@ def test_commits_need_their_own_fence_tenant_and_a_leased_job(spark):
     attached = ledger.attach_lease(commits.withColumn("effect", F.col("result")), leases)
     got = [r.outcome for r in ledger.classify_commits(attached).orderBy("seq").collect()]
     assert got == ["stale", "stale", "stale", "committed", "duplicate", "stale"]
+
+
+def test_canonical_numbers_without_loss(spark):
+    long, other = "1" * 40, "1" * 39 + "2"
+    texts = {
+        '{"a":1E400}': None,
+        '{"a":[0, -1e999]}': None,
+        '{"a":%s.5}' % ("9" * 320): None,
+        '{"a":"1E400","b":1e308}': '{"a":"1E400","b":1.0E308}',
+        '{"a":%s}' % long: '{"a":%s}' % long,
+        '{"b": [-%s, "%s"], "a": %s}' % (other, other, long): '{"a":%s,"b":[-%s,"%s"]}' % (long, other, other),
+        '{"a":%s}' % ("7" * 320): '{"a":%s}' % ("7" * 320),
+        '{"a":0%s}' % long: None,
+    }
+    frame = spark.createDataFrame([(n, t) for n, t in enumerate(texts)], "n int, payload string")
+    got = {r.n: r.p for r in frame.select("n", ledger.canonical_payload(F.col("payload")).alias("p")).collect()}
+    assert [got[n] for n in range(len(texts))] == list(texts.values())

@@ -79,12 +79,17 @@ def strategy_summary(seeds: DataFrame) -> DataFrame:
 
 
 def rank_strategies(strategies: DataFrame) -> DataFrame:
-    """Rank by median peak, then median evaluations, then mean peak; ties by strategy name."""
+    """Rank by median peak, then median evaluations, then mean peak; ties by the bytes of the strategy name.
+
+    Names are compared by their first 24 bytes as numbers, then by a hash.
+    """
     named = strategies.withColumn("_name_order", F.conv(F.substring(F.md5("run_name"), 1, 13), 16, 10).cast("long"))
+    letters = [F.rpad(F.hex(F.substring(F.encode("run_name", "UTF-8"), 6 * n + 1, 6)), 12, "0") for n in range(4)]
     order = [
         -F.col("median_best_fitness_peak"),
         -F.col("median_evals_completed"),
         -F.col("mean_best_fitness_peak"),
+        *[F.conv(part, 16, 10).cast("double") for part in letters],
     ]
     return ranked(named, [], order, "_name_order", "rank").drop("_name_order")
 

@@ -59,10 +59,28 @@ def escaped(text: Column) -> Column:
     return _rewritten(text, r"[^\x00-\x7f]+", lambda gap: gap, units)
 
 
-def _marked_fractions(text: Column) -> Column:
-    """Numbers with a point get an exponent, so that the parser keeps them as fractions; strings stay."""
-    strings = r'"(?:[^"\\]|\\.)*+"'
-    return _rewritten(text, strings, lambda gap: F.regexp_replace(gap, r"(-?[0-9]++\.[0-9]++)(?![0-9eE.])", "$1e0"), lambda hit: hit)
+#: Strings of JSON text, and numbers outside of them.
+_STRING, _NUMBER = r'"(?:[^"\\]|\\.)*+"', r"-?[0-9]++(?:\.[0-9]++)?(?:[eE][+-]?[0-9]++)?"
+#: Whole numbers that the parser would round travel as text between these signs of no language.
+_LONG_MARK = "\ue000\uf8ff\ue000"
+_LONG = "-?[1-9][0-9]{38,}+"
+
+
+def _marked_numbers(text: Column) -> Column:
+    """Numbers with a point get an exponent, so that the parser keeps them as fractions, and long whole ones become text; strings stay."""
+
+    def marked(gap: Column) -> Column:
+        fractions = F.regexp_replace(gap, r"(-?[0-9]++\.[0-9]++)(?![0-9eE.])", "$1e0")
+        return F.regexp_replace(fractions, rf"(?<![0-9.eE+-])({_LONG})(?![0-9.eE])", f'"{_LONG_MARK}$1{_LONG_MARK}"')
+
+    return _rewritten(text, _STRING, marked, lambda hit: hit)
+
+
+def _in_range(text: Column) -> Column:
+    """False for JSON text with a fraction that no double holds. Only long exponents and very long digits can make one."""
+    numbers = F.regexp_extract_all(F.regexp_replace(text, _STRING, '""'), F.lit(_NUMBER), F.lit(0))
+    beyond = F.exists(numbers, lambda n: n.rlike("[.eE]") & (F.abs(n.try_cast("double")) == F.lit(float("inf"))))
+    return F.when(text.rlike(r"[eE]\+?[0-9]{3}|[0-9]{200}"), ~beyond).otherwise(F.lit(True))
 
 
 def ledger_job_id(tenant: Column, request_key: Column) -> Column:
@@ -71,12 +89,14 @@ def ledger_job_id(tenant: Column, request_key: Column) -> Column:
 
 
 def canonical_payload(payload: Column) -> Column:
-    """JSON text in ASCII with sorted keys and no blanks; null when it is not JSON.
+    """JSON text in ASCII with sorted keys and no blanks; null when it is not JSON or holds a number beyond all doubles.
 
     Whole numbers and fractions stay apart: ``1`` and ``1.0`` are different payloads, while all
-    spellings of one fraction (``100.0``, ``1e2``) are written alike.
+    spellings of one fraction (``100.0``, ``1e2``) are written alike. Whole numbers keep all digits.
     """
-    return escaped(F.to_json(F.try_parse_json(_marked_fractions(payload))))
+    plain = escaped(F.to_json(F.try_parse_json(_marked_numbers(payload))))
+    mark = "".join(f"\\\\u{ord(sign):04x}" for sign in _LONG_MARK)
+    return F.when(_in_range(payload), F.regexp_replace(plain, f'"{mark}({_LONG}){mark}"', "$1"))
 
 
 def submission_checks(submissions: DataFrame) -> DataFrame:
