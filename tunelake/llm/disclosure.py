@@ -36,8 +36,8 @@ KINDS = ("email", "ip", "card", "phone")
 GENERALISE, REMOVE, SUPPORT, ACCIDENTS = 0.8, 0.95, 2, 0.01
 #: Characters on both sides of an entity that make its neighbourhood.
 REACH = 64
-#: Salts of an entity where it meets its documents, and slots (a power of two, a bit each) of the table of disclosing terms, of which a term takes two: 512 KB at any size.
-SALTS, SLOT_BITS = 16, 22
+#: Salts of an entity where it meets its documents, and slots (a power of two, a bit each) of the table of disclosing terms, of which a term takes two: 128 KB at any size.
+SALTS, SLOT_BITS = 16, 20
 # The patterns of the kinds. Possessive runs match what greedy ones do here, without going back; a match
 # starts where the last one ended or where a run begins, since starts inside a run can give nothing else.
 _LOCAL, _LABEL = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]"
@@ -211,18 +211,22 @@ def disclosing(rows: DataFrame, found: DataFrame) -> DataFrame:
 
 def _places_of(rows: DataFrame, terms: DataFrame) -> DataFrame:
     """``doc_id``, ``mark``, ``terms``: all places of the terms in all documents, with their share."""
-    hashes = lambda word: [F.xxhash64(word), F.xxhash64(word, F.lit(1))]
-    slots = F.lit(bit_filter(terms.select(F.explode(F.array(*hashes(F.col("term")))).alias("slot")), "slot", SLOT_BITS))
+    # A term takes two bits of one byte; the table stands once in the plan, whose text repeats it.
+    byte_of = lambda value: F.shiftrightunsigned(value, 64 - SLOT_BITS + 3)
+    bits_of = lambda value: [value.bitwiseAND(F.lit(7)), F.shiftright(value, 3).bitwiseAND(F.lit(7))]
+    value = F.xxhash64("term")
+    slots = F.array(*[F.shiftleft(byte_of(value) * 8 + bit, 64 - SLOT_BITS) for bit in bits_of(value)])
+    table = F.lit(bit_filter(terms.select(F.explode(slots).alias("slot")), "slot", SLOT_BITS))
 
     def known(word: Column) -> Column:
-        """Whether both slots of a word are taken."""
+        """Whether both bits of a word are taken."""
 
-        def taken(place: Column) -> Column:
-            byte = F.substring(slots, F.shiftright(place, 3) + 1, F.lit(1))
-            return F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), place.bitwiseAND(F.lit(7))) == 1
+        def taken(value: Column) -> Column:
+            byte = F.conv(F.hex(F.substring(table, byte_of(value).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+            first, second = bits_of(value)
+            return _let(byte, lambda b: (F.getbit(b, first.cast("int")) == 1) & (F.getbit(b, second.cast("int")) == 1))
 
-        first, second = (_let(F.shiftrightunsigned(value, 64 - SLOT_BITS).cast("int"), taken) for value in hashes(word))
-        return first & second
+        return _let(F.xxhash64(word), taken)
 
     some = rows.select("doc_id", F.xxhash64("text").alias("mark"), "text", F.filter(_words(F.col("text")), known).alias("some")).filter(F.size("some") > 0)
     # Only the words in question are looked for; addresses come first, so that no word is found inside one.
