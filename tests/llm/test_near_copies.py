@@ -77,6 +77,37 @@ def test_large_group_and_tight_buckets(spark, monkeypatch):
     assert 0 in stay and 701 in stay and len(stay) <= len(expected) + 7
 
 
+@pytest.mark.parametrize("bucket", [512, 24])
+def test_no_neighbour_is_left_out(spark, monkeypatch, bucket):
+    # Every copy lies among thirty texts that are nearly similar enough: some of them have nearer fingerprints.
+    draw = random.Random(4)
+    texts = []
+    for _ in range(8):
+        base = [f"w{draw.randrange(30000)}" for _ in range(200)]
+        decoys = [edited(draw, base, 0.018) for _ in range(30)]
+        texts += [" ".join(words) for words in decoys] + [" ".join(edited(draw, words, 0.019)) for words in decoys[:6]]
+    monkeypatch.setattr(nc, "NEAREST", 1)
+    monkeypatch.setattr(nc, "BUCKET", bucket)
+    expected = groups_of(texts)
+    wanted = {n for n, root in enumerate(expected) if n != root}
+    gone = set(range(len(texts))) - {r["doc_id"] for r in nc.one_of_each(table(spark, texts)).collect()}
+    assert len(wanted) > 20 and gone <= wanted and len(gone) >= 0.97 * len(wanted)
+
+
+def test_bounds_never_rule_a_link_out():
+    draw = random.Random(5)
+    for size in (4, 5, 30, 400, 3000):
+        for _ in range(20):
+            words = [f"w{draw.randrange(30000)}" for _ in range(size + 4)]
+            one, two = nc.shingles(" ".join(words)), nc.shingles(" ".join(edited(draw, words, 0.02)))
+            both = len(set(one.tolist()) & set(two.tolist()))
+            apart = sum(bin(a ^ b).count("1") for a, b in zip(nc.parity(one), nc.parity(two)))
+            assert apart <= len(one) + len(two) - 2 * both and len(nc.parity(one)) * 8 == nc.PARITY_BITS
+            if size < nc.SMALLEST:
+                assert both < nc.LEAST * (len(one) + len(two) - both) or both == len(one) == len(two)
+    assert nc.SMALLEST == 4
+
+
 def test_awkward_rows(spark):
     one, two = "one two three four five six seven", "an entirely different line of words about nothing"
     pairs = [(1, one), (1, two), (2, one.upper()), (3, None), (4, ""), (5, " \n\t"), (6, "a b"), (7, "A B"), (8, "a b c"), (None, one), (None, one), (9, one), (9, one)]

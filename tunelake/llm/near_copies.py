@@ -5,10 +5,13 @@ node. Nodes are linked if the Jaccard similarity of their sets is at least ``LEA
 
 Every set has a fingerprint of 256 bits, four SimHashes of 64. At the similarity asked for, a pair differs in some 15 % of them. Nodes that agree
 in all bits of a band meet in a bucket. A band has so many bits that a bucket holds about ``MEAN`` unrelated nodes, and there are
-so many bands that a pair at the threshold misses all of them with a chance of ``MISSED``: both follow from the number of nodes. Buckets above ``BUCKET`` are
-cut by further bits, and what these cannot part is a cluster so tight that each part of it also gets a leader of the whole.
-In a bucket, distances are counted by ``simhash.close_pairs`` over bit planes with carry-save counters. Of each node the
-``NEAREST`` neighbours within ``RADIUS`` leave the task, so that a group of copies costs a few pairs per member. A fixed number of bits remembers which
+so many bands that a pair at the threshold misses all of them with a chance of ``MISSED``: both follow from the number of nodes.
+In a bucket, distances are counted by ``simhash.close_pairs`` over bit planes with carry-save counters. Pairs are checked in rounds: of each node the
+``NEAREST`` neighbours within ``RADIUS`` leave the task first, so that a group of copies costs a few pairs per member. Buckets in which a node has
+more neighbours come again with ``WIDER`` times the number, now only for neighbours that no link has joined to the node so far, until no neighbour is left out.
+Buckets above ``BUCKET`` are cut by further bits in the first round, and what these cannot part gets a leader of the whole; from the second
+round on such a bucket is compared as a whole, in tiles: members outside its largest group meet all others.
+So whatever meets in a band within the radius is joined or has been counted, unless sizes or parities of the sets rule the similarity out. A fixed number of bits remembers which
 nodes are in a pair; their sets are read from the texts once more, and the similarity is counted.
 
 Defined cases: null, empty and wordless texts have the empty set and are one node; rows without an id are in no group and stay; of several
@@ -40,6 +43,12 @@ BITS = 64 * WORDS64
 _SHARE = math.acos(2 * LEAST / (1 + LEAST)) / math.pi
 RADIUS = round(BITS * _SHARE + 2.5 * math.sqrt(BITS * _SHARE * (1 - _SHARE)))
 MEAN, BUCKET, MISSED, NEAREST = 64, 512, 0.01, 3
+#: How many times more neighbours of a node are taken in each further round.
+WIDER = 16
+#: Bits of the parity of a set; sets differ in as many elements at least as parities in bits.
+PARITY_BITS = 512
+#: Different sets that are smaller cannot be similar enough: without the one shingle that differs, four of five are left.
+SMALLEST = math.ceil(LEAST / (1 - LEAST) - 1e-9)
 #: Rows of buckets that a task compares at once.
 HELD = 4096
 #: Bits of the filter of nodes in pairs: 16 MB at any size.
@@ -76,6 +85,12 @@ def fingerprint(hashes: np.ndarray) -> bytes:
     return out
 
 
+def parity(hashes: np.ndarray) -> bytes:
+    """Whether the number of hashes is odd, for each value of their first bits."""
+    places = (hashes >> np.uint64(64 - PARITY_BITS.bit_length() + 1)).astype(np.int64)
+    return np.packbits(np.bincount(places, minlength=PARITY_BITS) % 2 == 1).tobytes()
+
+
 def _slices(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
     """A few rows at a time, so that the sets of a batch are never held together."""
     for low in range(0, len(batch), 256):
@@ -87,15 +102,16 @@ def _key(hashes: np.ndarray) -> bytes:
 
 
 def fingerprinted(rows: DataFrame) -> DataFrame:
-    """``doc_id``, ``key`` (digest of the set) and ``fp`` of every row with ``doc_id`` and ``text``."""
+    """``doc_id``, ``key`` (digest of the set), ``fp``, ``size`` and ``parity`` of every row with ``doc_id`` and ``text``."""
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole in batches:
             for batch in _slices(whole):
                 sets = [shingles(text) for text in batch["text"]]
-                yield pd.DataFrame({"doc_id": batch["doc_id"], "key": [_key(s) for s in sets], "fp": [fingerprint(s) for s in sets]})
+                found = {"doc_id": batch["doc_id"], "key": [_key(s) for s in sets], "fp": [fingerprint(s) for s in sets]}
+                yield pd.DataFrame(found | {"size": np.array([len(s) for s in sets], dtype=np.int32), "parity": [parity(s) for s in sets]})
 
-    return rows.mapInPandas(each, "doc_id long, key binary, fp binary")
+    return rows.mapInPandas(each, "doc_id long, key binary, fp binary, size int, parity binary")
 
 
 def _named(frame: DataFrame) -> DataFrame:
@@ -128,7 +144,7 @@ def _bits(packed: pd.Series) -> np.ndarray:
 
 
 def _bucketed(nodes: DataFrame, chosen: list[np.ndarray]) -> DataFrame:
-    """``node, fp, bucket``: a row per node and band."""
+    """``node, fp, size, bucket``: a row per band and node that can have a link."""
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -136,13 +152,20 @@ def _bucketed(nodes: DataFrame, chosen: list[np.ndarray]) -> DataFrame:
             for number, band in enumerate(chosen):
                 packed = np.packbits(bits[:, band], axis=1)
                 buckets = [xxhash.xxh64_intdigest(row.tobytes(), number) for row in packed]
-                yield pd.DataFrame({"node": batch["node"], "fp": batch["fp"], "bucket": np.array(buckets, dtype=np.uint64).view(np.int64)})
+                yield batch.assign(bucket=np.array(buckets, dtype=np.uint64).view(np.int64))
+
+    large = nodes.filter(F.col("size") >= SMALLEST).select("node", "fp", "size")
+    return large.mapInPandas(place, "node long, fp binary, size int, bucket long")
 
-    return nodes.select("node", "fp").mapInPandas(place, "node long, fp binary, bucket long")
+
+def _hot(rows: DataFrame) -> DataFrame:
+    """``bucket, n`` of the buckets above ``BUCKET``."""
+    counts = rows.groupBy("bucket").agg(F.count("*").alias("n"))
+    return cut_lineage(counts.filter(F.col("n") > BUCKET))
 
 
 def _parted(rows: DataFrame) -> DataFrame:
-    """The same rows, with buckets above ``BUCKET`` cut by bits, then into parts that share a leader."""
+    """Rows of buckets above ``BUCKET``, cut by bits, then into parts that share a leader: cheap, and not all pairs meet."""
 
     def deeper(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -154,22 +177,35 @@ def _parted(rows: DataFrame) -> DataFrame:
                 buckets.append(xxhash.xxh64_intdigest(row[own].tobytes(), bucket % (1 << 64)))
             yield batch.assign(bucket=np.array(buckets, dtype=np.uint64).view(np.int64)).drop(columns="n")
 
-    def hot(frame: DataFrame) -> DataFrame:
-        counts = frame.groupBy("bucket").agg(F.count("*").alias("n"))
-        return cut_lineage(counts.filter(F.col("n") > BUCKET))
-
-    first = hot(rows)
-    small = rows.join(first, "bucket", "left_anti")
-    cut = cut_lineage(rows.join(first, "bucket").select("node", "fp", "bucket", "n").mapInPandas(deeper, "node long, fp binary, bucket long"))
-    second = hot(cut)
+    cut = cut_lineage(rows.select("node", "fp", "size", "bucket", "n").mapInPandas(deeper, "node long, fp binary, size int, bucket long"))
+    second = _hot(cut)
     fine = cut.join(second, "bucket", "left_anti")
     tight = cut.join(second, "bucket")
     part = F.pmod(F.xxhash64("node", "bucket"), F.ceil(F.col("n") * 2 / BUCKET).cast("long"))
-    parts = tight.select("node", "fp", F.xxhash64("bucket", part).alias("bucket"))
-    leaders = tight.groupBy("bucket").agg(F.min(F.struct("node", "fp")).alias("leader"), F.first("n").alias("n"))
+    parts = tight.select("node", "fp", "size", F.xxhash64("bucket", part).alias("bucket"))
+    leaders = tight.groupBy("bucket").agg(F.min(F.struct("node", "fp", "size")).alias("leader"), F.first("n").alias("n"))
     numbers = F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") * 2 / BUCKET).cast("long") - 1))
-    leaders = leaders.select("leader.node", "leader.fp", "bucket", numbers.alias("part")).select("node", "fp", F.xxhash64("bucket", "part").alias("bucket"))
-    return small.select("node", "fp", "bucket").unionByName(fine).unionByName(parts).unionByName(leaders)
+    leaders = leaders.select("leader.*", "bucket", numbers.alias("part")).select("node", "fp", "size", F.xxhash64("bucket", "part").alias("bucket"))
+    return fine.select("node", "fp", "size", "bucket").unionByName(parts).unionByName(leaders)
+
+
+def _tiled(rows: DataFrame) -> DataFrame:
+    """``node, fp, size, bucket, side``: rows of large buckets (with ``root``) in tiles, so that every two members with different roots meet.
+
+    Members of the largest group of a bucket need not meet each other. In a bucket of two tiles ``side`` tells them apart; members of one side meet elsewhere.
+    """
+    counts = cut_lineage(rows.groupBy("bucket", "root").agg(F.count("*").alias("n")))
+    top = counts.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("n")).filter(F.col("n") > F.col("top.n"))
+    tiles = lambda n: F.ceil(n * 2 / BUCKET).cast("long")
+    top = cut_lineage(top.select("bucket", F.col("top.root").alias("main"), tiles(F.col("top.n")).alias("mains"), tiles(F.col("n") - F.col("top.n")).alias("others")))
+    inside = F.col("root") == F.col("main")
+    number = F.xxhash64("node", "bucket")
+    own = F.when(inside, F.pmod(number, "mains")).otherwise(F.col("mains") + F.pmod(number, "others"))
+    meets = F.sequence(F.when(inside, F.col("mains")).otherwise(F.lit(0).cast("long")), F.col("mains") + F.col("others") - 1)
+    tiled = rows.join(top, "bucket").select("node", "fp", "size", "bucket", own.alias("own"), F.explode(meets).alias("other"))
+    pair = F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other"))
+    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
+    return tiled.select("node", "fp", "size", pair.alias("bucket"), side.alias("side"))
 
 
 def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -188,13 +224,28 @@ def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.concat(held, ignore_index=True)
 
 
-def candidates(nodes: DataFrame, count: int) -> DataFrame:
-    """``a, b``: for every node the nearest fingerprints within the radius that it meets in a bucket."""
+def _mixed(table: pd.DataFrame) -> pd.DataFrame:
+    """The buckets that hold several roots."""
+    bucket, root = table["bucket"].to_numpy(), table["root"].to_numpy()
+    starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+    several = np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts)
+    return table[np.repeat(several, np.diff(np.r_[starts, len(bucket)]))].reset_index(drop=True)
+
+
+def candidates(rows: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
+    """``a, b``: for every node the ``limit`` nearest fingerprints within the radius that it meets in a bucket, of those with another root and a size
+    that allows a link; and ``bucket``: the buckets in which a node has more. Rows are ``node, fp, size, bucket, side, root``."""
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for table in _runs(batches):
+        for table in map(_mixed, _runs(batches)):
+            if not len(table):
+                continue
             values = np.frombuffer(b"".join(table["fp"]), dtype="<u8").reshape(len(table), WORDS64)
-            left, right = close_pairs(values, table["bucket"].to_numpy(), RADIUS)
+            bucket, side, root, size = (table[c].to_numpy() for c in ("bucket", "side", "root", "size"))
+            left, right = close_pairs(values, bucket, RADIUS)
+            fine = (root[left] != root[right]) & ((side[left] != side[right]) | (side[left] == 0))
+            fine &= np.minimum(size[left], size[right]) >= LEAST * np.maximum(size[left], size[right])
+            left, right = left[fine], right[fine]
             far = np.zeros(len(left), dtype=np.int32)
             for low in range(0, len(left), 1 << 16):
                 part = slice(low, low + (1 << 16))
@@ -205,15 +256,34 @@ def candidates(nodes: DataFrame, count: int) -> DataFrame:
             first = np.r_[True, own[1:] != own[:-1]] if len(own) else np.zeros(0, dtype=bool)
             heads = np.flatnonzero(first)
             place = np.arange(len(own)) - np.repeat(heads, np.diff(np.r_[heads, len(own)]))
-            near = place < NEAREST
+            near = place < limit
             names = table["node"].to_numpy()
             a, b = names[own[near]], names[other[near]]
-            yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+            yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "more": False})
+            more = np.unique(bucket[own[~near]])
+            yield pd.DataFrame({"a": more, "b": more, "more": True})
 
-    placed = cut_lineage(_bucketed(nodes, bands(count)))
     # Sorted by node too: ties of distance are broken alike in any run.
-    dealt = _parted(placed).repartition("bucket").sortWithinPartitions("bucket", "node")
-    return dealt.mapInPandas(compare, "a long, b long").filter("a <> b").distinct()
+    dealt = rows.repartition("bucket").sortWithinPartitions("bucket", "node")
+    found = cut_lineage(dealt.mapInPandas(compare, "a long, b long, more boolean"))
+    return found.filter("not more and a <> b").select("a", "b").distinct(), found.filter("more").select(F.col("a").alias("bucket")).distinct()
+
+
+def _possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs whose sizes and parities do not rule the similarity out."""
+
+    def bound(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            left, right = (np.frombuffer(b"".join(batch[c]), dtype=np.uint64).reshape(len(batch), PARITY_BITS // 64) for c in ("left", "right"))
+            total = batch["total"].to_numpy().astype(np.int64)
+            # At most: what is not in both makes up the difference.
+            both = (total - np.bitwise_count(left ^ right).sum(axis=1, dtype=np.int64)) // 2
+            yield batch.loc[both >= LEAST * (total - both), ["a", "b"]]
+
+    left = nodes.select(F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("parity").alias("left"))
+    right = nodes.select(F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("parity").alias("right"))
+    met = pairs.join(left, "a").join(right, "b").select("a", "b", (F.col("size_a") + F.col("size_b")).alias("total"), "left", "right")
+    return met.mapInPandas(bound, "a long, b long")
 
 
 def _sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -248,19 +318,50 @@ def _similar(pairs: DataFrame) -> DataFrame:
     return pairs.mapInPandas(count, "a long, b long")
 
 
+def linked(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``a``, ``b``: every node that has a link, except the smallest of its component, with that smallest node."""
+    placed = cut_lineage(_bucketed(nodes, bands(nodes.count())))
+    hot = _hot(placed)
+    small = placed.join(hot, "bucket", "left_anti").select("node", "fp", "size", "bucket", F.lit(0).alias("side"))
+    large = placed.join(hot, "bucket")
+    parts = _parted(large).withColumn("side", F.lit(0))
+    dealt = small.unionByName(parts).withColumn("root", F.col("node"))
+    limit, sets, tested, links = NEAREST, None, None, None
+    while True:
+        pairs, more = candidates(dealt, limit)
+        pairs = cut_lineage(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
+        close = cut_lineage(_possible(pairs, nodes))
+        # The text of a node is read again where its first id stands, once; the digest tells whether a row is of the node.
+        ends = close.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        ends = ends if sets is None else ends.join(sets, "node", "left_anti")
+        wanted = cut_lineage(nodes.join(ends, "node").select("first_id", F.col("key").alias("of"), "node"))
+        if sets is None or not wanted.isEmpty():
+            fresh = _sets(rows, wanted)
+            sets = fresh if sets is None else sets.unionByName(fresh)
+        left, right = (sets.select(F.col("node").alias(end), F.col("hashes").alias(name)) for end, name in (("a", "left"), ("b", "right")))
+        found = cut_lineage(_similar(close.join(left, "a").join(right, "b")))
+        links = found if links is None else links.unionByName(found)
+        roots = components(links)
+        of_node = roots.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        rooted = lambda part: part.join(of_node, "node", "left").withColumn("root", F.coalesce("root", "node"))  # noqa: E731, B023
+        # Parts of large buckets have done their work: the whole buckets follow.
+        again = (small if tested is None else dealt.drop("root")).join(more, "bucket", "left_semi")
+        if tested is None and not hot.isEmpty():
+            again = again.unionByName(_tiled(cut_lineage(rooted(large.drop("n")))))
+        dealt = cut_lineage(rooted(again))
+        if dealt.isEmpty():
+            return roots
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        limit *= WIDER
+
+
 def groups(frame: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``doc_id, key, first``: every row with an id, and whether it is the first text of its group: the smallest id, then the smallest key."""
     rows = documents(frame, id_column, text_column).filter(F.col("doc_id").isNotNull())
     marked = cut_lineage(fingerprinted(rows))
-    nodes = _named(marked.groupBy("key").agg(F.first("fp").alias("fp"), F.min("doc_id").alias("first_id")))
-    pairs = cut_lineage(candidates(nodes, nodes.count()))
-    # The text of a node is read again where its first id stands; the digest tells whether a row is of the node.
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = cut_lineage(nodes.join(ends, "node").select("first_id", F.col("key").alias("of"), "node"))
-    sets = _sets(rows, wanted)
-    left, right = sets.select(F.col("node").alias("a"), F.col("hashes").alias("left")), sets.select(F.col("node").alias("b"), F.col("hashes").alias("right"))
-    linked = cut_lineage(_similar(pairs.join(left, "a").join(right, "b")))
-    placed = nodes.join(components(linked), F.col("node") == F.col("a"), "left").select("key", "first_id", F.coalesce("b", "node").alias("root"))
+    nodes = _named(marked.groupBy("key").agg(F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("parity").alias("parity"), F.min("doc_id").alias("first_id")))
+    roots = linked(rows, nodes)
+    placed = nodes.join(roots, F.col("node") == F.col("a"), "left").select("key", "first_id", F.coalesce("b", "node").alias("root"))
     best = placed.groupBy("root").agg(F.min(F.struct("first_id", "key")).alias("best"))
     kept = cut_lineage(best.select(F.col("best.first_id").alias("kept_id"), F.col("best.key").alias("kept_key")))
     # An id and its text meet the one that stays: no group brings all its copies to one task.
