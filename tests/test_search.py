@@ -282,3 +282,18 @@ def test_default_genes_in_every_generation(spark):
         assert counts == {("dataset", None, "digits"): 12, ("epochs", 3.0, None): 12}
         assert genes.groupBy("run_id", "ordinal").count().filter("count <> 5").isEmpty()
     assert pop.filter("origin = 'elite'").count() == 4
+
+
+def test_genes_are_moved_before_they_are_sorted(spark):
+    # A task that reads few bytes may hold very many genes: nothing is sorted or grouped before the shuffle.
+    schema = "run_id long, generation int, ordinal long, name string, num double, cat string"
+    genes = spark.createDataFrame(
+        [(1, 0, 0, "epochs", 9.0, None), (1, 0, 0, "epochs", 10.0, None), (1, 0, 0, "dataset", None, "x"), (None, 0, 0, "batch_size", None, "64"), (None, 0, 0, "epochs", 2.0, None)],
+        schema,
+    )
+    found = sp.genome_to_config(genes)
+    scans = found._jdf.queryExecution().executedPlan().toString().split("Exchange hashpartitioning")
+    assert len(scans) == 2 and "Aggregate" not in scans[1] and "Sort" not in scans[1]
+    # Of repeated genes the largest as text counts; candidates without a key are one.
+    got = {r["run_id"]: (r["config"]["epochs"], r["config"]["batch_size"], r["config"]["dataset"]) for r in found.collect()}
+    assert got == {1: (9, 32, "x"), None: (2, 64, "mnist")}

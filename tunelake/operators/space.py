@@ -348,14 +348,18 @@ def _name_of(names: dict[str, int], value: Column, default: str) -> Column:
 
 
 def genome_to_config(genes: DataFrame) -> DataFrame:
-    """One configuration struct per candidate, missing genes filled with defaults."""
+    """One configuration struct per candidate, missing genes filled with defaults.
+
+    Genes move to their candidate before they are sorted: a scan of few bytes can give many genes, and sorting
+    them in the task that reads them takes memory as the input grows. A shuffled part has a bounded size.
+    """
 
     def gene(name: str, kind: str, default: object) -> Column:
         value = F.max(F.when(F.col("name") == name, F.coalesce(F.col("num").cast("string"), F.col("cat"))))
         typed = value.try_cast("double").cast("int") if kind == "int" else value.try_cast(kind)
         return F.coalesce(typed, F.lit(default))
 
-    wide = genes.groupBy(*CANDIDATE).agg(
+    wide = genes.repartition(*CANDIDATE).groupBy(*CANDIDATE).agg(
         F.struct(
             gene("learning_rate", "double", 0.001).alias("learning_rate"),
             gene("batch_size", "int", 32).alias("batch_size"),
