@@ -42,3 +42,13 @@ def test_encode_and_decode_tables(spark):
 
 def test_empty_table(spark):
     assert tokens.round_trip(table(spark, []), PATH, PATTERN).count() == 0
+
+
+def test_few_ids_are_held_at_once():
+    import pandas as pd
+
+    texts = pd.Series(["ab"] * 600 + [None, "x" * (tokens.HELD_CHARS + 1), "y", ""] + ["z" * (tokens.HELD_CHARS // 2)] * 5, dtype=object)
+    parts = list(tokens._parts(texts))
+    assert pd.concat(parts).equals(texts) and all(0 < len(p) <= tokens.HELD for p in parts)
+    assert all(len(p) == 1 or p.map(lambda t: len(t or "")).sum() <= tokens.HELD_CHARS for p in parts)
+    assert [len(p) for p in tokens._parts(pd.Series([], dtype=object))] == [0]

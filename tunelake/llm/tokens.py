@@ -25,6 +25,8 @@ from tunelake.llm.common import documents
 
 #: Characters after which the next safe boundary is taken.
 PIECE_CHARS = 1 << 16
+#: Texts, and characters of them, whose ids a task holds before it passes them on; one text may be longer.
+HELD, HELD_CHARS = 256, 1 << 20
 
 # A match of the pattern never continues over these places, and none looks back over them: white
 # space after anything else, letters next to digits, other signs after letters or digits.
@@ -77,6 +79,18 @@ def decode_ids(ids, path: str) -> bytes:
     return b"".join([table[token] for token in ids])
 
 
+def _parts(batch: pd.Series) -> Iterator[pd.Series]:
+    """A few texts at a time, so that the ids of a batch are never held together."""
+    low, chars = 0, 0
+    for at, text in enumerate(batch):
+        size = len(text or "")
+        if at > low and (at - low >= HELD or chars + size > HELD_CHARS):
+            yield batch.iloc[low:at]
+            low, chars = at, 0
+        chars += size
+    yield batch.iloc[low:]
+
+
 def encoded(text: Column, path: str, pattern: str) -> Column:
     """Ids of a text as array of int."""
 
@@ -127,13 +141,14 @@ def encoded_documents(frame: DataFrame, path: str, pattern: str, keep_ids: bool
     @F.pandas_udf(", ".join(shape))
     def there_and_back(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for text in batch:
-                ids = encode_text(text, path, pattern)
-                raw = decode_ids(ids.tolist(), path)
-                facts = (len(ids), ids_digest(ids), hashlib.sha256(raw).hexdigest())
-                rows.append((ids.astype(np.int32), *facts) if keep_ids else facts)
-            yield pd.DataFrame(rows, columns=names)
+            for part in _parts(batch):
+                rows = []
+                for text in part:
+                    ids = encode_text(text, path, pattern)
+                    raw = decode_ids(ids.tolist(), path)
+                    facts = (len(ids), ids_digest(ids), hashlib.sha256(raw).hexdigest())
+                    rows.append((ids.astype(np.int32), *facts) if keep_ids else facts)
+                yield pd.DataFrame(rows, columns=names)
 
     found = there_and_back(F.col("text"))
     return documents(frame, id_column, text_column).select("doc_id", found.alias("found")).select("doc_id", "found.*")
