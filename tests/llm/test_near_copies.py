@@ -94,6 +94,24 @@ def test_no_neighbour_is_left_out(spark, monkeypatch, bucket):
     assert len(wanted) > 20 and gone <= wanted and len(gone) >= 0.97 * len(wanted)
 
 
+def test_pairs_follow_the_size_of_a_group(spark, monkeypatch):
+    # Texts around one original whose fingerprints are near, but which are not similar enough: few pairs leave the tasks.
+    draw, counts, found = random.Random(6), [], nc.candidates
+    base = [f"w{draw.randrange(30000)}" for _ in range(200)]
+    texts = [" ".join(edited(draw, base, 0.02)) for _ in range(400)]
+
+    def counted(rows, limit):
+        pairs, more = found(rows, limit)
+        counts.append(pairs.count())
+        return pairs, more
+
+    monkeypatch.setattr(nc, "candidates", counted)
+    expected = groups_of(texts)
+    gone = set(range(len(texts))) - {r["doc_id"] for r in nc.one_of_each(table(spark, texts)).collect()}
+    wanted = {n for n, root in enumerate(expected) if n != root}
+    assert gone <= wanted and len(gone) >= 0.97 * len(wanted) and sum(counts) < 25 * len(texts)
+
+
 def test_bounds_never_rule_a_link_out():
     draw = random.Random(5)
     for size in (4, 5, 30, 400, 3000):

@@ -9,6 +9,8 @@ so many bands that a pair at the threshold misses all of them with a chance of `
 In a bucket, distances are counted by ``simhash.close_pairs`` over bit planes with carry-save counters. Pairs are checked in rounds: of each node the
 ``NEAREST`` neighbours within ``RADIUS`` leave the task first, so that a group of copies costs a few pairs per member. Buckets in which a node has
 more neighbours come again with ``WIDER`` times the number, now only for neighbours that no link has joined to the node so far, until no neighbour is left out.
+From the second round on rows bring the parities of their sets, and pairs that these rule out never leave the task: texts around one original that are
+not similar enough are many fingerprints within the radius of each other, but few pairs.
 Buckets above ``BUCKET`` are cut by further bits in the first round, and what these cannot part gets a leader of the whole; from the second
 round on such a bucket is compared as a whole, in tiles: members outside its largest group meet all others.
 So whatever meets in a band within the radius is joined or has been counted, unless sizes or parities of the sets rule the similarity out. A fixed number of bits remembers which
@@ -42,13 +44,15 @@ BITS = 64 * WORDS64
 #: Bits in which two fingerprints may differ to be candidates: 2.5 standard deviations beyond what is expected at ``LEAST``.
 _SHARE = math.acos(2 * LEAST / (1 + LEAST)) / math.pi
 RADIUS = round(BITS * _SHARE + 2.5 * math.sqrt(BITS * _SHARE * (1 - _SHARE)))
-MEAN, BUCKET, MISSED, NEAREST = 64, 512, 0.01, 3
+MEAN, BUCKET, MISSED, NEAREST = 64, 512, 0.01, 1
 #: How many times more neighbours of a node are taken in each further round.
 WIDER = 16
 #: Bits of the parity of a set; sets differ in as many elements at least as parities in bits.
 PARITY_BITS = 512
 #: Different sets that are smaller cannot be similar enough: without the one shingle that differs, four of five are left.
 SMALLEST = math.ceil(LEAST / (1 - LEAST) - 1e-9)
+#: What rows of buckets bring from the second round on, besides bucket and side.
+_FULL = ["node", "fp", "size", "parity", "root"]
 #: Rows of buckets that a task compares at once.
 HELD = 4096
 #: Bits of the filter of nodes in pairs: 16 MB at any size.
@@ -164,6 +168,13 @@ def _hot(rows: DataFrame) -> DataFrame:
     return cut_lineage(counts.filter(F.col("n") > BUCKET))
 
 
+def _sized(rows: DataFrame) -> DataFrame:
+    """Rows with the size ``n`` of their bucket if that is above ``BUCKET`` or the largest: there is always one, so the plan is the same for any input."""
+    counts = cut_lineage(rows.groupBy("bucket").agg(F.count("*").alias("n")))
+    largest = counts.orderBy(F.desc("n"), "bucket").limit(1)
+    return rows.join(cut_lineage(counts.filter(F.col("n") > BUCKET).unionByName(largest).distinct()), "bucket", "left")
+
+
 def _parted(rows: DataFrame) -> DataFrame:
     """Rows of buckets above ``BUCKET``, cut by bits, then into parts that share a leader: cheap, and not all pairs meet."""
 
@@ -190,7 +201,7 @@ def _parted(rows: DataFrame) -> DataFrame:
 
 
 def _tiled(rows: DataFrame) -> DataFrame:
-    """``node, fp, size, bucket, side``: rows of large buckets (with ``root``) in tiles, so that every two members with different roots meet.
+    """``node, fp, size, parity, root, bucket, side``: rows of large buckets in tiles, so that every two members with different roots meet.
 
     Members of the largest group of a bucket need not meet each other. In a bucket of two tiles ``side`` tells them apart; members of one side meet elsewhere.
     """
@@ -202,10 +213,10 @@ def _tiled(rows: DataFrame) -> DataFrame:
     number = F.xxhash64("node", "bucket")
     own = F.when(inside, F.pmod(number, "mains")).otherwise(F.col("mains") + F.pmod(number, "others"))
     meets = F.sequence(F.when(inside, F.col("mains")).otherwise(F.lit(0).cast("long")), F.col("mains") + F.col("others") - 1)
-    tiled = rows.join(top, "bucket").select("node", "fp", "size", "bucket", own.alias("own"), F.explode(meets).alias("other"))
+    tiled = rows.join(top, "bucket").select(*_FULL, "bucket", own.alias("own"), F.explode(meets).alias("other"))
     pair = F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other"))
     side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
-    return tiled.select("node", "fp", "size", pair.alias("bucket"), side.alias("side"))
+    return tiled.select(*_FULL, pair.alias("bucket"), side.alias("side"))
 
 
 def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -232,24 +243,42 @@ def _mixed(table: pd.DataFrame) -> pd.DataFrame:
     return table[np.repeat(several, np.diff(np.r_[starts, len(bucket)]))].reset_index(drop=True)
 
 
+def _words(packed: pd.Series, bits: int) -> np.ndarray:
+    """Packed bits as rows of words."""
+    return np.frombuffer(b"".join(packed), dtype="<u8").reshape(len(packed), bits // 64)
+
+
+def _allowed(total: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Whether two sets can be similar enough, by their elements together and their parities."""
+    # At most: what is not in both makes up the difference.
+    both = (total - np.bitwise_count(left ^ right).sum(axis=1, dtype=np.int64)) // 2
+    return both >= LEAST * (total - both)
+
+
 def candidates(rows: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
     """``a, b``: for every node the ``limit`` nearest fingerprints within the radius that it meets in a bucket, of those with another root and a size
-    that allows a link; and ``bucket``: the buckets in which a node has more. Rows are ``node, fp, size, bucket, side, root``."""
+    (and a parity, if rows have it) that allows a link; and ``bucket``: the buckets in which a node has more. Rows are ``node, fp, size, bucket, side, root``."""
+    bounded = "parity" in rows.columns
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for table in map(_mixed, _runs(batches)):
             if not len(table):
                 continue
-            values = np.frombuffer(b"".join(table["fp"]), dtype="<u8").reshape(len(table), WORDS64)
+            values = _words(table["fp"], BITS)
+            odd = _words(table["parity"], PARITY_BITS) if bounded else None
             bucket, side, root, size = (table[c].to_numpy() for c in ("bucket", "side", "root", "size"))
             left, right = close_pairs(values, bucket, RADIUS)
             fine = (root[left] != root[right]) & ((side[left] != side[right]) | (side[left] == 0))
             fine &= np.minimum(size[left], size[right]) >= LEAST * np.maximum(size[left], size[right])
             left, right = left[fine], right[fine]
-            far = np.zeros(len(left), dtype=np.int32)
+            far, fine = np.zeros(len(left), dtype=np.int32), np.ones(len(left), dtype=bool)
             for low in range(0, len(left), 1 << 16):
                 part = slice(low, low + (1 << 16))
-                far[part] = np.bitwise_count(values[left[part]] ^ values[right[part]]).sum(axis=1)
+                one, two = left[part], right[part]
+                far[part] = np.bitwise_count(values[one] ^ values[two]).sum(axis=1)
+                if bounded:
+                    fine[part] = _allowed(size[one].astype(np.int64) + size[two], odd[one], odd[two])
+            left, right, far = left[fine], right[fine], far[fine]
             own, other, far = np.r_[left, right], np.r_[right, left], np.r_[far, far]
             order = np.lexsort((other, far, own))
             own, other = own[order], other[order]
@@ -259,7 +288,7 @@ def candidates(rows: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
             near = place < limit
             names = table["node"].to_numpy()
             a, b = names[own[near]], names[other[near]]
-            yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "more": False})
+            yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "more": False}).drop_duplicates()
             more = np.unique(bucket[own[~near]])
             yield pd.DataFrame({"a": more, "b": more, "more": True})
 
@@ -274,11 +303,8 @@ def _possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
     def bound(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            left, right = (np.frombuffer(b"".join(batch[c]), dtype=np.uint64).reshape(len(batch), PARITY_BITS // 64) for c in ("left", "right"))
-            total = batch["total"].to_numpy().astype(np.int64)
-            # At most: what is not in both makes up the difference.
-            both = (total - np.bitwise_count(left ^ right).sum(axis=1, dtype=np.int64)) // 2
-            yield batch.loc[both >= LEAST * (total - both), ["a", "b"]]
+            left, right = (_words(batch[c], PARITY_BITS) for c in ("left", "right"))
+            yield batch.loc[_allowed(batch["total"].to_numpy().astype(np.int64), left, right), ["a", "b"]]
 
     left = nodes.select(F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("parity").alias("left"))
     right = nodes.select(F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("parity").alias("right"))
@@ -320,17 +346,17 @@ def _similar(pairs: DataFrame) -> DataFrame:
 
 def linked(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     """``a``, ``b``: every node that has a link, except the smallest of its component, with that smallest node."""
-    placed = cut_lineage(_bucketed(nodes, bands(nodes.count())))
-    hot = _hot(placed)
-    small = placed.join(hot, "bucket", "left_anti").select("node", "fp", "size", "bucket", F.lit(0).alias("side"))
-    large = placed.join(hot, "bucket")
-    parts = _parted(large).withColumn("side", F.lit(0))
-    dealt = small.unionByName(parts).withColumn("root", F.col("node"))
-    limit, sets, tested, links = NEAREST, None, None, None
+    placed = _sized(cut_lineage(_bucketed(nodes, bands(nodes.count()))))
+    over = F.coalesce(F.col("n") > BUCKET, F.lit(False))
+    small = placed.filter(~over).select("node", "fp", "size", "bucket", F.lit(0).alias("side"))
+    large = cut_lineage(placed.filter(over))
+    hot = not large.isEmpty()
+    parts = small.unionByName(_parted(large).withColumn("side", F.lit(0))) if hot else small
+    dealt = parts.withColumn("root", F.col("node"))
+    limit, sets, tested, roots = NEAREST, None, None, None
     while True:
         pairs, more = candidates(dealt, limit)
-        pairs = cut_lineage(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
-        close = cut_lineage(_possible(pairs, nodes))
+        close = cut_lineage(_possible(pairs, nodes) if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
         # The text of a node is read again where its first id stands, once; the digest tells whether a row is of the node.
         ends = close.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         ends = ends if sets is None else ends.join(sets, "node", "left_anti")
@@ -340,18 +366,20 @@ def linked(rows: DataFrame, nodes: DataFrame) -> DataFrame:
             sets = fresh if sets is None else sets.unionByName(fresh)
         left, right = (sets.select(F.col("node").alias(end), F.col("hashes").alias(name)) for end, name in (("a", "left"), ("b", "right")))
         found = cut_lineage(_similar(close.join(left, "a").join(right, "b")))
-        links = found if links is None else links.unionByName(found)
-        roots = components(links)
-        of_node = roots.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        rooted = lambda part: part.join(of_node, "node", "left").withColumn("root", F.coalesce("root", "node"))  # noqa: E731, B023
+        # Stars of the rounds before stand for their links.
+        if roots is None or not found.isEmpty():
+            roots = components(found if roots is None else roots.unionByName(found))
+        stars = roots.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        state = nodes.select("node", "parity").join(stars, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        rooted = lambda part: part.select("node", "fp", "size", "bucket", "side").join(state, "node")  # noqa: E731, B023
         # Parts of large buckets have done their work: the whole buckets follow.
-        again = (small if tested is None else dealt.drop("root")).join(more, "bucket", "left_semi")
-        if tested is None and not hot.isEmpty():
-            again = again.unionByName(_tiled(cut_lineage(rooted(large.drop("n")))))
-        dealt = cut_lineage(rooted(again))
+        again = rooted((small if tested is None else dealt).join(more, "bucket", "left_semi")).select(*_FULL, "bucket", "side")
+        if tested is None and hot:
+            again = again.unionByName(_tiled(cut_lineage(rooted(large.withColumn("side", F.lit(0))))))
+        dealt = cut_lineage(again)
         if dealt.isEmpty():
             return roots
-        tested = pairs if tested is None else tested.unionByName(pairs)
+        tested = close if tested is None else tested.unionByName(close)
         limit *= WIDER
 
 
