@@ -169,3 +169,11 @@ def test_repeated_rows_and_empty_table(spark):
     assert disclosure.find(with_ids(spark, pairs)).count() == 5
     assert sorted(r["text"] for r in disclosure.sanitised(with_ids(spark, pairs)).collect()) == ["mail [EMAIL] now"] * 4 + ["other text"]
     assert disclosure.find(table(spark, [])).count() == 0 and disclosure.sanitised(table(spark, [])).count() == 0
+
+
+def test_term_table_stands_in_no_plan_with_a_shuffle(spark, capsys):
+    rows = spark.createDataFrame([(1, "some words here"), (2, "others")], "doc_id long, text string")
+    found = disclosure._places_of(rows, spark.createDataFrame([("words", 0.9)], "term string, share double"))
+    found.explain()
+    assert len(capsys.readouterr().out) < 100_000
+    assert [(r["doc_id"], [tuple(t) for t in r["terms"]]) for r in found.collect()] == [(1, [(5, 10, 0.9)])]

@@ -233,8 +233,9 @@ def _places_of(rows: DataFrame, terms: DataFrame) -> DataFrame:
     words = F.concat(F.lit(r"(?<!\p{L})(?iu:"), F.array_join("some", "|"), F.lit(r")(?!\p{L})"))
     pattern = F.when(F.contains("text", F.lit("@")), F.concat(F.lit(f"(?:{PATTERNS['email']})|"), words)).otherwise(words)
     found = F.transform(places(_level(F.col("text")), pattern), lambda p: F.struct(F.lower(p["value"]).alias("term"), p["start"].alias("start"), p["end"].alias("end")))
-    hits = some.select("doc_id", "mark", F.explode(found).alias("w"))
-    met = hits.select("doc_id", "mark", "w.*").join(terms, "term").groupBy("doc_id", "mark", "start", "end").agg(F.max("share").alias("share"))
+    # Written without a shuffle: the plan that holds the table is told to listeners once, not anew for each stage of the join.
+    hits = cut_lineage(some.select("doc_id", "mark", F.explode(found).alias("w")).select("doc_id", "mark", "w.*"))
+    met = hits.join(terms, "term").groupBy("doc_id", "mark", "start", "end").agg(F.max("share").alias("share"))
     return met.groupBy("doc_id", "mark").agg(F.array_sort(F.collect_list(F.struct("start", "end", "share"))).alias("terms"))
 
 
