@@ -1,5 +1,7 @@
 import base64
 import hashlib
+import time
+from pathlib import Path
 
 from helpers import rows_of
 from tunelake.llm import warc
@@ -77,3 +79,17 @@ def test_damage_is_noticed(spark, tmp_path):
 
 def test_empty_table(spark):
     assert warc.archive_pages(pages(spark, [])).count() == 0
+
+
+def test_writing_leaves_no_shuffle_files(spark, tmp_path):
+    disks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    files = lambda: {p.name for disk in disks for p in Path(disk.getPath()).glob("*/shuffle_*")}
+    rows = [(n, f"u{n}", f"<p>{n % 40}</p>") for n in range(60)]
+    frame = pages(spark, rows).repartition(4).localCheckpoint()  # rows in several tasks, so that payloads are shuffled
+    before = files()
+    warc.write_archive(frame, str(tmp_path / "w"))
+    ends = time.time() + 20
+    while (left := files() - before) and time.time() < ends:
+        time.sleep(0.2)
+    assert not left
+    assert rows_of(warc.record_facts(warc.read_archive(spark, str(tmp_path / "w")))) == brute(rows, 0)

@@ -22,7 +22,7 @@ from datetime import UTC, datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tunelake.session import cut_lineage, scratch_folder
+from tunelake.session import cut_lineage, scratch_folder, tidy_shuffles
 
 # The base-32 alphabet and the names that the archive format prescribes.
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -101,7 +101,8 @@ def write_archive(
             "strong",
             base32_sha1(F.col("payload")).alias("weak"),
             F.octet_length("payload").cast("long").alias("bytes"),
-        )
+        ),
+        tidy=True,
     )
     # Partial maxima travel, so a payload that a third of all records share costs a row per task.
     order = F.struct(F.col("page_id"), F.xxhash64("target").alias("tie"))
@@ -116,17 +117,21 @@ def write_archive(
             F.col("holder.page_id").alias("holder_id"),
             F.col("holder.tie").alias("holder_tie"),
             "copies",
-        )
+        ),
+        tidy=True,
     )
     records = facts.join(holders, "strong")
     own = F.col("page_id").eqNullSafe(F.col("holder_id")) & (F.xxhash64("target") == F.col("holder_tie"))
     response = own | (F.col("bytes") < min_bytes)
     kind = F.when(response, F.lit("response")).otherwise(F.lit("revisit"))
     records = records.withColumn("refers_to", F.when(~response, F.col("holder_id")))
-    records.select("page_id", F.col("strong"), _header(kind, date).alias("header")).write.parquet(f"{folder}/headers")
+    headers = records.select("page_id", F.col("strong"), _header(kind, date).alias("header"))
     # Equal digests are equal payloads, so any record brings the one copy; tasks drop what they hold twice.
     once = rows.select("strong", "payload").dropDuplicates(["strong"])
-    once.write.option("compression", "zstd").parquet(f"{folder}/payloads")
+    # The shuffled payloads go once they are stored: reading shuffles them again, and both need not be on disk at a time.
+    with tidy_shuffles(pages.sparkSession):
+        headers.write.parquet(f"{folder}/headers")
+        once.write.option("compression", "zstd").parquet(f"{folder}/payloads")
 
 
 def read_archive(spark: SparkSession, folder: str) -> DataFrame:
