@@ -1,4 +1,6 @@
 import random
+import time
+from pathlib import Path
 
 import pytest
 
@@ -112,6 +114,31 @@ def test_pairs_follow_the_size_of_a_group(spark, monkeypatch):
     assert gone <= wanted and len(gone) >= 0.97 * len(wanted) and sum(counts) < 25 * len(texts)
 
 
+def test_few_bands_are_on_disk_at_a_time(spark, monkeypatch):
+    # More bands than are taken together: no step brings all of them, and nothing of a step stays but what it wrote.
+    draw, counts, found = random.Random(8), [], nc.candidates
+    texts = corpus(draw, 150, 3, (30, 60))
+    disks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    files = lambda: {p.name for disk in disks for p in Path(disk.getPath()).glob("*/shuffle_*")}
+
+    def counted(rows, limit):
+        counts.append(rows.count())
+        return found(rows, limit)
+
+    monkeypatch.setattr(nc, "MEAN", 1)
+    monkeypatch.setattr(nc, "candidates", counted)
+    before = files()
+    marked = nc.groups(table(spark, texts))
+    ends = time.time() + 20
+    while (left := files() - before) and time.time() < ends:
+        time.sleep(0.2)
+    assert not left
+    assert len(nc.bands(len(texts))) > 16 and max(counts) <= 16 * len(texts)
+    wanted = {n for n, root in enumerate(groups_of(texts)) if n != root}
+    gone = {r["doc_id"] for r in marked.filter("not first").collect()}
+    assert len(wanted) > 300 and gone <= wanted and len(gone) >= 0.97 * len(wanted)
+
+
 def test_bounds_never_rule_a_link_out():
     draw = random.Random(5)
     for size in (4, 5, 30, 400, 3000):

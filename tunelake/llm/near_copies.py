@@ -13,6 +13,8 @@ From the second round on rows bring the parities of their sets, and pairs that t
 not similar enough are many fingerprints within the radius of each other, but few pairs.
 Buckets above ``BUCKET`` are cut by further bits in the first round, and what these cannot part gets a leader of the whole; from the second
 round on such a bucket is compared as a whole, in tiles: members outside its largest group meet all others.
+The bands grow in number with the nodes, so they are taken ``TOGETHER`` at a time: rows with a fingerprint are shuffled for these only, go when they are compared,
+and leave the node and the bucket of what comes again.
 So whatever meets in a band within the radius is joined or has been counted, unless sizes or parities of the sets rule the similarity out. A fixed number of bits remembers which
 nodes are in a pair; their sets are read from the texts once more, and the similarity is counted.
 
@@ -26,6 +28,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -36,7 +39,7 @@ from pyspark.sql import functions as F
 from tunelake.llm.common import BitFilter, bit_filter, documents, free_names
 from tunelake.llm.graph import components
 from tunelake.llm.simhash import SEED, close_pairs
-from tunelake.session import cut_lineage
+from tunelake.session import cut_lineage, tidy_shuffles
 
 SHINGLE, LEAST = 5, 0.8
 WORDS64 = 4
@@ -47,12 +50,12 @@ RADIUS = round(BITS * _SHARE + 2.5 * math.sqrt(BITS * _SHARE * (1 - _SHARE)))
 MEAN, BUCKET, MISSED, NEAREST = 64, 512, 0.01, 1
 #: How many times more neighbours of a node are taken in each further round.
 WIDER = 16
+#: Bands whose rows are on disk at a time.
+TOGETHER = 16
 #: Bits of the parity of a set; sets differ in as many elements at least as parities in bits.
 PARITY_BITS = 512
 #: Different sets that are smaller cannot be similar enough: without the one shingle that differs, four of five are left.
 SMALLEST = math.ceil(LEAST / (1 - LEAST) - 1e-9)
-#: What rows of buckets bring from the second round on, besides bucket and side.
-_FULL = ["node", "fp", "size", "parity", "root"]
 #: Rows of buckets that a task compares at once.
 HELD = 4096
 #: Bits of the filter of nodes in pairs: 16 MB at any size.
@@ -147,13 +150,13 @@ def _bits(packed: pd.Series) -> np.ndarray:
     return np.unpackbits(np.frombuffer(b"".join(packed), dtype=np.uint8).reshape(len(packed), -1), axis=1, bitorder="little")
 
 
-def _bucketed(nodes: DataFrame, chosen: list[np.ndarray]) -> DataFrame:
-    """``node, fp, size, bucket``: a row per band and node that can have a link."""
+def _bucketed(nodes: DataFrame, chosen: list[np.ndarray], first: int) -> DataFrame:
+    """``node, fp, size, bucket``: a row per band, numbered from ``first`` on, and node that can have a link."""
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             bits = _bits(batch["fp"])
-            for number, band in enumerate(chosen):
+            for number, band in enumerate(chosen, first):
                 packed = np.packbits(bits[:, band], axis=1)
                 buckets = [xxhash.xxh64_intdigest(row.tobytes(), number) for row in packed]
                 yield batch.assign(bucket=np.array(buckets, dtype=np.uint64).view(np.int64))
@@ -175,8 +178,8 @@ def _sized(rows: DataFrame) -> DataFrame:
     return rows.join(cut_lineage(counts.filter(F.col("n") > BUCKET).unionByName(largest).distinct()), "bucket", "left")
 
 
-def _parted(rows: DataFrame) -> DataFrame:
-    """Rows of buckets above ``BUCKET``, cut by bits, then into parts that share a leader: cheap, and not all pairs meet."""
+def _parted(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``node, fp, size, bucket``: rows ``node, bucket, n`` of buckets above ``BUCKET``, cut by bits, then into parts that share a leader: cheap, and not all pairs meet."""
 
     def deeper(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -186,22 +189,23 @@ def _parted(rows: DataFrame) -> DataFrame:
                 width = math.ceil(math.log2(n / BUCKET)) + 1
                 own = np.random.default_rng(bucket % (1 << 64)).permutation(BITS)[:width]
                 buckets.append(xxhash.xxh64_intdigest(row[own].tobytes(), bucket % (1 << 64)))
-            yield batch.assign(bucket=np.array(buckets, dtype=np.uint64).view(np.int64)).drop(columns="n")
+            yield batch[["node"]].assign(bucket=np.array(buckets, dtype=np.uint64).view(np.int64))
 
-    cut = cut_lineage(rows.select("node", "fp", "size", "bucket", "n").mapInPandas(deeper, "node long, fp binary, size int, bucket long"))
+    told = nodes.select("node", "fp", "size")
+    cut = cut_lineage(rows.join(told, "node").select("node", "fp", "bucket", "n").mapInPandas(deeper, "node long, bucket long"))
     second = _hot(cut)
     fine = cut.join(second, "bucket", "left_anti")
     tight = cut.join(second, "bucket")
     part = F.pmod(F.xxhash64("node", "bucket"), F.ceil(F.col("n") * 2 / BUCKET).cast("long"))
-    parts = tight.select("node", "fp", "size", F.xxhash64("bucket", part).alias("bucket"))
-    leaders = tight.groupBy("bucket").agg(F.min(F.struct("node", "fp", "size")).alias("leader"), F.first("n").alias("n"))
+    parts = tight.select("node", F.xxhash64("bucket", part).alias("bucket"))
+    leaders = tight.groupBy("bucket").agg(F.min("node").alias("node"), F.first("n").alias("n"))
     numbers = F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") * 2 / BUCKET).cast("long") - 1))
-    leaders = leaders.select("leader.*", "bucket", numbers.alias("part")).select("node", "fp", "size", F.xxhash64("bucket", "part").alias("bucket"))
-    return fine.select("node", "fp", "size", "bucket").unionByName(parts).unionByName(leaders)
+    leaders = leaders.select("node", "bucket", numbers.alias("part")).select("node", F.xxhash64("bucket", "part").alias("bucket"))
+    return fine.select("node", "bucket").unionByName(parts).unionByName(leaders).join(told, "node")
 
 
 def _tiled(rows: DataFrame) -> DataFrame:
-    """``node, fp, size, parity, root, bucket, side``: rows of large buckets in tiles, so that every two members with different roots meet.
+    """``node, bucket, side``: rows ``node, bucket, root`` of large buckets in tiles, so that every two members with different roots meet.
 
     Members of the largest group of a bucket need not meet each other. In a bucket of two tiles ``side`` tells them apart; members of one side meet elsewhere.
     """
@@ -213,10 +217,10 @@ def _tiled(rows: DataFrame) -> DataFrame:
     number = F.xxhash64("node", "bucket")
     own = F.when(inside, F.pmod(number, "mains")).otherwise(F.col("mains") + F.pmod(number, "others"))
     meets = F.sequence(F.when(inside, F.col("mains")).otherwise(F.lit(0).cast("long")), F.col("mains") + F.col("others") - 1)
-    tiled = rows.join(top, "bucket").select(*_FULL, "bucket", own.alias("own"), F.explode(meets).alias("other"))
+    tiled = rows.join(top, "bucket").select("node", "bucket", own.alias("own"), F.explode(meets).alias("other"))
     pair = F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other"))
     side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
-    return tiled.select(*_FULL, pair.alias("bucket"), side.alias("side"))
+    return tiled.select("node", pair.alias("bucket"), side.alias("side"))
 
 
 def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -257,7 +261,7 @@ def _allowed(total: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarr
 
 def candidates(rows: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
     """``a, b``: for every node the ``limit`` nearest fingerprints within the radius that it meets in a bucket, of those with another root and a size
-    (and a parity, if rows have it) that allows a link; and ``bucket``: the buckets in which a node has more. Rows are ``node, fp, size, bucket, side, root``."""
+    (and a parity, if rows have it) that allows a link; and ``node, bucket, side``: the rows of buckets in which a node has more. Rows are ``node, fp, size, bucket, side, root``."""
     bounded = "parity" in rows.columns
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -288,14 +292,15 @@ def candidates(rows: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
             near = place < limit
             names = table["node"].to_numpy()
             a, b = names[own[near]], names[other[near]]
-            yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "more": False}).drop_duplicates()
-            more = np.unique(bucket[own[~near]])
-            yield pd.DataFrame({"a": more, "b": more, "more": True})
+            yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "side": np.int32(0), "more": False}).drop_duplicates()
+            more = np.isin(bucket, bucket[own[~near]])
+            yield pd.DataFrame({"a": names[more], "b": bucket[more], "side": side[more], "more": True})
 
     # Sorted by node too: ties of distance are broken alike in any run.
     dealt = rows.repartition("bucket").sortWithinPartitions("bucket", "node")
-    found = cut_lineage(dealt.mapInPandas(compare, "a long, b long, more boolean"))
-    return found.filter("not more and a <> b").select("a", "b").distinct(), found.filter("more").select(F.col("a").alias("bucket")).distinct()
+    found = cut_lineage(dealt.mapInPandas(compare, "a long, b long, side int, more boolean"))
+    again = found.filter("more").select(F.col("a").alias("node"), F.col("b").alias("bucket"), "side")
+    return found.filter("not more and a <> b").select("a", "b").distinct(), again
 
 
 def _possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -314,7 +319,7 @@ def _possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def _sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """``node, hashes`` of the wanted nodes (``first_id, of, node``), from the texts of their first ids."""
-    bits = rows.sparkSession.sparkContext.broadcast(bit_filter(wanted.select(F.xxhash64("first_id").alias("mark")), "mark", FILTER_BITS))
+    bits = rows.sparkSession.sparkContext.broadcast(bit_filter(wanted.select(F.xxhash64("first_id").alias("mark")), "mark", FILTER_BITS, tidy=True))
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = BitFilter(bits.value)
@@ -326,7 +331,8 @@ def _sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     marked = rows.select("doc_id", "text", F.xxhash64("doc_id").alias("mark"))
     found = marked.mapInPandas(read, "doc_id long, key binary, hashes binary")
     met = found.join(wanted, (F.col("doc_id") == F.col("first_id")) & (F.col("key") == F.col("of")))
-    return cut_lineage(met.select("node", "hashes").dropDuplicates(["node"]))
+    # A node has one id and one digest: by these the rows have just been joined.
+    return cut_lineage(met.dropDuplicates(["doc_id", "key"]).select("node", "hashes"))
 
 
 def _similar(pairs: DataFrame) -> DataFrame:
@@ -344,18 +350,36 @@ def _similar(pairs: DataFrame) -> DataFrame:
     return pairs.mapInPandas(count, "a long, b long")
 
 
+def _together(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _first_round(nodes: DataFrame) -> tuple[list[DataFrame], list[DataFrame], list[DataFrame | None]]:
+    """Pairs; for every ``TOGETHER`` bands the rows that come again and, if there are any, the ``node, bucket`` of large buckets."""
+    chosen, pairs, again, whole = bands(nodes.count()), [], [], []
+    for first in range(0, len(chosen), TOGETHER):
+        placed = _sized(_bucketed(nodes, chosen[first : first + TOGETHER], first))
+        over = F.coalesce(F.col("n") > BUCKET, F.lit(False))
+        small = placed.filter(~over).select("node", "fp", "size", "bucket", F.lit(0).alias("side"), F.col("node").alias("root"))
+        near, more = candidates(small, NEAREST)
+        pairs.append(near)
+        again.append(more)
+        large = cut_lineage(placed.filter(over).select("node", "bucket", "n"))
+        hot = not large.isEmpty()
+        whole.append(large.select("node", "bucket") if hot else None)
+        if hot:
+            # Parts of large buckets have done their work then: the whole buckets follow.
+            parts = _parted(large, nodes).withColumn("side", F.lit(0)).withColumn("root", F.col("node"))
+            pairs.append(candidates(parts, NEAREST)[0])
+    return pairs, again, whole
+
+
 def linked(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     """``a``, ``b``: every node that has a link, except the smallest of its component, with that smallest node."""
-    placed = _sized(cut_lineage(_bucketed(nodes, bands(nodes.count()))))
-    over = F.coalesce(F.col("n") > BUCKET, F.lit(False))
-    small = placed.filter(~over).select("node", "fp", "size", "bucket", F.lit(0).alias("side"))
-    large = cut_lineage(placed.filter(over))
-    hot = not large.isEmpty()
-    parts = small.unionByName(_parted(large).withColumn("side", F.lit(0))) if hot else small
-    dealt = parts.withColumn("root", F.col("node"))
+    found, again, whole = _first_round(nodes)
     limit, sets, tested, roots = NEAREST, None, None, None
     while True:
-        pairs, more = candidates(dealt, limit)
+        pairs = _together(found).distinct()
         close = cut_lineage(_possible(pairs, nodes) if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
         # The text of a node is read again where its first id stands, once; the digest tells whether a row is of the node.
         ends = close.select(F.explode(F.array("a", "b")).alias("node")).distinct()
@@ -365,33 +389,37 @@ def linked(rows: DataFrame, nodes: DataFrame) -> DataFrame:
             fresh = _sets(rows, wanted)
             sets = fresh if sets is None else sets.unionByName(fresh)
         left, right = (sets.select(F.col("node").alias(end), F.col("hashes").alias(name)) for end, name in (("a", "left"), ("b", "right")))
-        found = cut_lineage(_similar(close.join(left, "a").join(right, "b")))
+        links = cut_lineage(_similar(close.join(left, "a").join(right, "b")))
         # Stars of the rounds before stand for their links.
-        if roots is None or not found.isEmpty():
-            roots = components(found if roots is None else roots.unionByName(found))
+        if roots is None or not links.isEmpty():
+            roots = components(links if roots is None else roots.unionByName(links))
         stars = roots.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        state = nodes.select("node", "parity").join(stars, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        rooted = lambda part: part.select("node", "fp", "size", "bucket", "side").join(state, "node")  # noqa: E731, B023
-        # Parts of large buckets have done their work: the whole buckets follow.
-        again = rooted((small if tested is None else dealt).join(more, "bucket", "left_semi")).select(*_FULL, "bucket", "side")
-        if tested is None and hot:
-            again = again.unionByName(_tiled(cut_lineage(rooted(large.withColumn("side", F.lit(0))))))
-        dealt = cut_lineage(again)
-        if dealt.isEmpty():
-            return roots
+        state = nodes.select("node", "fp", "size", "parity").join(stars, "node", "left").withColumn("root", F.coalesce("root", "node"))
         tested = close if tested is None else tested.unionByName(close)
         limit *= WIDER
+        found, more = [], []
+        for part, large in zip(again, whole):
+            if large is not None:
+                part = part.unionByName(_tiled(large.join(state.select("node", "root"), "node")))
+            if not part.isEmpty():
+                near, left_out = candidates(part.join(state, "node"), limit)
+                found.append(near)
+                more.append(left_out)
+        if not found:
+            return roots
+        again, whole = more, [None] * len(more)
 
 
 def groups(frame: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``doc_id, key, first``: every row with an id, and whether it is the first text of its group: the smallest id, then the smallest key."""
     rows = documents(frame, id_column, text_column).filter(F.col("doc_id").isNotNull())
-    marked = cut_lineage(fingerprinted(rows))
-    nodes = _named(marked.groupBy("key").agg(F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("parity").alias("parity"), F.min("doc_id").alias("first_id")))
-    roots = linked(rows, nodes)
-    placed = nodes.join(roots, F.col("node") == F.col("a"), "left").select("key", "first_id", F.coalesce("b", "node").alias("root"))
-    best = placed.groupBy("root").agg(F.min(F.struct("first_id", "key")).alias("best"))
-    kept = cut_lineage(best.select(F.col("best.first_id").alias("kept_id"), F.col("best.key").alias("kept_key")))
+    with tidy_shuffles(frame.sparkSession):
+        marked = cut_lineage(fingerprinted(rows))
+        nodes = _named(marked.groupBy("key").agg(F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("parity").alias("parity"), F.min("doc_id").alias("first_id")))
+        roots = linked(rows, nodes)
+        placed = nodes.join(roots, F.col("node") == F.col("a"), "left").select("key", "first_id", F.coalesce("b", "node").alias("root"))
+        best = placed.groupBy("root").agg(F.min(F.struct("first_id", "key")).alias("best"))
+        kept = cut_lineage(best.select(F.col("best.first_id").alias("kept_id"), F.col("best.key").alias("kept_key")))
     # An id and its text meet the one that stays: no group brings all its copies to one task.
     same = (F.col("doc_id") == F.col("kept_id")) & (F.col("key") == F.col("kept_key"))
     return marked.join(kept, same, "left").select("doc_id", "key", F.col("kept_id").isNotNull().alias("first"))
@@ -402,17 +430,17 @@ def one_of_each(frame: DataFrame, id_column: str = "doc_id", text_column: str =
 
     The texts are shuffled once, for the join with the ids that stay. Only of ids with several rows are the texts looked at again.
     """
-    found = cut_lineage(groups(frame, id_column, text_column))
+    found = cut_lineage(groups(frame, id_column, text_column), tidy=True)
     stay, often, key = free_names(frame, "stay", "often", "key")
     ids = found.groupBy(F.col("doc_id").alias(stay)).agg((F.count("*") > 1).alias(often), F.max("first").alias("first"))
-    keepers = cut_lineage(ids.filter("first").select(stay, often))
+    keepers = cut_lineage(ids.filter("first").select(stay, often), tidy=True)
     # The ids that stay grow with the input: the same join at every size, never a broadcast.
     named = frame.join(keepers.hint("merge"), F.col(id_column).cast("long") == F.col(stay))
     kept = named.filter(~F.col(often)).select(*frame.columns).unionByName(frame.filter(F.col(id_column).isNull()))
     several = keepers.filter(often).select(stay)
     if several.isEmpty():
         return kept
-    several = cut_lineage(found.filter("first").join(several, F.col("doc_id") == F.col(stay)).select(stay, F.col("key").alias(key)).distinct())
+    several = cut_lineage(found.filter("first").join(several, F.col("doc_id") == F.col(stay)).select(stay, F.col("key").alias(key)).distinct(), tidy=True)
 
     @F.pandas_udf("binary")
     def key_of(texts: pd.Series) -> pd.Series:
